@@ -20,15 +20,19 @@ def lit(value) -> Column:
 
 def strip(col: Column) -> Column:
     """Trim every kind of whitespace (``trim`` alone removes spaces only)."""
-    return F.btrim(F.coalesce(col, F.lit("")), F.lit(WHITESPACE))
+    return F.btrim(col, F.lit(WHITESPACE))
 
 
-def clean(col: Column) -> Column:
-    """Stripped text; null and the words nan / none / null become blank."""
-    text = strip(col)
+def tidy(col: Column) -> Column:
+    """Blank policy, applied once by the source adapters: null, nan, none, null -> ``''``."""
+    text = strip(F.coalesce(col, F.lit("")))
     return F.when(F.lower(text).isin("nan", "none", "null"), F.lit("")).otherwise(text)
 
 
+# Inside the library columns are already tidy, so rules only trim.
+clean = strip
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once per row, however often ``use`` refers to it."""
     return F.element_at(F.transform(F.array(value), use), 1)

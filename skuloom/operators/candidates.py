@@ -67,8 +67,10 @@ def site_position(domain: Column, official: Column) -> Column:
 
 def brand_site_score(domain: Column, official: Column) -> Column:
     """70 for the first official site, 8 less per place, at least 35; low-priority sites lose 25."""
-    place = site_position(domain, official)
-    bonus = F.coalesce(F.greatest(F.lit(35), F.lit(70) - place * 8), F.lit(0))
+    bonus = let(
+        site_position(domain, official),
+        lambda i: F.when(i.isNull(), F.lit(0)).otherwise(F.greatest(F.lit(35), F.lit(70) - i * 8)),
+    )
     low = F.when(urls.in_domains(domain, lookups.LOW_PRIORITY_SITES), 25).otherwise(0)
     return F.when(domain == "", F.lit(0)).otherwise(bonus - low)
 
@@ -250,7 +252,12 @@ def page_queries(c) -> Column:
         queries.append((both, _say(_quoted(brand, model), " ", ending)))
     queries.append((both, _say(_quoted(model), " PDF dimensions")))
     for place in (1, 2, 3):
-        queries.append((brand != "", _say(_quoted(brand, F.get(variants, F.lit(place))), " dimensions specifications")))
+        queries.append(
+            (
+                (brand != "") & (F.size(variants) > place),
+                _say(_quoted(brand, F.get(variants, F.lit(place))), " dimensions specifications"),
+            )
+        )
     queries.append((both, _say(_quoted(brand, model), " dimensions image product page")))
     queries.append((both & (name != ""), _quoted(brand, model, name)))
     queries.append((both & (name != ""), _quoted(brand, name)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skuloom.functions.text import file_stem, is_blank, strip
+from skuloom.functions.text import file_stem, is_blank, strip, tidy
 from skuloom.operators.keyed import number_within
 
 # Columns every source is brought to, with type and default.
@@ -43,8 +43,13 @@ def conform(df: DataFrame, keep: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """Missing columns and nulls get their default; order and types are fixed."""
     cols = []
     for name, kind, default in INTAKE_SCHEMA:
-        base = F.col(name).cast(kind) if name in df.columns else F.lit(None).cast(kind)
-        cols.append(F.coalesce(base, F.lit(default).cast(kind)).alias(name))
+        if name not in df.columns:
+            value = F.lit(default).cast(kind)
+        elif kind == "string":
+            value = tidy(F.coalesce(F.col(name).cast(kind), F.lit(default)))
+        else:
+            value = F.coalesce(F.col(name).cast(kind), F.lit(default).cast(kind))
+        cols.append(value.alias(name))
     return df.select(*[k for k in keep if k in df.columns], *cols)
 
 
@@ -127,7 +132,7 @@ def sequence_names(photos: DataFrame, batch: str, mode: str, default: str = "",
 
 def stored_photos(photos: DataFrame, uploads: DataFrame, statuses: DataFrame, keys: list[str]) -> DataFrame:
     """Photos joined to uploaded URLs and statuses by position; gaps padded with blank."""
-    url = F.coalesce(strip(F.col("uploaded_url")), F.lit(""))
+    url = strip(F.coalesce(F.col("uploaded_url"), F.lit("")))
     status = F.coalesce(F.col("upload_status"), F.lit(""))
     shown = (
         F.when(status != "", status)
