@@ -1 +1,62 @@
+"""Statements for the document, transcript and intake-merge queries."""
+
+from oracle import frag as f
+
+V = f.with_views
 SQL: dict[str, str] = {}
+
+SQL["line_class"] = f"""{V('quote_lines')} SELECT doc_id, line_no, CASE line_no WHEN 90 THEN 'skip' WHEN 91 THEN 'charge' WHEN 92 THEN 'product' ELSE 'product' END AS kind, count(*) AS lines FROM quote_lines GROUP BY 1, 2, 3"""
+Q = f"""{V('quote_lines')}, q AS (SELECT *, regexp_extract(text, '^\\d+\\. Wolf (.*) Model: ', 1) AS nm, regexp_extract(text, 'Model: (\\S+)', 1) AS md, regexp_extract(text, 'Qty (\\d+)', 1) AS qt,
+ regexp_extract(text, '(\\$[\\d,]+(?:\\.\\d{{2}})?)', 1) AS pr FROM quote_lines WHERE line_no <> 90)"""
+ROWS = """SELECT doc_id, line_no, CASE WHEN line_no < 90 THEN 'Wolf ' || nm WHEN line_no = 91 THEN 'Unresolved Charge - Row 7' ELSE 'Supplier: Example Dealer' END AS product_name,
+ CASE WHEN line_no < 90 THEN 'Wolf' ELSE '' END AS brand, CASE WHEN line_no < 90 THEN md ELSE '' END AS model_sku, CAST(CASE WHEN line_no < 90 THEN CAST(qt AS INT) ELSE 1 END AS INT) AS quantity,
+ CASE WHEN line_no = 92 THEN '' ELSE pr END AS price, CASE WHEN line_no < 90 THEN 'Kitchen' ELSE '' END AS room, CASE WHEN line_no < 90 THEN 'Appliances' ELSE '' END AS category,
+ CASE WHEN line_no < 90 THEN '[Model: ' || md || ']' WHEN line_no = 91 THEN '[Unresolved charge: ' || text || ']' ELSE '' END AS notes, line_no <> 91 AS include,
+ CASE WHEN line_no = 91 THEN 'unresolved_charge' ELSE '' END AS import_type FROM q"""
+SQL["lines_to_rows"] = f"{Q} SELECT *, count(*) AS copies FROM ({ROWS}) t GROUP BY ALL"
+SQL["doc_context"] = f"""{V('quote_lines')} SELECT doc_id, '' AS doc_project, CASE WHEN bool_or(line_no = 92) THEN 'Example Dealer' ELSE '' END AS doc_supplier, '' AS doc_category FROM quote_lines GROUP BY 1"""
+SQL["room_annotation"] = f"""{V('quote_lines')} SELECT DISTINCT doc_id, line_no, text, CASE WHEN line_no < 90 THEN 'Kitchen' WHEN line_no = 3 THEN 'Powder Room' ELSE '' END AS room,
+ CASE WHEN line_no < 90 THEN regexp_replace(text, ' Kitchen$', '') ELSE text END AS rest FROM quote_lines"""
+SQL["parsed_documents"] = f"""{Q}, r AS ({ROWS}), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(product_name), lower(model_sku) ORDER BY line_no, price, quantity) AS rn FROM r)
+ SELECT k.doc_id, line_no, product_name, model_sku, CASE WHEN o_orderkey IS NULL THEN '' ELSE 'Example Dealer' END AS supplier,
+ CASE WHEN line_no = 91 THEN 'Manual Review' WHEN line_no < 90 THEN 'Needs Enrichment' ELSE 'Needs Review' END AS status, quantity, price FROM k LEFT JOIN orders ON o_orderkey = k.doc_id WHERE rn = 1"""
+LI = """li AS (SELECT l.*, p_name, p_type || p_partkey AS md, CAST(floor(l_quantity) AS BIGINT) AS q FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS rn FROM lineitem) l
+ JOIN part ON p_partkey = l_partkey WHERE rn = 1), o AS (SELECT o_orderkey FROM orders)"""
+CELLS = f"""WITH {LI}, c AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS row_no, CASE WHEN l_orderkey % 3 < 2 AND o_orderkey IS NOT NULL THEN p_name WHEN l_orderkey % 3 = 2 THEN 'Wolf ' || p_name ELSE NULL END AS product_name,
+ CASE l_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Miele' ELSE 'Wolf' END AS brand, md AS model_sku, CAST(q AS INT) AS quantity, CASE l_orderkey % 3 WHEN 0 THEN '$10.00' WHEN 1 THEN '$11.00' ELSE '' END AS price,
+ CASE l_orderkey % 3 WHEN 0 THEN 'Brass' ELSE '' END AS finish_color FROM li LEFT JOIN o ON o_orderkey = l_orderkey)"""
+SQL["cells_to_rows"] = f"""{CELLS} SELECT * FROM c UNION ALL SELECT o_orderkey, 0, 'ok | ok', '', '', 1, '', '' FROM orders WHERE o_orderkey % 3 = 2"""
+SQL["header_forward_fill"] = f"""{V('quote_cells')} SELECT doc_id, row_no, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS header FROM (
+ SELECT doc_id, row_no, CASE WHEN row_no IN (0, 3) THEN concat('h', row_no) END AS own FROM quote_cells) t"""
+SQL["first_seen_per_doc"] = f"""{CELLS}, t AS (SELECT doc_id, product_name, model_sku, row_no FROM c WHERE doc_id % 3 < 2 UNION ALL SELECT l_orderkey, 'Wolf ' || p_name, p_type || p_partkey, CAST(l_linenumber AS INT) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 3 = 2)
+ SELECT doc_id, any_value(product_name) AS product_name, any_value(model_sku) AS model_sku, min(row_no) AS row_no FROM t GROUP BY doc_id, lower(product_name), lower(model_sku)"""
+SIDES = f"""{V('intake_wide')}, p AS (SELECT CAST(floor(row_id / 10) AS BIGINT) AS doc_id, row_id, {f.token('model_sku')} AS mk, product_name, quantity, notes FROM intake_wide WHERE model_sku <> ''),
+ p2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, mk ORDER BY row_id) AS nth FROM p),
+ m2 AS (SELECT doc_id, row_id, mk, CASE WHEN row_id % 2 = 0 THEN trim(product_name || ' deluxe') ELSE '' END AS product_name, quantity % 3 AS quantity, row_number() OVER (PARTITION BY doc_id, mk ORDER BY row_id) AS nth FROM p WHERE row_id % 3 > 0)"""
+SQL["merge_parser_ai"] = f"""{SIDES} SELECT p2.doc_id, p2.mk AS model_key, CAST(p2.nth AS INT) AS nth, p2.row_id AS p_position, m2.row_id AS m_position, CASE WHEN coalesce(m2.product_name, '') <> '' THEN m2.product_name ELSE p2.product_name END AS product_name,
+ CAST(CASE WHEN p2.quantity > 1 AND coalesce(m2.quantity, 0) <= 1 THEN p2.quantity WHEN coalesce(m2.quantity, 0) > 0 THEN m2.quantity WHEN p2.quantity > 0 THEN p2.quantity ELSE 1 END AS INT) AS quantity,
+ CASE WHEN m2.doc_id IS NULL THEN p2.notes ELSE concat_ws(' ', nullif(p2.notes, ''), 'seen by model') END AS notes FROM p2 LEFT JOIN m2 ON p2.doc_id = m2.doc_id AND p2.mk = m2.mk AND p2.nth = m2.nth"""
+SQL["choose_final_value"] = f"""{V('intake_wide')} SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'Model text' ELSE product_name END AS product_name,
+ CASE WHEN quantity > 1 AND row_id % 4 <= 1 THEN quantity WHEN row_id % 4 > 0 THEN row_id % 4 WHEN quantity > 0 THEN quantity ELSE 1 END AS quantity,
+ CASE WHEN row_id % 2 = 1 THEN notes ELSE concat_ws(' ', nullif(notes, ''), 'Model text') END AS notes FROM intake_wide"""
+ITEMS = f"""{V('intake')}, a AS (SELECT * FROM intake WHERE row_id % 4 <> 2)"""
+SQL["json_array_from_text"] = f"""{ITEMS} SELECT row_id AS doc_id, CAST(0 AS INT) AS position, product_name, CAST(row_id % 4 AS VARCHAR) AS quantity, room FROM a UNION ALL SELECT row_id, 1, concat('second ', row_id), NULL, NULL FROM a"""
+SQL["ai_item_to_row"] = f"""{ITEMS}, b AS (SELECT *, least(100, row_id % 130) AS sc FROM a),
+ c AS (SELECT *, CASE room WHEN '' THEN '' WHEN 'kitchen' THEN 'Kitchen' WHEN 'bar' THEN 'Bar' WHEN 'pantry - TBD' THEN 'Pantry' ELSE 'Laundry Room Floor 2' END AS rm, room = '' OR contains(room, '-') AS unsure FROM b),
+ d AS (SELECT *, CASE WHEN unsure THEN greatest(0, sc - 15) ELSE sc END AS fs FROM c)
+ SELECT row_id AS doc_id, CAST(0 AS INT) AS position, product_name, 'Seating' AS category, CAST(greatest(1, row_id % 4) AS INT) AS quantity, rm AS room, CASE WHEN unsure AND room <> '' THEN '[Location note: ' || room || ']' ELSE '' END AS notes,
+ CAST(fs AS INT) AS confidence_score, true AS review_required, CASE WHEN fs >= 75 THEN 'Ready for Review' ELSE 'Needs Review' END AS status FROM d
+ UNION ALL SELECT row_id, 1, concat('second ', row_id), '', 1, '', '', 35, false, 'Needs Review' FROM a"""
+SQL["transcript_assembly"] = f"""{V('transcripts')} SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript, CAST(count(*) AS INT) AS turns FROM transcripts GROUP BY 1"""
+SQL["transcript_dimensions"] = """SELECT p_partkey AS conv_id, CASE WHEN p_partkey % 3 = 1 AND p_size <> 99 THEN 'conflict' ELSE 'complete' END AS dimension_status,
+ CASE WHEN p_partkey % 3 = 1 THEN '' ELSE CAST(p_size AS VARCHAR) END AS width, CASE WHEN p_partkey % 3 = 1 THEN '' ELSE '24' END AS depth, CASE WHEN p_partkey % 3 = 1 THEN '' ELSE '84' END AS height,
+ CASE WHEN p_partkey % 3 = 1 THEN '' ELSE concat(p_size, ' in W x 24 in D x 84 in H') END AS dimensions FROM part WHERE p_partkey % 3 <> 2"""
+SQL["transcript_specs"] = """SELECT p_partkey AS conv_id, 'Dimensions' AS field, CASE WHEN p_partkey % 3 = 0 THEN concat(p_size, ' in W x 24 in D x 84 in H') ELSE '' END AS value, CASE WHEN p_partkey % 3 = 0 THEN 'high' ELSE 'unresolved' END AS confidence FROM part
+ UNION ALL SELECT p_partkey, 'Finish / Color', CASE WHEN p_partkey % 3 <> 2 THEN 'brass' ELSE '' END, CASE WHEN p_partkey % 3 <> 2 THEN 'medium' ELSE 'unresolved' END FROM part
+ UNION ALL SELECT p_partkey, 'Price', '', 'unresolved' FROM part"""
+SQL["apply_transcript"] = f"""{f.X}, j AS (SELECT x.*, p_size, p_partkey FROM x LEFT JOIN part ON p_partkey = row_id % 1000), k AS (SELECT *, coalesce(p_partkey % 3 = 0, false) AND NOT complete AS a, coalesce(p_partkey % 3 <> 2, false) AND finish_color = '' AS b FROM j)
+ SELECT row_id, CASE WHEN a THEN concat(p_size, ' in W x 24 in D x 84 in H') ELSE dimensions END AS dimensions, CASE WHEN b THEN 'brass' ELSE finish_color END AS finish_color,
+ {f.listing([('a', "'dimensions'"), ('b', "'finish_color'")])} AS applied FROM k"""
+ACTIVE = "include AND NOT charge AND " + f"{f.token('brand')} <> '' AND {f.token('model_sku')} <> ''"
+SQL["intake_dedupe_rooms"] = f"""{f.X} SELECT DISTINCT {f.token('brand')} || '_' || {f.token('model_sku')} AS product_key, {f.spaced('room')} AS room FROM x WHERE {ACTIVE} AND room <> ''"""
+SQL["intake_dedupe_aside"] = f"""{f.X} SELECT row_id, {f.token('brand')} AS brand, quantity FROM x WHERE NOT ({ACTIVE})"""
