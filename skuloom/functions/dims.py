@@ -53,17 +53,15 @@ def axis_count(parsed: Column) -> Column:
 
 def to_number(value: Column) -> Column:
     """``14 7/8`` or ``7/8`` or ``29.5`` as double; null when unreadable."""
-    text = strip(value)
-    mixed, simple = r"^(\d+)\s+(\d+)/(\d+)$", r"^(\d+)/(\d+)$"
 
-    def num(pattern: str, group: int) -> Column:
-        return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).try_cast("double")
+    def read(text: Column) -> Column:
+        whole = F.coalesce(F.regexp_extract(text, r"^(\d+)\s", 1).try_cast("double"), F.lit(0.0))
+        top = F.regexp_extract(text, r"(\d+)/", 1).try_cast("double")
+        bottom = F.regexp_extract(text, r"/(\d+)$", 1).try_cast("double")
+        fraction = F.rlike(text, F.lit(r"^(?:\d+\s+)?\d+/\d+$"))
+        return F.when(fraction, whole + top / F.nullif(bottom, F.lit(0.0))).otherwise(text.try_cast("double"))
 
-    return (
-        F.when(F.rlike(text, F.lit(mixed)), num(mixed, 1) + num(mixed, 2) / F.nullif(num(mixed, 3), F.lit(0.0)))
-        .when(F.rlike(text, F.lit(simple)), num(simple, 1) / F.nullif(num(simple, 2), F.lit(0.0)))
-        .otherwise(text.try_cast("double"))
-    )
+    return let(strip(value), read)
 
 
 def trim_zeros(number: Column, places: int) -> Column:
@@ -74,9 +72,12 @@ def trim_zeros(number: Column, places: int) -> Column:
 
 def decimal_text(value: Column, places: int = 6) -> Column:
     """Fractions as decimal text with ``places`` digits (6 for lookups, 4 for import); others unchanged."""
-    text = strip(value)
-    fraction = F.rlike(text, F.lit(r"^(?:\d+\s+)?\d+/\d+$"))
-    return F.when(fraction & to_number(text).isNotNull(), trim_zeros(to_number(text), places)).otherwise(text)
+
+    def show(text: Column) -> Column:
+        as_text = let(to_number(text), lambda n: F.when(n.isNull(), text).otherwise(trim_zeros(n, places)))
+        return F.when(F.rlike(text, F.lit(r"^(?:\d+\s+)?\d+/\d+$")), as_text).otherwise(text)
+
+    return let(strip(value), show)
 
 
 def unit_name(unit: Column) -> Column:
@@ -90,13 +91,13 @@ def unit_name(unit: Column) -> Column:
 
 def inches_text(value: Column, unit: Column) -> Column:
     """Value in inches, three places when converted from cm or mm."""
-    number = decimal_text(value, 6).try_cast("double")
-    name = unit_name(unit)
-    return (
-        F.when(number.isNull(), strip(value))
-        .when(name == "cm", trim_zeros(number / F.lit(2.54), 3))
-        .when(name == "mm", trim_zeros(number / F.lit(25.4), 3))
-        .otherwise(strip(value))
+    parts = F.struct(to_number(value).alias("n"), unit_name(unit).alias("u"), strip(value).alias("t"))
+    return let(
+        parts,
+        lambda p: F.when(p["n"].isNull(), p["t"])
+        .when(p["u"] == "cm", trim_zeros(p["n"] / F.lit(2.54), 3))
+        .when(p["u"] == "mm", trim_zeros(p["n"] / F.lit(25.4), 3))
+        .otherwise(p["t"]),
     )
 
 
