@@ -5,6 +5,6 @@ def load() -> dict[str, str]:
     import importlib
 
     out: dict[str, str] = {}
-    for name in ("rows", "export", "lookup", "state", "pages", "documents"):
+    for name in ("rows", "export", "lookup", "state", "pages", "documents", "streams"):
         out.update(importlib.import_module(f"oracle.{name}").SQL)
     return out

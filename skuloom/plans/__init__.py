@@ -8,4 +8,4 @@ def load() -> None:
         importlib.import_module(f"skuloom.plans.{name}")
 
 
-MODULES = ("rows", "export", "lookup", "state", "pages", "documents")
+MODULES = ("rows", "export", "lookup", "state", "pages", "documents", "streams")
