@@ -13,10 +13,9 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
-    "section_counts", "export_dedupe", "export_qa_summary", "export_row", "review_status_action", "split_eligible",
-    "join_product_memory", "join_product_cache", "elect_representative", "propagate_to_duplicates", "rank_candidates",
-    "memory_upsert", "lines_to_rows", "cells_to_rows", "intake_dedupe", "transcript_specs", "page_dimensions",
-    "score_images", "enrichment_summary",
+    "section_counts", "export_dedupe", "review_status_action", "split_eligible", "join_product_memory",
+    "join_product_cache", "elect_representative", "rank_candidates", "memory_upsert", "intake_dedupe",
+    "transcript_specs", "page_dimensions", "enrichment_summary",
 )
 
 

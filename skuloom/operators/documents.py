@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -373,38 +375,61 @@ def merge_by_model(parsed: DataFrame, model_rows: DataFrame) -> DataFrame:
 PAIR_SCHEMA = "doc_id long, p_position long, m_position long"
 
 
+def _pair_document(doc_id: int, left: list[tuple], right: list[tuple]) -> list[tuple]:
+    """Rows are (position, model, name) in order; every right row is used once."""
+    by_model: dict[str, list[int]] = {}
+    for i, (_, model, _) in enumerate(right):
+        by_model.setdefault(model, []).append(i)
+    free, out = dict.fromkeys(range(len(right))), []
+    for at, (position, model, name) in enumerate(left):
+        hit = next((i for i in by_model.get(model, ()) if i in free), None) if model else None
+        if hit is None and at in free:
+            hit = at
+        if hit is None and name:
+            hit = next((i for i in free if right[i][2] and (name in right[i][2] or right[i][2] in name)), None)
+        free.pop(hit, None)
+        out.append((doc_id, position, None if hit is None else right[hit][0]))
+    return out + [(doc_id, None, right[i][0]) for i in free]
+
+
+def _pair_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by document, side and position in; pairs out, one document at a time."""
+
+    def frame(rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["doc_id", "p_position", "m_position"])
+        return out.astype({"doc_id": "int64", "p_position": "Int64", "m_position": "Int64"})
+
+    current, sides = None, ([], [])
+    for pdf in batches:
+        done: list[tuple] = []
+        for doc_id, side, position, model, name in pdf.itertuples(index=False, name=None):
+            if doc_id != current:
+                if current is not None:
+                    done += _pair_document(current, *sides)
+                current, sides = doc_id, ([], [])
+            sides[side].append((position, model, name))
+        if done:
+            yield frame(done)
+    if current is not None:
+        yield frame(_pair_document(current, *sides))
+
+
 def pair_rows(parsed: DataFrame, model_rows: DataFrame) -> DataFrame:
     """Pair the rows of each document: same model, else same position, else name inside name.
 
-    Every model row is used once, so the walk is sequential inside a document; only positions, model tokens and
-    names travel.  Unmatched rows of both sides appear with a null partner.
+    Every model row is used once, so the walk is sequential inside a document.  Only positions, model tokens and names
+    travel, sorted by document, and one document (a quote) is held at a time.
     """
-    cols = ["doc_id", "position", rules.norm_token(F.col("model_sku")).alias("model"), rules.norm_token(F.col("product_name")).alias("name")]
-
-    def walk(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = left.sort_values("position"), right.sort_values("position")
-        models, names, places = right["model"].tolist(), right["name"].tolist(), right["position"].tolist()
-        by_model: dict[str, list[int]] = {}
-        for i, m in enumerate(models):
-            by_model.setdefault(m, []).append(i)
-        free = set(range(len(models)))
-        out = []
-        for at, row in enumerate(left.itertuples(index=False)):
-            hit = next((i for i in by_model.get(row.model, ()) if i in free), None) if row.model else None
-            if hit is None and at in free:
-                hit = at
-            if hit is None and row.name:
-                hit = next((i for i in sorted(free) if names[i] and (row.name in names[i] or names[i] in row.name)), None)
-            free.discard(hit)
-            out.append((row.doc_id, row.position, None if hit is None else places[hit]))
-        doc = left["doc_id"].iloc[0] if len(left) else right["doc_id"].iloc[0]
-        out += [(doc, None, places[i]) for i in sorted(free)]
-        frame = pd.DataFrame(out, columns=["doc_id", "p_position", "m_position"])
-        return frame.astype({"doc_id": "int64", "p_position": "Int64", "m_position": "Int64"})
 
-    return (
-        parsed.select(*cols).groupBy("doc_id").cogroup(model_rows.select(*cols).toDF("doc_id", "position", "model", "name").groupBy("doc_id")).applyInPandas(walk, PAIR_SCHEMA)
-    )
+    def side(df: DataFrame, number: int) -> DataFrame:
+        return df.select(
+            F.col("doc_id").cast("long"), F.lit(number).alias("side"), F.col("position").cast("long"),
+            rules.norm_token(F.col("model_sku")).alias("model"), rules.norm_token(F.col("product_name")).alias("name"),
+        )
+
+    both = side(parsed, 0).unionByName(side(model_rows, 1))
+    ordered = both.repartition("doc_id").sortWithinPartitions("doc_id", "side", "position")
+    return ordered.mapInPandas(_pair_stream, PAIR_SCHEMA)
 
 
 # ------------------------------------------------------------------ model answers

@@ -509,13 +509,17 @@ def section_counts(prepared: DataFrame) -> DataFrame:
 
 
 def missing_histogram(prepared: DataFrame) -> DataFrame:
-    """Readiness gaps of exported rows, counted per field."""
-    flagged = with_flags(prepared).filter("_exported")
-    return (
-        flagged.select(F.explode("_missing").alias("field"))
-        .groupBy("field")
-        .agg(F.count("*").alias("rows"))
+    """Readiness gaps of exported rows, counted per field: one aggregate, then its six columns turned into rows."""
+    rows = prepared.filter(rules.is_exportable(prepared)).withColumn(
+        "_export_dims",
+        dims.export_text(prepared["dimensions"], dims.sanity_reason(prepared["dimensions"], prepared["category"])),
+    )
+    checks = readiness_checks(rows, F.col("_export_dims"))
+    counts = rows.agg(*[F.count_if(~ok).alias(f"n{i}") for i, (_, ok) in enumerate(checks)])
+    pairs = F.array(
+        *[F.struct(F.lit(name).alias("field"), F.col(f"n{i}").alias("rows")) for i, (name, _) in enumerate(checks)]
     )
+    return counts.select(F.explode(pairs).alias("p")).select("p.field", "p.rows").filter("rows > 0")
 
 
 def debug_rows(prepared: DataFrame) -> DataFrame:

@@ -51,8 +51,8 @@ def split_description(df: DataFrame) -> DataFrame:
 def with_eligibility(df: DataFrame, allow_blank: bool = False) -> DataFrame:
     """Add ``issues``; rows without issues may be sent."""
     if allow_blank:
-        strict = df.withColumn("review_required", F.lit(False))
-        issues = rules.eligibility_issues(strict, F.lit(True))
+        open_gate = {c: df[c] for c in df.columns} | {"review_required": F.lit(False)}
+        issues = rules.eligibility_issues(open_gate, F.lit(True))
         gate = F.array_intersect(issues, F.array(F.lit("Not included"), F.lit("Ignored or excluded")))
         issues = F.when(rules.is_photo_only(df), issues).otherwise(gate)
     else:
