@@ -106,6 +106,9 @@ IMPORT = f"""{DEDUPE}, e AS (SELECT *, xcomplete AS ncomplete FROM p WHERE NOT r
  CAST(confidence_score AS VARCHAR) AS confidence_score, source_type, dimension_source_url, dimension_confidence, dimension_source_type, enrichment_status, stage_log FROM n5)"""
 COLS = "section, product_name, brand, sku, model, dimensions, width_in, height_in, depth_in, length_in, quantity, price, supplier, product_url, image_url, finish, color, material, lead_time, notes, location"
 SQL["export_row"] = f"{IMPORT} SELECT row_id, {COLS} FROM out"
+HEAD = ("Section", "Product Name", "Brand", "SKU", "Model", "Dimensions", "Width (in)", "Height (in)", "Depth (in)", "Length (in)", "Quantity", "Price",
+        "Supplier", "Product URL", "Image URL", "Finish", "Color", "Material", "Lead Time", "Notes", "Location")
+SQL["sink_import_csv"] = IMPORT + " SELECT " + ", ".join(f'{c.strip()} AS "{h}"' for c, h in zip(COLS.split(","), HEAD)) + " FROM out"
 SQL["export_debug"] = f"{IMPORT} SELECT row_id, {COLS}, confidence_score, source_type, dimension_source_url, dimension_confidence, dimension_source_type, enrichment_status, stage_log FROM out"
 
 MISS = [("NOT xcomplete", "'dimensions'"), ("NOT img_ok", "'image'"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from skuloom.functions import rules, urls
 from skuloom.operators import export, runlog, scoring
 from skuloom.registry import query
+from skuloom.sources import sinks
 
 
 @query("intake_wide")
@@ -35,6 +36,12 @@ def export_row(df):
     return export.import_rows(export.prepare(df))
 
 
+@query("intake_wide")
+def sink_import_csv(df):
+    """The import file as a table: 21 columns under their display names."""
+    return sinks.import_table(export.import_rows(export.prepare(df)))
+
+
 @query("intake_wide")
 def export_debug(df):
     return export.debug_rows(export.prepare(df))
