@@ -38,6 +38,37 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Fixed rules of the URL filter: verdict, host, path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op6_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no page labels, so a page takes the quality label of the document of its number."""
+    from skuloom.llm.url_reputation import judge_urls
+
+    outcomes = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return judge_urls(read_table(spark, sf_dir, "pages"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _held_out(docs: DataFrame, parts: int, part: int) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+    return docs.withColumn("held_out", F.coalesce(remainder == part, F.lit(False)))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skuloom.llm.language_id import learn, predict
+
+    docs = _held_out(read_table(spark, sf_dir, "documents"), 3, 1)
+    return predict(docs, learn(docs.filter("NOT held_out")))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skuloom.llm.toxicity import fit, sample, toxicity
+
+    docs = _held_out(read_table(spark, sf_dir, "documents"), 5, 0)
+    return toxicity(docs, fit(*sample(docs.filter("NOT held_out"), read_table(spark, sf_dir, "labels"))))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skuloom.llm.secret_scan import counts, secret_scan, span_text
 
@@ -50,5 +81,8 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_benchmark_decontamination, op3_mix_sources, op4_ngram_jaccard_join, op5_quality_rules, op9_secret_scan)
+    for f in (
+        op1_benchmark_decontamination, op3_mix_sources, op4_ngram_jaccard_join, op5_quality_rules,
+        op6_url_reputation, op7_language_id, op8_toxicity, op9_secret_scan,
+    )
 }
