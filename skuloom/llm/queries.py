@@ -17,6 +17,14 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op2_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skuloom.llm.warc import archive_round_trip
+
+    return archive_round_trip(read_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "capture"
+    )
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skuloom.llm.mixing import mix
 
@@ -38,6 +46,17 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of 50 words or more that stand in another document as well."""
+    from skuloom.llm.suffix_dedup import suffix_dedup
+
+    return suffix_dedup(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words",
+        F.aggregate("passages", F.lit(0).cast("bigint"), lambda a, p: a + p["end"] - p["start"]).alias("n_repeated"),
+        F.array_join(F.transform("passages", lambda p: F.concat_ws(":", p["start"].cast("string"), p["end"].cast("string"))), ",").alias("passages"),
+    )
+
+
 # Fixed rules of the URL filter: verdict, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -82,7 +101,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_benchmark_decontamination, op3_mix_sources, op4_ngram_jaccard_join, op5_quality_rules,
-        op6_url_reputation, op7_language_id, op8_toxicity, op9_secret_scan,
+        op1_benchmark_decontamination, op2_warc_index_merge, op3_mix_sources, op4_ngram_jaccard_join, op5_quality_rules,
+        op6_url_reputation, op7_language_id, op8_toxicity, op9_secret_scan, op10_suffix_array_dedup,
     )
 }
