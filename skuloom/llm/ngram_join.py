@@ -10,11 +10,13 @@ documents, then by hash.  Any fixed order gives right results; this one puts com
 * Candidate sets are cut vertically into fragments; each fragment counts its own part of the overlap of
   a pair, and the parts are summed per pair.  Only exact counts decide.
 
-No group is turned into all its pairs.  First every set is tested against one anchor per n-gram and
-size band, which joins large groups of near copies into a component.  Then, and until nothing is
-untested, pairs of sets in different components that share a head n-gram are tested, all of them; pairs
-inside a component can add no link that matters.  Head n-grams met in a single component drop out, and the
-largest component of an n-gram is only compared with the others.
+No group is turned into all its pairs.  First every set is tested against a few anchors per n-gram and
+size band, which joins large groups of near copies into a component.  Then all pairs of sets in
+different components that share a head n-gram are tested; pairs inside a component can add no link
+that matters.  Head n-grams met in a single component drop out, and the largest component of an n-gram is only
+compared with the others.  Before a pair leaves its join it must pass a bitmap bound: every set has a
+fixed-size parity bitmap of its n-grams, two bitmaps differ in at most as many bits as the sets in n-grams, so the
+overlap is at most (n1 + n2 - differing bits) / 2.
 
 Sets are known by 64-bit hashes of their n-grams.  Defined results: null, empty and wordless texts have
 0 shingles and stand alone; a text of fewer words than ``size`` is one shingle; repeated rows are
@@ -39,6 +41,9 @@ from skuloom.llm.shingles import raw_texts, small_batches, windows, word_hashes
 BITS = 20  # the count sketch has 2^20 numbers whatever the input
 CHUNKS = 16
 FILTER_BITS = 25  # bits of the membership filter of candidate sets
+MAP_LONGS = 16  # the parity bitmap of a set, in 64-bit numbers
+MAP = [f"m{k}" for k in range(MAP_LONGS)]
+ANCHORS = 3
 HEAVY = 100_000  # n-grams counted more often skip the per-fragment step, so no fragment holds them all
 
 
@@ -53,38 +58,46 @@ def _name(tokens: np.ndarray) -> int:
     return int(np.uint64(xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
 
 
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """Bit k tells whether an odd number of n-grams hash to k."""
+    odd = np.bincount(((tokens >> np.uint64(8)) & np.uint64(64 * MAP_LONGS - 1)).astype(np.int64), minlength=64 * MAP_LONGS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _first_pass(size: int):
     """Class and size of every document, and the partition's part of the count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         counts = np.zeros(1 << BITS, np.uint32)
         shift = np.uint64(64 - BITS)
+        names = ["chunk", "counts", "doc_id", "n", "node", *MAP]
         any_row = False
         for batch in batches:
-            n, node = [], []
+            n, node, maps = [], [], []
             for raw in raw_texts(batch["text"]):
                 tokens = _set(raw, size)
-                np.add(counts, np.bincount((tokens >> shift).astype(np.int64), minlength=1 << BITS), out=counts, casting="unsafe") if len(
-                    tokens
-                ) > 4096 else np.add.at(counts, (tokens >> shift).astype(np.int64), 1)
+                np.add.at(counts, (tokens >> shift).astype(np.int64), 1)
                 n.append(len(tokens))
                 node.append(_name(tokens) if len(tokens) else None)
+                maps.append(_parity(tokens))
+            maps = np.array(maps, np.int64).reshape(-1, MAP_LONGS)
             any_row = any_row or bool(n)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([-1] * len(n), pa.int32()), pa.array([None] * len(n), pa.binary()),
                     batch["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node, pa.int64()),
+                    *[pa.array(np.ascontiguousarray(maps[:, k])) for k in range(MAP_LONGS)],
                 ],
-                ["chunk", "counts", "doc_id", "n", "node"],
+                names,
             )
         if any_row:
             parts = counts.reshape(CHUNKS, -1)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(CHUNKS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary()),
-                    *[pa.array([None] * CHUNKS, pa.int64())] * 3,
+                    *[pa.array([None] * CHUNKS, pa.int64())] * (3 + MAP_LONGS),
                 ],
-                ["chunk", "counts", "doc_id", "n", "node"],
+                names,
             )
 
     return run
@@ -289,14 +302,33 @@ def _bounds(percent: int, n1: Column, p1: Column, n2: Column, p2: Column) -> Col
     )
 
 
-def _anchored(entries: DataFrame, percent: int, salt: int) -> DataFrame:
-    """Pairs of every set with the anchor of its n-gram in its own and the next smaller size band."""
+def _map_bound(percent: int, n1: Column, n2: Column, x: str, y: str) -> Column:
+    """Bitmap bound of a pair whose bitmaps have the column prefixes x and y."""
+    differ = sum((F.bit_count(F.col(x + m).bitwiseXOR(F.col(y + m))) for m in MAP), F.lit(0))
+    both = n1.cast("bigint") + n2
+    return (100 + percent) * (both - differ) >= 2 * percent * both
+
+
+def _prefixed(maps: DataFrame, prefix: str, key: str) -> DataFrame:
+    return maps.select(F.col("node").alias(key), *[F.col(m).alias(prefix + m) for m in MAP])
+
+
+def _plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """Pairs that pass the bitmap bound."""
+    met = pairs.join(_prefixed(maps, "x", "a"), "a").join(_prefixed(maps, "y", "b"), "b")
+    return met.filter(_map_bound(percent, F.col("na"), F.col("nb"), "x", "y")).select("a", "b", "na", "nb")
+
+
+def _anchored(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs of every set with the anchors of its n-gram in its own and the next smaller size band.
+
+    Anchors are smallest by a hash of the set, so the n-grams of one group of near copies choose the same ones.
+    """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     rows = entries.withColumn("band", band)
-    anchors = rows.groupBy("token", "band").agg(
-        F.min(F.struct(F.xxhash64("node", F.lit(salt)).alias("h"), "node", "n", "place", "label")).alias("x")
-    )
-    anchors = anchors.select(
+    ranked = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "place", "label")).alias(f"x{k}") for k in range(ANCHORS)]
+    anchors = rows.groupBy("token", "band").agg(*ranked)
+    anchors = anchors.select("token", "band", F.explode(F.array_distinct(F.array(*[F.struct(f"x{k}.node", f"x{k}.n", f"x{k}.place", f"x{k}.label") for k in range(ANCHORS)]))).alias("x")).select(
         "token", F.explode(F.array("band", F.col("band") + 1)).alias("band"),
         F.col("x.node").alias("b"), F.col("x.n").alias("nb"), F.col("x.place").alias("pb"), F.col("x.label").alias("lb"),
     )
@@ -307,23 +339,23 @@ def _anchored(entries: DataFrame, percent: int, salt: int) -> DataFrame:
     return met.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb")
 
 
-def _across(entries: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share a head n-gram and keep the bounds."""
+def _across(entries: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different components that share a head n-gram and keep all bounds."""
     per = entries.groupBy("token", "label").agg(F.count("*").alias("c"))
     top = per.groupBy("token").agg(F.max(F.struct("c", "label")).alias("t"), F.count("*").alias("labels"))
     top = top.filter("labels > 1").select("token", F.col("t.label").alias("main"))
-    rows = entries.join(top, "token")
-    left = rows.filter("label <> main")
-    right = rows.select(
-        "token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"),
-        (F.col("label") == F.col("main")).alias("in_main"),
-    )
+    # Both sides are the same table, so it is shuffled once.
+    rows = entries.join(maps, "node").join(top, "token")
+    left = rows.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"), "main", *[F.col(m).alias("x" + m) for m in MAP])
+    right = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), F.col("main").alias("mb"), *[F.col(m).alias("y" + m) for m in MAP])
     met = left.join(
         right,
-        (left["token"] == right["token"]) & (left["label"] != right["lb"]) & (right["in_main"] | (left["node"] < right["b"]))
-        & _bounds(percent, left["n"].cast("bigint"), left["place"], right["nb"].cast("bigint"), right["pb"]),
+        (left["token"] == right["token"]) & (F.col("la") != F.col("main")) & (F.col("la") != F.col("lb"))
+        & ((F.col("lb") == F.col("mb")) | (F.col("a") < F.col("b")))
+        & _bounds(percent, F.col("na").cast("bigint"), F.col("pa"), F.col("nb").cast("bigint"), F.col("pb"))
+        & _map_bound(percent, F.col("na"), F.col("nb"), "x", "y"),
     )
-    return met.select(left["node"].alias("a"), "b", left["n"].alias("na"), "nb")
+    return met.select("a", "b", "na", "nb")
 
 
 def _distinct(pairs: DataFrame) -> DataFrame:
@@ -351,8 +383,9 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, pieces: int =
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    longs = ", ".join(f"{m} bigint" for m in MAP)
     first = stored(
-        source.mapInArrow(_first_pass(size), "chunk int, counts binary, doc_id bigint, n bigint, node bigint"), "ngram-first"
+        source.mapInArrow(_first_pass(size), f"chunk int, counts binary, doc_id bigint, n bigint, node bigint, {longs}"), "ngram-first"
     )
     counts = spark.sparkContext.broadcast(_counts(first))
     fragments = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -361,20 +394,24 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, pieces: int =
         .repartition(F.col("fragment")).sortWithinPartitions("fragment").mapInArrow(_shared(percent), ENTRY),
         "ngram-entries",
     )
-    member = spark.sparkContext.broadcast(_membership(entries.select("node")))
-    # A set may be cut in several tasks; copies of a piece are the same.
-    sets = source.select("text").mapInArrow(_pieces(size, pieces, member), "node bigint, piece int, tokens binary")
-    sets = stored(sets.dropDuplicates(["node", "piece"]), "ngram-sets")
+    maps = first.filter("n > 0").select("node", *MAP).dropDuplicates(["node"])
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        """Links among candidate pairs, by exact counts; only their sets are read again and shuffled."""
+        member = spark.sparkContext.broadcast(_membership(pairs.select(F.explode(F.array("a", "b")).alias("node"))))
+        # A set may be cut in several tasks; copies of a piece are the same.
+        sets = source.select("text").mapInArrow(_pieces(size, pieces, member), "node bigint, piece int, tokens binary")
+        return stored(_verified(pairs, sets.dropDuplicates(["node", "piece"]), percent), "ngram-links")
+
     alone = entries.withColumn("label", F.col("node"))
-    tested = stored(_distinct(_anchored(alone, percent, 0)), "ngram-anchored")
-    links = stored(_verified(tested, sets, percent), "ngram-links")
+    near = stored(_plausible(_distinct(_anchored(alone, percent)), maps, percent), "ngram-anchored")
+    links = tested(near)
     label = stored(components(links), "ngram-labels")
     left = entries.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    more = stored(
-        _distinct(_across(left, percent)).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "ngram-across"
-    )
-    links = links.unionByName(_verified(more, sets, percent))
-    label = stored(components(links), "ngram-labels")
+    more = stored(_distinct(_across(left, maps, percent)).join(near.select("a", "b"), ["a", "b"], "left_anti"), "ngram-across")
+    # The stars of the first round stand for its links.
+    stars = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    label = stored(components(stars.unionByName(tested(more))), "ngram-labels")
     found = first.filter("chunk < 0").select("doc_id", "n", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = found.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "label", "left").select(
