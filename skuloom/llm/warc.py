@@ -52,30 +52,30 @@ def url_key(url: Column) -> Column:
 def decided(pages: DataFrame, least_bytes: int) -> DataFrame:
     """Every capture with payload, digest, ``kind`` and ``refers_to``.
 
-    Payloads are shuffled once, by (page_id, url, digest), and stay there for the join and the numbering.
+    Captures are known by ``capture``, a hash of page_id, url and digest (nulls apart), so that payloads are shuffled
+    once, by it, and stay there for the join and the numbering of equal rows.
     """
     payload = F.coalesce(F.col("html"), F.lit(""))
+    page, url = F.col("page_id"), F.col("url").cast("string")
     rows = pages.select(
-        F.col("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"),
-        F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("bigint").alias("bytes"),
+        page, url.alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("bigint").alias("bytes")
+    ).withColumn(
+        "capture",
+        F.sha2(F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("-")), "digest", F.coalesce(F.concat(F.lit("u"), "url"), F.lit("-"))), 256),
     )
-    keys = ["page_id", "url", "digest"]
-    distinct = rows.groupBy(*keys, "bytes").agg(F.count("*").alias("times"))
-    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("no_url"), "url")
+    distinct = rows.groupBy("capture", "page_id", "url", "digest", "bytes").agg(F.count("*").alias("times"))
+    order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", F.col("url").isNull().alias("no_url"), "url", "capture")
     first = (
         distinct.filter(F.col("bytes") >= least_bytes).groupBy("digest")
         .agg(F.min(order).alias("first"), F.sum("times").alias("times")).filter("times > 1").select("digest", "first")
     )
     choice = distinct.join(first, "digest").select(
-        F.col("page_id").alias("p"), F.col("url").alias("u"), F.col("digest").alias("d"), F.col("first.page_id").alias("to"),
-        (F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))).alias("is_first"),
+        "capture", F.col("first.page_id").alias("to"), (F.col("capture") == F.col("first.capture")).alias("is_first")
     )
-    met = rows.join(
-        choice, rows["page_id"].eqNullSafe(choice["p"]) & rows["url"].eqNullSafe(choice["u"]) & (rows["digest"] == choice["d"]), "left"
-    )
-    again = F.row_number().over(Window.partitionBy("page_id", "url", "digest").orderBy(F.lit(1))) > 1
-    revisit = F.col("d").isNotNull() & (~F.col("is_first") | F.col("again"))
-    return met.withColumn("again", F.when(F.col("is_first"), again).otherwise(False)).select(
+    met = rows.join(choice, "capture", "left")
+    again = F.row_number().over(Window.partitionBy("capture").orderBy(F.lit(1))) > 1
+    revisit = F.coalesce(~F.col("is_first") | F.col("again"), F.lit(False))
+    return met.withColumn("again", again).select(
         "page_id", "url", "payload", "digest", "bytes",
         F.when(revisit, "revisit").otherwise("response").alias("kind"), F.when(revisit, F.col("to")).alias("refers_to"),
     )
