@@ -30,7 +30,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"  # how the vocabulary marks the start of a word
 LONGEST = 40  # longer words are scored in runs of this many letters, all of them
-FLUSH = 200_000  # words a task holds
+FLUSH = 200_000  # words a training task holds
+HELD = 600_000  # words whose scores a worker holds
 SMOOTH = 0.1
 
 
@@ -92,57 +93,119 @@ def learn(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", lan
         np.add.at(table, (found["piece"].to_numpy(), [place[x] for x in found["lang"].to_pylist()]), found["n"].to_numpy())
         table /= table.sum(0)
     ids = {p: i for i, p in enumerate(pieces) if not (encoder.is_control(i) or encoder.is_unknown(i) or encoder.is_byte(i))}
-    return {"langs": langs, "ids": ids, "p": table, "longest": max(map(len, ids))}
+    return {"key": hash(table.tobytes()), "langs": langs, "ids": ids, "p": table, "longest": max(map(len, ids))}
+
+
+_BASE = np.uint64(0xD1342543DE82EF95)
+_SLOTS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_SLOT_BITS = 22
+WIDTHS = (4, 8, 12, 16, 24, LONGEST + 1)  # words are scored in groups of similar length
+
+
+class Pieces:
+    """The vocabulary as two slot tables from the hash of a piece to its number."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.names = np.zeros(len(ids), np.uint64)
+        self.ids = np.fromiter(ids.values(), np.int64, len(ids))
+        for k, piece in enumerate(ids):
+            h = 0
+            for c in piece:
+                h = (h * int(_BASE) + ord(c)) & 0xFFFFFFFFFFFFFFFF
+            self.names[k] = h
+        self.tables = []
+        rest = np.arange(len(ids))
+        for slot in _SLOTS:
+            table = np.full(1 << _SLOT_BITS, -1, np.int32)
+            at = (self.names[rest] * slot) >> np.uint64(64 - _SLOT_BITS)
+            table[at] = rest
+            self.tables.append(table)
+            # Pieces whose slot went to another one stand in the next table.
+            rest = rest[table[at] != rest]
+        if len(rest):
+            raise ValueError("two pieces share all their slots")
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Piece numbers of hashes; -1 where there is none."""
+        out = np.full(len(h), -1, np.int64)
+        for table, slot in zip(self.tables, _SLOTS, strict=True):
+            k = table[(h * slot) >> np.uint64(64 - _SLOT_BITS)]
+            right = (k >= 0) & (self.names[k] == h)
+            out[right] = self.ids[k[right]]
+        return out
 
 
 def word_scores(words: list[str], model: dict) -> np.ndarray:
-    """Log probability of each word in each language: forward sums over all segmentations, all words at once.
+    """Log probability of each word in each language: forward sums over all segmentations, many words at once.
 
     A letter outside the vocabulary is a piece of its own, equally rare in every language.
     """
-    ids, longest = model["ids"], model["longest"]
-    p = np.vstack([model["p"], np.full((1, len(model["langs"])), 1e-6)])
-    other = len(p) - 1
-    steps: list[list[tuple[int, int, int]]] = [[] for _ in range(LONGEST + 2)]
-    size = np.zeros(len(words), np.int64)
-    for k, word in enumerate(words):
-        s = START + word
-        n = size[k] = len(s)
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                piece = ids.get(s[i:j])
-                if piece is not None:
-                    steps[j].append((k, i, piece))
-                elif j == i + 1:
-                    steps[j].append((k, i, other))
-    alpha = np.zeros((len(words), LONGEST + 2, len(model["langs"])))
-    alpha[:, 0] = 1
-    for j, step in enumerate(steps):
-        if step:
-            k, i, piece = np.array(step).T
-            gain = alpha[k, i] * p[piece]
-            # Rows come word by word, so equal words stand together.
-            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            alpha[k[first], j] = np.add.reduceat(gain, first)
-    return np.log(np.maximum(alpha[np.arange(len(words)), size], 1e-300))
+    pieces = model.get("pieces")
+    if pieces is None:
+        pieces = model["pieces"] = Pieces(model["ids"])
+    # The last two rows: a letter outside the vocabulary, and no piece at all.
+    p = np.vstack([model["p"], np.full((1, len(model["langs"])), 1e-6), np.zeros((1, len(model["langs"])))])
+    other, none = len(p) - 2, len(p) - 1
+    out = np.zeros((len(words), len(model["langs"])))
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    low = 0
+    for width in WIDTHS:
+        mine = np.flatnonzero((size > low) & (size <= width))
+        low = width
+        if not len(mine):
+            continue
+        text = "".join((START + words[k]).ljust(width, "\0") for k in mine)
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(-1, width).astype(np.uint64)
+        alpha = np.zeros((width + 1, len(mine), len(model["langs"])))
+        alpha[0] = 1
+        for i in range(width):
+            h = np.zeros(len(mine), np.uint64)
+            # Words that have a letter here.
+            live = np.flatnonzero(codes[:, i])
+            for j in range(i, min(width, i + model["longest"])):
+                live = live[codes[live, j] != 0]
+                if not len(live):
+                    break
+                h[live] = h[live] * _BASE + codes[live, j]
+                found = pieces.find(h[live])
+                found[found < 0] = other if j == i else none
+                hit = found != none
+                alpha[j + 1, live[hit]] += alpha[i, live[hit]] * p[found[hit]]
+        out[mine] = np.log(np.maximum(alpha[size[mine], np.arange(len(mine))], 1e-300))
+    return out
+
+
+class _Cache:
+    """Scores of words seen by this worker, for one model; emptied when it is full."""
+
+    def __init__(self):
+        self.key, self.place, self.table = None, {}, None
+
+    def rows(self, counters: list[Counter], key: int, model: dict) -> np.ndarray:
+        if self.key != key or len(self.place) > HELD:
+            self.key, self.place, self.table = key, {}, np.zeros((1 << 16, len(model["langs"])))
+        new = list(dict.fromkeys(w for c in counters for w in c if w not in self.place))
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            at = len(self.place)
+            while at + len(part) > len(self.table):
+                self.table = np.vstack([self.table, np.zeros_like(self.table)])
+            self.table[at : at + len(part)] = word_scores(part, model)
+            self.place.update(zip(part, range(at, at + len(part)), strict=True))
+        return self.table
+
+
+_CACHE = _Cache()
 
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]):
         model = shared.value
         langs = model["langs"]
-        place: dict[str, int] = {}
-        table = np.zeros((0, len(langs)))
         for batch in batches:
             counters = [Counter(words_of(t)) for t in batch["text"].to_pylist()]
             if langs:
-                if len(place) > FLUSH:
-                    place, table = {}, np.zeros((0, len(langs)))
-                new = list(dict.fromkeys(w for c in counters for w in c if w not in place))
-                for i in range(0, len(new), 5000):
-                    part = new[i : i + 5000]
-                    place.update(zip(part, range(len(place), len(place) + len(part)), strict=True))
-                    table = np.vstack([table, word_scores(part, model)])
+                table, place = _CACHE.rows(counters, model["key"], model), _CACHE.place
             best, score = [], []
             for c in counters:
                 if not c or not langs:
