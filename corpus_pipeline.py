@@ -20,8 +20,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """Rows under running ids of their own, in place of doc_id, so that repeated ids stay apart."""
-    return docs.withColumn("row_id", F.monotonically_increasing_id())
+    """The columns of documents and a running id, so that rows with one doc_id stay apart."""
+    return docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id())
 
 
 def joined(docs: DataFrame, verdict: DataFrame, how: str) -> DataFrame:
@@ -39,7 +39,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest row stays."""
+    """Of every group of linked documents the first row stays."""
     verdict = ngram_join(as_documents(docs)).filter("doc_id = component_id").select("doc_id")
     return joined(docs, verdict, "left_semi").select(*COLUMNS)
 
