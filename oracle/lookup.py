@@ -44,7 +44,7 @@ SQL["kb_read"] = f"""{V('source_memory')} SELECT normalized_brand, normalized_mo
  WHERE source_type = 'manufacturer' AND contains(lower(concat_ws(' ', normalized_brand, normalized_model_sku, product_page_url)), 'p/1')
  ORDER BY success_count DESC, confidence_score DESC, normalized_brand, normalized_model_sku LIMIT 100"""
 SQL["topk_sources"] = f"""{V('source_memory')} SELECT normalized_brand, normalized_model_sku, success_count, confidence_score FROM source_memory
- ORDER BY success_count DESC, confidence_score DESC, normalized_brand, normalized_model_sku LIMIT 500"""
+ ORDER BY success_count DESC, confidence_score DESC, normalized_brand, normalized_model_sku LIMIT 9999"""
 SQL["domains_read"] = f"""{V('preferred_domains')} SELECT domain, domain_id, success_count, failure_count, downranked FROM preferred_domains WHERE contains(lower(concat_ws(' ', domain, source_type, notes)), 'example')
  ORDER BY downranked, success_count DESC, failure_count, domain DESC, domain_id DESC LIMIT 50"""
 SQL["kb_audit"] = f"""{V('source_memory', 'preferred_domains')} SELECT 'stored_sources' AS table_name, count(*) AS rows FROM source_memory UNION ALL SELECT 'preferred_domains', count(*) FROM preferred_domains"""

@@ -16,7 +16,7 @@ LINK_FIELDS = (
 
 
 def search_memory(memory: DataFrame, text: str = "", source_type: str = "", limit: int = 100) -> DataFrame:
-    """Filter first, then sort and limit (1..500), so no match is lost to the limit."""
+    """Filter first, then sort and return the first ``limit`` rows, as many as the caller asks for."""
     rows = memory
     if source_type:
         rows = rows.filter(F.lower("source_type") == source_type.lower())
@@ -33,7 +33,7 @@ def search_memory(memory: DataFrame, text: str = "", source_type: str = "", limi
     order = [F.desc("success_count"), F.desc("confidence_score")]
     if "last_verified_at" in rows.columns:
         order.append(F.desc("last_verified_at"))
-    return rows.orderBy(*order, *MEMORY_KEYS).limit(max(1, min(limit, 500)))
+    return rows.orderBy(*order, *MEMORY_KEYS).limit(max(1, limit))
 
 
 def search_domains(domains: DataFrame, text: str = "", source_type: str = "", limit: int = 100) -> DataFrame:
@@ -45,7 +45,7 @@ def search_domains(domains: DataFrame, text: str = "", source_type: str = "", li
         rows = rows.filter(F.contains(hay, F.lit(text.strip().lower())))
     return rows.orderBy(
         F.asc("downranked"), F.desc("success_count"), F.asc("failure_count"), F.desc("domain"), F.desc("domain_id")
-    ).limit(max(1, min(limit, 500)))
+    ).limit(max(1, limit))
 
 
 def sanitize_links(df: DataFrame, fields: tuple[str, ...] = LINK_FIELDS) -> DataFrame:

@@ -19,7 +19,7 @@ TABLES = (
 VIEWS: dict[str, str] = {}
 
 VIEWS["intake"] = r"""
-SELECT CAST(l.l_orderkey * 10 + l.l_linenumber AS BIGINT) AS row_id,
+SELECT CAST((l.l_orderkey * 10 + l.l_linenumber) * 10000019 + (l.l_partkey * 10007 + l.l_suppkey * 101 + CAST(floor(l.l_quantity) AS BIGINT)) % 10000019 AS BIGINT) AS row_id,
   concat('Project ', CAST(o.o_custkey % 50 AS STRING)) AS project,
   CASE l.l_linenumber % 5 WHEN 0 THEN '' WHEN 1 THEN 'kitchen' WHEN 2 THEN 'laundry room floor 2 - if we can fit it' WHEN 3 THEN 'bar' ELSE 'pantry - TBD' END AS room,
   CASE WHEN l.l_orderkey % 13 = 0 THEN '' WHEN l.l_orderkey % 29 = 0 THEN 'Delivery and handling' ELSE p.p_name END AS product_name,
@@ -36,7 +36,7 @@ SELECT CAST(l.l_orderkey * 10 + l.l_linenumber AS BIGINT) AS row_id,
   CASE l.l_suppkey % 3 WHEN 0 THEN '' WHEN 1 THEN concat('https://cdn.example.com/i/', CAST(p.p_partkey AS STRING), '.jpg') ELSE 'http://cdn.example.com/page.html' END AS image_url,
   CASE l.l_linenumber % 4 WHEN 0 THEN 'Manual' WHEN 1 THEN 'PDF' WHEN 2 THEN 'URL' ELSE 'PDF_AI' END AS source_type,
   CAST(l.l_shipdate AS TIMESTAMP) AS observed_at
-FROM (SELECT * FROM (SELECT li.*, row_number() OVER (PARTITION BY li.l_orderkey, li.l_linenumber ORDER BY li.l_partkey, li.l_suppkey, li.l_shipdate, li.l_quantity, li.l_extendedprice) AS rn FROM lineitem li) d WHERE rn = 1) l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey JOIN supplier s ON s.s_suppkey = l.l_suppkey
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey JOIN supplier s ON s.s_suppkey = l.l_suppkey
 """
 
 VIEWS["source_memory"] = r"""
