@@ -48,14 +48,18 @@ SQL["ai_item_to_row"] = f"""{ITEMS}, b AS (SELECT *, least(100, row_id % 130) AS
  CAST(fs AS INT) AS confidence_score, true AS review_required, CASE WHEN fs >= 75 THEN 'Ready for Review' ELSE 'Needs Review' END AS status FROM d
  UNION ALL SELECT row_id, 1, concat('second ', row_id), '', 1, '', '', 35, false, 'Needs Review' FROM a"""
 SQL["transcript_assembly"] = f"""{V('transcripts')} SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript, CAST(count(*) AS INT) AS turns FROM transcripts GROUP BY 1"""
-SQL["transcript_dimensions"] = """SELECT p_partkey AS conv_id, CASE WHEN p_partkey % 3 = 1 AND p_size <> 99 THEN 'conflict' ELSE 'complete' END AS dimension_status,
- CASE WHEN p_partkey % 3 = 1 THEN '' ELSE CAST(p_size AS VARCHAR) END AS width, CASE WHEN p_partkey % 3 = 1 THEN '' ELSE '24' END AS depth, CASE WHEN p_partkey % 3 = 1 THEN '' ELSE '84' END AS height,
- CASE WHEN p_partkey % 3 = 1 THEN '' ELSE concat(p_size, ' in W x 24 in D x 84 in H') END AS dimensions FROM part WHERE p_partkey % 3 <> 2"""
-SQL["transcript_specs"] = """SELECT p_partkey AS conv_id, 'Dimensions' AS field, CASE WHEN p_partkey % 3 = 0 THEN concat(p_size, ' in W x 24 in D x 84 in H') ELSE '' END AS value, CASE WHEN p_partkey % 3 = 0 THEN 'high' ELSE 'unresolved' END AS confidence FROM part
+_SIZES = """SELECT p_partkey AS conv_id, p_partkey % 3 = 1 AND p_size <> 99 AS clash, p_partkey % 6 <> 5 AS whole,
+ CASE p_partkey % 6 WHEN 2 THEN '36' WHEN 5 THEN '42' ELSE CAST(p_size AS VARCHAR) END AS w FROM part"""
+SQL["transcript_dimensions"] = f"""SELECT conv_id, CASE WHEN clash THEN 'conflict' WHEN whole THEN 'complete' ELSE 'partial' END AS dimension_status,
+ CASE WHEN clash THEN '' ELSE w END AS width, CASE WHEN clash OR NOT whole THEN '' ELSE '24' END AS depth, CASE WHEN clash OR NOT whole THEN '' ELSE '84' END AS height,
+ CASE WHEN clash OR NOT whole THEN '' ELSE concat(w, ' in W x 24 in D x 84 in H') END AS dimensions FROM ({_SIZES})"""
+SQL["transcript_specs"] = f"""SELECT conv_id, 'Dimensions' AS field, CASE WHEN whole AND NOT clash THEN concat(w, ' in W x 24 in D x 84 in H') ELSE '' END AS value, CASE WHEN whole AND NOT clash THEN 'high' ELSE 'unresolved' END AS confidence FROM ({_SIZES})
+ UNION ALL SELECT conv_id, 'Width', CASE WHEN clash THEN '' ELSE concat(w, ' in') END, CASE WHEN clash THEN 'unresolved' WHEN whole THEN 'high' ELSE 'medium' END FROM ({_SIZES})
  UNION ALL SELECT p_partkey, 'Finish / Color', CASE WHEN p_partkey % 3 <> 2 THEN 'brass' ELSE '' END, CASE WHEN p_partkey % 3 <> 2 THEN 'medium' ELSE 'unresolved' END FROM part
  UNION ALL SELECT p_partkey, 'Price', '', 'unresolved' FROM part"""
-SQL["apply_transcript"] = f"""{f.X}, j AS (SELECT x.*, p_size, p_partkey FROM x LEFT JOIN part ON p_partkey = row_id % 1000), k AS (SELECT *, coalesce(p_partkey % 3 = 0, false) AND NOT complete AS a, coalesce(p_partkey % 3 <> 2, false) AND finish_color = '' AS b FROM j)
- SELECT row_id, CASE WHEN a THEN concat(p_size, ' in W x 24 in D x 84 in H') ELSE dimensions END AS dimensions, CASE WHEN b THEN 'brass' ELSE finish_color END AS finish_color,
+SQL["apply_transcript"] = f"""{f.X}, j AS (SELECT x.*, c.conv_id, c.clash, c.whole, c.w FROM x LEFT JOIN ({_SIZES}) c ON c.conv_id = TRY_CAST(regexp_extract(model_sku, '([0-9]+)$', 1) AS BIGINT)),
+ k AS (SELECT *, coalesce(whole AND NOT clash, false) AND NOT complete AS a, coalesce(conv_id % 3 <> 2, false) AND finish_color = '' AS b FROM j)
+ SELECT row_id, CASE WHEN a THEN concat(w, ' in W x 24 in D x 84 in H') ELSE dimensions END AS dimensions, CASE WHEN b THEN 'brass' ELSE finish_color END AS finish_color,
  {f.listing([('a', "'dimensions'"), ('b', "'finish_color'")])} AS applied FROM k"""
 ACTIVE = "include AND NOT charge AND " + f"{f.token('brand')} <> '' AND {f.token('model_sku')} <> ''"
 SQL["intake_dedupe_rooms"] = f"""{f.X} SELECT DISTINCT {f.token('brand')} || '_' || {f.token('model_sku')} AS product_key, {f.spaced('room')} AS room FROM x WHERE {ACTIVE} AND room <> ''"""

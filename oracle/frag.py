@@ -59,16 +59,14 @@ def values_case(c: str, pairs: dict[str, str], other: str) -> str:
 
 
 def section(c: str) -> str:
-    direct = {n.lower(): n for n in lookups.SECTIONS}
-    direct.update({a: t for t, names in lookups.SECTION_ALIASES.items() for a in names})
+    direct = {n.lower(): n for n in lookups.SECTIONS} | lookups.SECTION_ALIASES
     words = " ".join(f"WHEN contains({spaced(c)}, '{w}') THEN '{s}'" for w, s in lookups.SECTION_KEYWORDS)
     return values_case(spaced(c), direct, f"CASE {words} ELSE 'General' END")
 
 
 def category(c: str) -> str:
-    alias = {a: t for t, names in lookups.CATEGORY_ALIASES.items() for a in names}
     listed = {n.lower(): n for n in lookups.CATEGORIES}
-    return values_case(values_case(f"lower(trim({c}))", alias, f"lower(trim({c}))"), listed, "''")
+    return values_case(values_case(f"lower(trim({c}))", lookups.CATEGORY_ALIASES, f"lower(trim({c}))"), listed, "''")
 
 
 def image_ok(c: str) -> str:

@@ -37,10 +37,9 @@ def _fixed_map(pairs: dict) -> Column:
 
 def normalize_category(col: Column) -> Column:
     """Alias, then the closed list, else blank."""
-    alias = {a: target for target, names in lookups.CATEGORY_ALIASES.items() for a in names}
     listed = {name.lower(): name for name in lookups.CATEGORIES}
     key = F.lower(strip(col))
-    target = F.coalesce(F.try_element_at(_fixed_map(alias), key), key)
+    target = F.coalesce(F.try_element_at(_fixed_map(lookups.CATEGORY_ALIASES), key), key)
     return F.coalesce(F.try_element_at(_fixed_map(listed), target), F.lit(""))
 
 
@@ -50,8 +49,7 @@ def section_key(col: Column) -> Column:
 
 def normalize_section(col: Column) -> Column:
     """Section name, alias, first keyword, else General."""
-    direct = {name.lower(): name for name in lookups.SECTIONS}
-    direct.update({a: target for target, names in lookups.SECTION_ALIASES.items() for a in names})
+    direct = {name.lower(): name for name in lookups.SECTIONS} | lookups.SECTION_ALIASES
 
     def pick(key: Column) -> Column:
         words = [(F.contains(key, F.lit(word)), section) for word, section in lookups.SECTION_KEYWORDS]

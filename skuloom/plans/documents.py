@@ -167,7 +167,7 @@ def transcript_dimensions(turns):
 
 @query("transcripts")
 def transcript_specs(turns):
-    return tr.transcript_specs(turns, ("Finish / Color", "Price"))
+    return tr.transcript_specs(turns, ("Width", "Finish / Color", "Price"))
 
 
 @query("conversations")
@@ -183,7 +183,8 @@ def number_words(turns):
 
 @query("intake_wide", "transcripts")
 def apply_transcript(df, turns):
-    rows = df.withColumn("conv_id", F.col("row_id") % 1000)
+    """Every row takes the call about its own part; rows without a model have none."""
+    rows = df.withColumn("conv_id", F.regexp_extract("model_sku", r"(\d+)$", 1).try_cast("bigint"))
     specs = tr.transcript_specs(turns, ("Finish / Color",))
     return tr.apply_transcript(rows, specs).select("row_id", "dimensions", "finish_color", "applied")
 

@@ -85,6 +85,8 @@ VIEWS["transcripts"] = r"""
 SELECT p_partkey AS conv_id, turn, role, text FROM (
   SELECT p_partkey, 0 AS turn, 'assistant' AS role, 'Can you confirm the dimensions?' AS text FROM part
   UNION ALL SELECT p_partkey, 1, 'user', concat('Width ', CAST(p_size AS STRING), ', Height is 84, Depth 24. Finish is brass.') FROM part WHERE p_partkey % 3 <> 2
+  UNION ALL SELECT p_partkey, 1, 'user', 'It is thirty-six inches wide, twenty-four inches deep, and eighty-four inches high.' FROM part WHERE p_partkey % 6 = 2
+  UNION ALL SELECT p_partkey, 1, 'user', 'The width is forty two, the rest I would have to measure.' FROM part WHERE p_partkey % 6 = 5
   UNION ALL SELECT p_partkey, 2, 'user', 'Sorry, width 99.' FROM part WHERE p_partkey % 3 = 1) q
 """
 

@@ -77,6 +77,21 @@ def test_spoken_numbers(spark):
     assert values(spark, ["it is eighty-four inches", "one hundred and two", "no"], tr.number_words) == ["it is 84inches", "102", "no"]
 
 
+def test_spoken_sizes(spark):
+    turns = spark.createDataFrame(
+        [
+            (1, 0, "a", "Yes, for the Scotsman SCN60PA1SU, the dimensions are twenty four inches wide, twenty three inches deep, and thirty four inches high."),
+            (2, 0, "a", "width 36"), (3, 0, "a", None), (3, 1, "a", ""), (4, 0, "a", "width 36"), (4, 1, "a", "it is forty inches wide"),
+        ],
+        "conv_id long, turn int, role string, text string",
+    )
+    got = {(r.conv_id, r.field): (r.value, r.confidence) for r in tr.transcript_specs(turns, ("Width", "Price")).collect()}
+    assert len(got) == 12
+    assert got[1, "Dimensions"] == ("24 in W x 23 in D x 34 in H", "high") and got[1, "Width"] == ("24 in", "high")
+    assert got[2, "Dimensions"] == ("", "unresolved") and got[2, "Width"] == ("36 in", "medium")
+    assert got[4, "Width"] == got[3, "Width"] == got[1, "Price"] == ("", "unresolved")
+
+
 def test_text_candidates():
     assert text_candidates('Product Dimensions: 3"W x 4"H x 5"D.\nShipping dimensions: 9 x 9 x 9 in') == ['3"W x 4"H x 5"D']
     assert text_candidates("Size 10 cm x 20 cm x 30 cm") == ['3.937"W x 7.874"D x 11.811"H']
