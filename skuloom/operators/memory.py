@@ -337,38 +337,54 @@ def source_rank(source_type: Column) -> Column:
     )
 
 
-MERGED_TEXT = ("product_page_url", "dimensions_text", "image_url")
+# Fields of a better-ranked record that a weaker increment does not replace.
+PROTECTED = (
+    "product_page_url", "manufacturer_url", "spec_sheet_url", "dimension_source_url", "image_source_url", "image_url",
+    "dimensions_text", "dimensions", "width_in", "height_in", "depth_in", "dimension_confidence", "image_confidence",
+    "source_domain", "source_type", "confidence_score", "confidence",
+)
+COUNTERS = ("success_count", "failure_count")
+FIRST_TIMES = ("first_seen_at", "created_at")
 
 
 def upsert_memory(memory: DataFrame, delta: DataFrame) -> DataFrame:
-    """Merge one increment per key.
+    """Merge one increment per key into the table; all columns of both sides stay.
 
     The incoming record wins when its (rank, score) is at least the existing one; a better-ranked
-    existing record with at least the score keeps its filled fields.  Null means absent, ``''`` is a value.
+    existing record with at least the score keeps its filled protected fields.  Null means absent, ``''``
+    is a value, a missing score counts as 0.  Counters add up; the first times stay.
     """
-    d = delta.select(*MEMORY_KEYS, *[F.col(c).alias(f"in_{c}") for c in delta.columns if c not in MEMORY_KEYS])
-    j = memory.join(d, MEMORY_KEYS, "full")
+    given = [c for c in delta.columns if c not in MEMORY_KEYS]
+    kinds = dict(delta.dtypes) | dict(memory.dtypes)
+    d = delta.select(*MEMORY_KEYS, *[F.col(c).alias(f"in_{c}") for c in given], F.lit(True).alias("in_present"))
+    j = memory.withColumn("old_present", F.lit(True)).join(d, MEMORY_KEYS, "full")
     old_rank, new_rank = source_rank(F.col("source_type")), source_rank(F.col("in_source_type"))
-    old_score, new_score = F.col("confidence_score"), F.col("in_confidence_score")
-    only_new, only_old = F.col("confidence_score").isNull(), F.col("in_confidence_score").isNull()
+    old_score, new_score = (F.coalesce(F.col(f"{p}confidence_score"), F.lit(0)) for p in ("", "in_"))
     better = (new_rank > old_rank) | ((new_rank == old_rank) & (new_score >= old_score))
     keep = (old_rank > new_rank) & (old_score >= new_score)
 
-    def merged(c: str) -> Column:
-        old, new = F.col(c), F.col(f"in_{c}")
-        pick = F.when(better, F.coalesce(new, old)).otherwise(F.coalesce(old, new))
-        guarded = F.when(keep, F.coalesce(F.nullif(old, F.lit("")), F.nullif(new, F.lit("")), old)).otherwise(pick)
-        return F.when(only_new, new).when(only_old, old).otherwise(guarded).alias(c)
+    def filled(value: Column, kind: str) -> Column:
+        if kind == "string":
+            return F.nullif(value, F.lit(""))
+        return F.nullif(value, F.lit(0)) if kind.startswith(("int", "bigint", "double", "float", "decimal")) else value
 
-    def choose(c: str) -> Column:
+    def merged(c: str) -> Column:
+        if c not in given:
+            return F.col(c)
+        if c not in memory.columns:
+            return F.col(f"in_{c}").alias(c)
         old, new = F.col(c), F.col(f"in_{c}")
-        return F.when(only_new, new).when(only_old, old).when(better & ~keep, new).otherwise(old).alias(c)
-
-    counts = [
-        (F.coalesce(c, F.lit(0)) + F.coalesce(f"in_{c}", F.lit(0))).cast("int").alias(c)
-        for c in ("success_count", "failure_count")
-    ]
-    return j.select(*MEMORY_KEYS, choose("source_type"), choose("confidence_score"), *counts, *[merged(c) for c in MERGED_TEXT])
+        if c in COUNTERS:
+            return (F.coalesce(old, F.lit(0)) + F.coalesce(new, F.lit(0))).cast("int").alias(c)
+        if c in FIRST_TIMES:
+            return F.coalesce(old, new).alias(c)
+        both = F.when(better, F.coalesce(new, old)).otherwise(F.coalesce(old, new))
+        if c in PROTECTED:
+            both = F.when(keep, F.coalesce(filled(old, kinds[c]), filled(new, kinds[c]), old)).otherwise(both)
+        return F.when(F.col("old_present").isNull(), new).when(F.col("in_present").isNull(), old).otherwise(both).alias(c)
+
+    columns = [c for c in memory.columns if c not in MEMORY_KEYS]
+    return j.select(*MEMORY_KEYS, *[merged(c) for c in [*columns, *[c for c in given if c not in columns]]])
 
 
 def upsert_domains(domains: DataFrame, events: DataFrame) -> DataFrame:

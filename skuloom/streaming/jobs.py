@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skuloom.operators.memory import MEMORY_KEYS, MERGED_TEXT, source_rank, upsert_memory
+from skuloom.operators.memory import COUNTERS, MEMORY_KEYS, source_rank, upsert_memory
 from skuloom.session import work_dir
 
 
@@ -34,23 +34,14 @@ def drain(stream: DataFrame, name: str) -> DataFrame:
 
 
 def batch_delta(batch: DataFrame) -> DataFrame:
-    """One record per key of a batch: counters summed, the best-ranked record's fields."""
-    best = F.max(
-        F.struct(
-            source_rank(F.col("source_type")).alias("rank"), "confidence_score", "source_type", *MERGED_TEXT
-        )
-    )
+    """One record per key of a batch: counters summed, all other fields from the best-ranked record."""
+    fields = [c for c in batch.columns if c not in (*MEMORY_KEYS, *COUNTERS)]
+    place = [source_rank(F.col("source_type")).alias("rank"), F.coalesce("confidence_score", F.lit(0)).alias("score")]
+    best = F.max(F.struct(*place, F.struct(*fields).alias("record")))
     return (
         batch.groupBy(*MEMORY_KEYS)
-        .agg(
-            best.alias("b"),
-            F.sum("success_count").cast("int").alias("success_count"),
-            F.sum("failure_count").cast("int").alias("failure_count"),
-        )
-        .select(
-            *MEMORY_KEYS, "b.source_type", "b.confidence_score", "success_count", "failure_count",
-            *[F.col(f"b.{c}") for c in MERGED_TEXT],
-        )
+        .agg(best.alias("b"), *[F.sum(c).cast("int").alias(c) for c in COUNTERS])
+        .select(*MEMORY_KEYS, *[F.col(f"b.record.{c}") for c in fields], *COUNTERS)
     )
 
 

@@ -9,6 +9,7 @@ from skuloom.operators import documents as doc
 from skuloom.operators import export, keyed, page_parse, pages
 from skuloom.operators import intake_dedupe as dd
 from skuloom.operators.enrich import greedy_budget
+from skuloom.operators.memory import upsert_memory
 from skuloom.registry import source
 
 SF = "/root/testdata/sf0.001"
@@ -162,3 +163,22 @@ def test_sources(spark, tmp_path):
     assert sorted(r.product_url for r in got) == ["https://a.com/x", "https://b.com"] and got[0].project == "P"
     (tmp_path / "side_table-1.pdf").write_bytes(b"x")
     assert [r.product_name for r in src.read_documents(spark, str(tmp_path)).collect()] == ["side table 1"]
+
+
+def test_memory_upsert_keeps_whole_records(spark):
+    keys = "normalized_brand string, normalized_model_sku string, "
+    rest = "source_type string, confidence_score int, success_count int, failure_count int, dimensions_text string, width_in double"
+    old = spark.createDataFrame(
+        [("a", "1", "manufacturer", None, 2, 0, "3 x 4", 5.0, "kept", "2020"), ("b", "1", "retailer", 90, 1, 1, "", 0.0, "n", None)],
+        keys + rest + ", note string, first_seen_at string",
+    )
+    new = spark.createDataFrame(
+        [("a", "1", "other", None, 1, 0, "", None, "2024"), ("b", "1", "manual", None, 0, 1, "9 x 9", 2.0, "2024"), ("c", "1", "other", None, 1, 0, "", 1.0, "2024")],
+        keys + rest + ", first_seen_at string",
+    )
+    got = {r.normalized_brand: r for r in upsert_memory(old, new).collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert (got["a"].source_type, got["a"].dimensions_text, got["a"].width_in, got["a"].note, got["a"].first_seen_at) == ("manufacturer", "3 x 4", 5.0, "kept", "2020")
+    assert (got["a"].success_count, got["b"].failure_count) == (3, 2)
+    assert (got["b"].source_type, got["b"].confidence_score, got["b"].dimensions_text, got["b"].first_seen_at) == ("manual", 90, "9 x 9", "2024")
+    assert (got["c"].source_type, got["c"].note, got["c"].width_in) == ("other", None, 1.0)
