@@ -6,7 +6,7 @@ from skuloom.functions import dims, rules, urls
 from skuloom.functions import text as tx
 from skuloom.operators import transcripts as tr
 from skuloom.operators.candidates import model_variants, weak_page_reason
-from skuloom.operators.pages import text_candidates
+from skuloom.operators.pages import dimension_candidates
 
 
 def values(spark, inputs, fn):
@@ -92,7 +92,24 @@ def test_spoken_sizes(spark):
     assert got[4, "Width"] == got[3, "Width"] == got[1, "Price"] == ("", "unresolved")
 
 
-def test_text_candidates():
-    assert text_candidates('Product Dimensions: 3"W x 4"H x 5"D.\nShipping dimensions: 9 x 9 x 9 in') == ['3"W x 4"H x 5"D']
-    assert text_candidates("Size 10 cm x 20 cm x 30 cm") == ['3.937"W x 7.874"D x 11.811"H']
-    assert text_candidates("Cutout dimensions: 3 x 4 x 5") == []
+CANDIDATES = [
+    ('Product Dimensions: 3"W x 4"H x 5"D.\nShipping dimensions: 9 x 9 x 9 in', ['3"W x 4"H x 5"D']),
+    ("Size 10 cm x 20 cm x 30 cm", ['3.937"W x 7.874"D x 11.811"H']),
+    ("Cutout dimensions: 3 x 4 x 5", []),
+    ("Überall 😀 size: 1/2 x 3 1/4 x 5;\nSize: 1/2 x 3 1/4 x 5", ["1/2 x 3 1/4 x 5", '1/2"W x 3 1/4"D x 5"H']),
+    ("box 3 x 4 x 5", []),
+    ("no figures here", []),
+    ("", []),
+    (None, []),
+]
+
+
+def test_dimension_candidates(spark):
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(CANDIDATES)], "k int, t string")
+    got = df.select("k", dimension_candidates(F.col("t")).alias("c")).orderBy("k").collect()
+    assert [r["c"] for r in got] == [want for _, want in CANDIDATES]
+
+
+def test_cutout_candidates(spark):
+    df = spark.createDataFrame([("Cutout dimensions: 3 x 4 x 5",)], "t string")
+    assert df.select(dimension_candidates(F.col("t"), cutout=True)).first()[0] == ["3 x 4 x 5"]
