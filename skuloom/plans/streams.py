@@ -12,7 +12,7 @@ def run_log_stream(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     log = events.select(F.col("ts").alias("timestamp"), F.col("event_type").alias("status"))
-    out = jobs.drain(jobs.run_log_windows(log), "run-log")
+    out = jobs.drain(jobs.run_log_windows(log), "run-log", ["window_start", "window_end", "status"])
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
 
 QUERIES["run_log_stream"] = run_log_stream

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from skuloom.operators.memory import COUNTERS, MEMORY_KEYS, source_rank, upsert_memory
 from skuloom.session import work_dir
@@ -19,18 +20,30 @@ def run_log_windows(log: DataFrame, delay: str = "1 hour", width: str = "1 day")
     )
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream over what is available now into a table and return that table."""
-    folder = work_dir(stream.sparkSession, name)
+def drain(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Run an aggregated stream over what is available now; the newest row per key, open windows included.
+
+    Every batch writes the rows it changed under its own number, so a batch that is run again replaces its own rows.
+    """
+    spark = stream.sparkSession
+    folder = work_dir(spark, name)
+    schema, rest = stream.schema, [c for c in stream.columns if c not in keys]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    # Batch -1 is empty: a stream without input has a table as well.
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/rows/batch=-1")
     query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
+        stream.writeStream.outputMode("update").foreachBatch(write)
         .option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True)
-        .start(f"{folder}/rows")
+        .start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{folder}/rows")
+    newest = rows.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("newest"))
+    return newest.select(*keys, *[F.col(f"newest.{c}").alias(c) for c in rest])
 
 
 def batch_delta(batch: DataFrame) -> DataFrame:
