@@ -32,10 +32,12 @@ def build_session(app: str = "skuloom", master: str | None = None, **conf: str)
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for an intermediate table, below ``spark.checkpoint.dir``.
 
-    The cluster names a shared folder there.  Only where it is unset (tests on
-    one machine) a temporary folder is used.
+    The cluster names a shared folder there; a cluster session without it is refused.  Only a
+    local session (tests on one machine) gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
