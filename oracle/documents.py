@@ -20,14 +20,14 @@ SQL["room_annotation"] = f"""{V('quote_lines')} SELECT DISTINCT doc_id, line_no,
 SQL["parsed_documents"] = f"""{Q}, r AS ({ROWS}), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(product_name), lower(model_sku) ORDER BY line_no, price, quantity) AS rn FROM r)
  SELECT k.doc_id, line_no, product_name, model_sku, CASE WHEN o_orderkey IS NULL THEN '' ELSE 'Example Dealer' END AS supplier,
  CASE WHEN line_no = 91 THEN 'Manual Review' WHEN line_no < 90 THEN 'Needs Enrichment' ELSE 'Needs Review' END AS status, quantity, price FROM k LEFT JOIN orders ON o_orderkey = k.doc_id WHERE rn = 1"""
-LI = """li AS (SELECT l.*, p_name, p_type || p_partkey AS md, CAST(floor(l_quantity) AS BIGINT) AS q FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS rn FROM lineitem) l
- JOIN part ON p_partkey = l_partkey WHERE rn = 1), o AS (SELECT o_orderkey FROM orders)"""
-CELLS = f"""WITH {LI}, c AS (SELECT l_orderkey AS doc_id, CAST(l_linenumber AS INT) AS row_no, CASE WHEN l_orderkey % 3 < 2 AND o_orderkey IS NOT NULL THEN p_name WHEN l_orderkey % 3 = 2 THEN 'Wolf ' || p_name ELSE NULL END AS product_name,
+ROW_NO = "CAST(l_linenumber * 10000019 + (l_partkey * 10007 + l_suppkey * 101 + CAST(floor(l_quantity) AS BIGINT)) % 10000019 AS INT)"
+LI = """li AS (SELECT l.*, p_name, p_type || p_partkey AS md, CAST(floor(l_quantity) AS BIGINT) AS q FROM lineitem l JOIN part ON p_partkey = l_partkey), o AS (SELECT o_orderkey FROM orders)"""
+CELLS = f"""WITH {LI}, c AS (SELECT l_orderkey AS doc_id, {ROW_NO} AS row_no, CASE WHEN l_orderkey % 3 < 2 AND o_orderkey IS NOT NULL THEN p_name WHEN l_orderkey % 3 = 2 THEN 'Wolf ' || p_name ELSE NULL END AS product_name,
  CASE l_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'Miele' ELSE 'Wolf' END AS brand, md AS model_sku, CAST(q AS INT) AS quantity, CASE l_orderkey % 3 WHEN 0 THEN '$10.00' WHEN 1 THEN '$11.00' ELSE '' END AS price,
  CASE l_orderkey % 3 WHEN 0 THEN 'Brass' ELSE '' END AS finish_color FROM li LEFT JOIN o ON o_orderkey = l_orderkey)"""
 SQL["cells_to_rows"] = f"""{CELLS} SELECT * FROM c UNION ALL SELECT o_orderkey, 0, 'ok | ok', '', '', 1, '', '' FROM orders WHERE o_orderkey % 3 = 2"""
 SQL["header_forward_fill"] = f"""{V('quote_cells')} SELECT doc_id, row_no, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS header FROM (
- SELECT doc_id, row_no, CASE WHEN row_no IN (0, 3) THEN concat('h', row_no) END AS own FROM quote_cells) t"""
+ SELECT doc_id, row_no, CASE WHEN row_no = 0 OR row_no % 7 = 3 THEN concat('h', row_no) END AS own FROM quote_cells) t"""
 SQL["first_seen_per_doc"] = f"""{CELLS}, t AS (SELECT doc_id, product_name, model_sku, row_no FROM c WHERE doc_id % 3 < 2 UNION ALL SELECT l_orderkey, 'Wolf ' || p_name, p_type || p_partkey, CAST(l_linenumber AS INT) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 3 = 2)
  SELECT doc_id, any_value(product_name) AS product_name, any_value(model_sku) AS model_sku, min(row_no) AS row_no FROM t GROUP BY doc_id, lower(product_name), lower(model_sku)"""
 SIDES = f"""{V('intake_wide')}, p AS (SELECT CAST(floor(row_id / 10) AS BIGINT) AS doc_id, row_id, {f.token('model_sku')} AS mk, product_name, quantity, notes FROM intake_wide WHERE model_sku <> ''),

@@ -71,7 +71,7 @@ def cells_to_rows(cells):
 def header_forward_fill(cells):
     from skuloom.operators.keyed import carry_down
 
-    head = F.when(F.col("row_no").isin(0, 3), F.concat(F.lit("h"), F.col("row_no").cast("string")))
+    head = F.when((F.col("row_no") == 0) | (F.col("row_no") % 7 == 3), F.concat(F.lit("h"), F.col("row_no").cast("string")))
     rows = cells.select("doc_id", "page", "table_no", "row_no", head.alias("own"))
     return carry_down(rows, ["doc_id", "page", "table_no"], "row_no", "own", "header", slice_rows=4).select("doc_id", "row_no", "header")
 

@@ -190,11 +190,11 @@ UNION ALL SELECT DISTINCT lower(replace(p_brand, '#', '')), 1, 'shop.example.org
 VIEWS["quote_cells"] = """
 SELECT o_orderkey AS doc_id, 1 AS page, 0 AS table_no, 0 AS row_no, CASE o_orderkey % 3 WHEN 0 THEN 'Item Description|Model #|Qty|Unit Price|Color'
   WHEN 1 THEN 'Manufacturer|Model|Description|Quantity|Amount' ELSE 'ok|ok' END AS cell_text FROM orders
-UNION ALL SELECT l_orderkey, 1, 0, CAST(l_linenumber AS INT), CASE l_orderkey % 3 WHEN 0 THEN concat(p_name, '|', p_type, CAST(p_partkey AS STRING), '|', CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING), ' pcs|$10.00|Brass')
+UNION ALL SELECT l_orderkey, 1, 0, CAST(l_linenumber * 10000019 + (l_partkey * 10007 + l_suppkey * 101 + CAST(floor(l_quantity) AS BIGINT)) % 10000019 AS INT), CASE l_orderkey % 3 WHEN 0 THEN concat(p_name, '|', p_type, CAST(p_partkey AS STRING), '|', CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING), ' pcs|$10.00|Brass')
   WHEN 1 THEN concat('Miele|', p_type, CAST(p_partkey AS STRING), '|', p_name, '|', CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING), '|$11.00')
   ELSE concat('Wolf ', p_name, ' Model: ', p_type, CAST(p_partkey AS STRING), ' Qty ', CAST(CAST(floor(l_quantity) AS BIGINT) AS STRING), '|') END
-FROM (SELECT li.*, row_number() OVER (PARTITION BY li.l_orderkey, li.l_linenumber ORDER BY li.l_partkey, li.l_suppkey, li.l_shipdate, li.l_quantity, li.l_extendedprice) AS rn FROM lineitem li) d JOIN part ON p_partkey = l_partkey WHERE rn = 1
-UNION ALL SELECT o_orderkey, 1, 0, 99, 'Subtotal|$100.00' FROM orders
+FROM lineitem JOIN part ON p_partkey = l_partkey
+UNION ALL SELECT o_orderkey, 1, 0, 99999999, 'Subtotal|$100.00' FROM orders
 """
 
 # Which views a view reads.
