@@ -8,6 +8,7 @@ from skuloom.functions import rules, urls
 from skuloom.operators import export, runlog, scoring
 from skuloom.registry import query
 from skuloom.sources import sinks
+from skuloom.sources.sample_views import order_of
 
 
 @query("intake_wide")
@@ -112,7 +113,7 @@ def send_path(df):
 
 @query("intake_wide", "orders")
 def needs_ai_parse(df, orders):
-    rows = df.withColumn("doc_id", F.floor(df.row_id / 10))
+    rows = df.withColumn("doc_id", order_of("row_id"))
     return scoring.parse_batches(rows, orders.select(F.col("o_orderkey").alias("doc_id")), "doc_id")
 
 

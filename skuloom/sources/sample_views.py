@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -197,6 +198,15 @@ FROM lineitem JOIN part ON p_partkey = l_partkey
 UNION ALL SELECT o_orderkey, 1, 0, 99999999, 'Subtotal|$100.00' FROM orders
 """
 
+# A row_id of ``intake`` is (l_orderkey * 10 + l_linenumber) * 10000019 + a hash below that factor.
+IDS_PER_ORDER = 10 * 10000019
+
+
+def order_of(row_id: str) -> Column:
+    """The order key inside a row_id of ``intake``: the document that the line belongs to."""
+    return F.expr(f"{row_id} div {IDS_PER_ORDER}")
+
+
 # Which views a view reads.
 NEEDS = {"intake_wide": ("intake",)}
 
