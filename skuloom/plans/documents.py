@@ -10,6 +10,7 @@ from skuloom.operators import documents as doc
 from skuloom.operators import intake_dedupe as dd
 from skuloom.operators import transcripts as tr
 from skuloom.registry import query
+from skuloom.sources.sample_views import order_of
 
 
 @query("quote_lines")
@@ -87,7 +88,7 @@ def first_seen_per_doc(cells, lines):
 
 
 def _sides(df):
-    parsed = df.withColumns({"doc_id": F.floor(F.col("row_id") / 10), "position": F.col("row_id")})
+    parsed = df.withColumns({"doc_id": order_of("row_id"), "position": F.col("row_id")})
     model = parsed.filter(F.col("row_id") % 3 > 0).withColumns(
         {
             "product_name": F.when(F.col("row_id") % 2 == 0, F.concat("product_name", F.lit(" deluxe"))).otherwise(F.lit("")),
