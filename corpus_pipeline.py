@@ -20,41 +20,49 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """The columns of documents and a running id, so that rows with one doc_id stay apart."""
-    return docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id())
+    """The columns of documents and a running id, so that rows with one doc_id stay apart.
 
+    The ids depend on how the input is split among tasks, so the table is written once: the operator's
+    verdict and the rows it applies to must come from the same numbering.
+    """
+    return stored(docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id()), "numbered")
 
-def joined(docs: DataFrame, verdict: DataFrame, how: str) -> DataFrame:
-    return numbered(docs).join(verdict.withColumnRenamed("doc_id", "row_id"), "row_id", how)
 
+def joined(rows: DataFrame, verdict: DataFrame, how: str) -> DataFrame:
+    return rows.join(verdict.withColumnRenamed("doc_id", "row_id"), "row_id", how)
 
-def as_documents(docs: DataFrame) -> DataFrame:
-    return numbered(docs).withColumn("doc_id", F.col("row_id")).select(*COLUMNS)
+
+def as_documents(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("row_id")).select(*COLUMNS)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    verdict = quality_rules(as_documents(docs)).filter("kept").select("doc_id")
-    return joined(docs, verdict, "left_semi").select(*COLUMNS)
+    rows = numbered(docs)
+    verdict = quality_rules(as_documents(rows)).filter("kept").select("doc_id")
+    return joined(rows, verdict, "left_semi").select(*COLUMNS)
 
 
 def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents the first row stays."""
-    verdict = ngram_join(as_documents(docs)).filter("doc_id = component_id").select("doc_id")
-    return joined(docs, verdict, "left_semi").select(*COLUMNS)
+    rows = numbered(docs)
+    verdict = ngram_join(as_documents(rows)).filter("doc_id = component_id").select("doc_id")
+    return joined(rows, verdict, "left_semi").select(*COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
-    verdict = decontaminate(as_documents(docs), read_table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    return joined(docs, verdict, "left_anti").select(*COLUMNS)
+    rows = numbered(docs)
+    verdict = decontaminate(as_documents(rows), read_table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
+    return joined(rows, verdict, "left_anti").select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All reported spans are masked in the text."""
-    spans = secret_scan(as_documents(docs).withColumn("repository", F.col("doc_id")), repository="repository")
+    rows = numbered(docs)
+    spans = secret_scan(as_documents(rows).withColumn("repository", F.col("doc_id")), repository="repository")
     spans = spans.filter(F.size("spans") > 0).select("doc_id", "spans")
-    out = joined(docs, spans, "left")
+    out = joined(rows, spans, "left")
     text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans")))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
