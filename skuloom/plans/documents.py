@@ -79,8 +79,8 @@ def header_forward_fill(cells):
 
 @query("quote_cells", "quote_lines")
 def first_seen_per_doc(cells, lines):
-    tables = doc.cells_to_rows(_cells(cells).filter(F.col("doc_id") % 3 < 2)).select("doc_id", "page", "row_no", "product_name", "model_sku", "price")
-    rest = doc.lines_to_rows(lines.filter(F.col("line_no") < 90)).select(
+    tables = doc.cells_to_rows(_cells(cells)).select("doc_id", "page", "row_no", "product_name", "model_sku", "price")
+    rest = doc.lines_to_rows(lines).select(
         "doc_id", F.lit(1).alias("page"), F.col("line_no").alias("row_no"), "product_name", "model_sku", "price"
     )
     kept = doc.prefer_tables(tables, rest)

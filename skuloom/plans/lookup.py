@@ -113,8 +113,7 @@ def memory_best_per_key(memory):
 
 @query("part", "source_memory", "preferred_domains")
 def preferred_domain_hint(part, memory, domains):
-    some = memory.filter(~F.col("normalized_brand").endswith("3"))
-    return mem.domain_hint(part.select(F.col("p_brand").alias("brand")), some, domains)
+    return mem.domain_hint(part.select(F.col("p_brand").alias("brand")), memory, domains)
 
 
 @query("source_memory", "memory_delta")

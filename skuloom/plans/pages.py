@@ -43,7 +43,7 @@ def dims_best(part):
         F.when(F.col("p_partkey") % 2 == 0, F.concat(n, F.lit('"W x 3"H x 4"D'))).otherwise(F.concat(n, F.lit('"W x 3"H'))),
         F.lit('Width 5 cm, Height: 6, Depth is 7'),
     )
-    rows = part.filter("p_partkey > 0").select(
+    rows = part.select(
         "p_partkey", F.posexplode(F.when(F.col("p_partkey") % 3 == 0, F.slice(texts, 1, 2)).otherwise(texts)).alias("pos", "candidate")
     )
     return pages.best_candidate(rows, ["p_partkey"], ["pos"])
