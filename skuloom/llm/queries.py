@@ -98,10 +98,19 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skuloom.llm.quality_classifier import fit, quality, sample
+
+    docs = _held_out(read_table(spark, sf_dir, "documents"), 4, 2)
+    labels = _held_out(read_table(spark, sf_dir, "labels"), 4, 2)
+    return quality(docs, fit(sample(docs.filter("NOT held_out"), labels.filter("NOT held_out"))))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_warc_index_merge, op3_mix_sources, op4_ngram_jaccard_join, op5_quality_rules,
         op6_url_reputation, op7_language_id, op8_toxicity, op9_secret_scan, op10_suffix_array_dedup,
+        op11_quality_classifier,
     )
 }
