@@ -1,7 +1,8 @@
 """Quality classifier: logistic regression on hashed word n-grams, trained by follow-the-regularised-leader.
 
 Words are runs of ASCII letters, digits and non-ASCII bytes, or runs of other signs, with A-Z lower-cased; every word
-and every pair of neighbouring words is hashed into one of ``2^BITS`` slots.  A text's vector holds for each slot the
+and every pair of neighbouring words is hashed into one of ``2^BITS`` slots; pairs whose second word is one of the two words
+before it share one slot, so that a stuttering text shows whatever its words are.  A text's vector holds for each slot the
 number of its n-grams over the root of all n-grams of the text, so a score is one sparse dot product.
 
 Training is distributed: the sample is dealt into shards, every task runs the per-coordinate FTRL-proximal update over
@@ -36,6 +37,7 @@ SLOTS = 1 << BITS
 PIECE = 1 << 20
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 _BASE = np.uint64(0xD1342543DE82EF95)
+_SAME = np.uint64(0x9E3779B97F4A7C15)  # the hash of every pair that repeats a word
 _SHIFT = np.uint64(64 - BITS)
 
 
@@ -53,15 +55,17 @@ def pieces(raw: bytes) -> Iterator[bytes]:
 
 def slots(raw: bytes | None) -> Iterator[np.ndarray]:
     """Slots of the words and word pairs of a text, in one array per piece."""
-    last = None
+    last = np.zeros(0, np.uint64)
     for piece in pieces(raw.lower()) if raw else ():
         words = WORD.findall(piece)
         if not words:
             continue
         one = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
-        run = one if last is None else np.r_[last, one]
-        two = mix(run[:-1] * _BASE + run[1:])
-        last = one[-1:]
+        run = np.r_[last, one]
+        at = np.arange(max(1, len(last)), len(run))
+        again = (run[at] == run[at - 1]) | ((at > 1) & (run[at] == run[at - 2]))
+        two = np.where(again, _SAME, mix(run[at - 1] * _BASE + run[at]))
+        last = run[-2:]
         yield (np.r_[one, two] >> _SHIFT).astype(np.int64)
 
 
