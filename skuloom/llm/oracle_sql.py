@@ -151,3 +151,67 @@ numbered AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM
 passages AS (SELECT r, min(i) AS s, max(i) + 50 AS e FROM numbered GROUP BY r, k)
 SELECT doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, CAST(sum(e - s) AS BIGINT) AS n_repeated, string_agg(s || ':' || e, ',' ORDER BY s) AS passages
 FROM passages JOIN d USING (r) GROUP BY r, doc_id"""
+
+
+def _edit(state: str, cost: str, letter: str, line: str) -> str:
+    return f"CASE WHEN {state} IS NOT NULL THEN {{'c': {state}.c + {cost}, 'w': {state}.w || '{letter}', 't': {state}.t || {line}}} END"
+
+
+def _least(*ways: str) -> str:
+    """The cheapest way, of equal ones the ASCII-least edits; ways that do not exist are null."""
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _kept(state: str, initial: str) -> str:
+    return f"CASE WHEN NOT del AND k = '{initial}' THEN {_edit(state, 'tr', 'K', 'line')} END"
+
+
+def _changed(state: str, role: str) -> str:
+    body = "chr(10) || '" + role + ":' || text"
+    return f"CASE WHEN NOT del THEN {_edit(state, '(3 + tr)', 'R', body)} END"
+
+
+def _added(state: str, role: str) -> str:
+    return _edit(state, "3", "I", f"chr(10) || '{role}:'")
+
+
+def _dropped(state: str) -> str:
+    return _edit(state, "4", "D", "''")
+
+
+SQL["op12_conversation_repair"] = rf"""
+WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, j: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) AS t(i))),
+known AS (SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+faults AS (SELECT known.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda x: CAST(ord(x) AS BIGINT))),
+  lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS fault FROM known, tab),
+hurt AS (SELECT c, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+  CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM faults, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS u(copy) WHERE fault <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS i FROM hurt),
+marked AS (SELECT *, left(role, 1) AS k, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+  row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 AS again, lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS prior,
+  CASE WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 0 ELSE 3 END AS tr FROM placed),
+r AS (SELECT *, blank OR again AS del, chr(10) || role || ':' || text AS line FROM marked),
+stat AS (SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+  count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (tr > 0 AND NOT del) AS truncated,
+  count(*) FILTER (prior IS NOT NULL AND (prior || k) NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY c),
+start AS (SELECT DISTINCT c FROM known),
+walk AS (
+  SELECT c, CAST(0 AS BIGINT) AS i, {{'c': CAST(0 AS BIGINT), 'w': '', 't': ''}} AS q0, CAST(NULL AS STRUCT(c BIGINT, w VARCHAR, t VARCHAR)) AS q1,
+    {{'c': CAST(3 AS BIGINT), 'w': 'I', 't': chr(10) || 'user:'}} AS q2,
+    {{'c': CAST(6 AS BIGINT), 'w': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS q3 FROM start
+  UNION ALL
+  SELECT c, i, q0, q1, p2 AS q2, {_least('p3', _added('p2', 'assistant'))} AS q3 FROM (
+    SELECT c, i, p0 AS q0, p1 AS q1, {_least('p2', _added('p0', 'user'), _added('p1', 'user'), _added('p3', 'user'))} AS p2, p3 FROM (
+      SELECT c, r.i AS i, {_dropped('q0')} AS p0, {_least(_dropped('q1'), _kept('q0', 's'))} AS p1,
+        {_least(_dropped('q2'), *[_kept(q, 'u') for q in ('q0', 'q1', 'q3')], *[_changed(q, 'user') for q in ('q0', 'q1', 'q3')])} AS p2,
+        {_least(_dropped('q3'), _kept('q2', 'a'), _changed('q2', 'assistant'))} AS p3
+      FROM walk JOIN r USING (c) WHERE r.i = walk.i + 1))),
+last AS (SELECT c, {_least('q0', 'q3')} AS best, i FROM walk),
+ids AS (SELECT DISTINCT c, conv_id FROM known)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(best.c AS BIGINT) AS cost, best.w AS audit,
+  sha256(substr(best.t, 2)) AS repaired_sha256, CAST(coalesce(n, 0) AS BIGINT) AS n_rows
+FROM ids JOIN last USING (c) LEFT JOIN stat USING (c) WHERE last.i = coalesce(n, 0)"""

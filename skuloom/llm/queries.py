@@ -106,11 +106,26 @@ def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(docs, fit(sample(docs.filter("NOT held_out"), labels.filter("NOT held_out"))))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from skuloom.llm.conversation_repair import damaged, repair
+
+    return repair(damaged(read_table(spark, sf_dir, "conversations")))[1]
+
+
+VOCABULARIES = "/opt/tokenizers"
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str, vocabularies: str = VOCABULARIES) -> DataFrame:
+    from skuloom.llm.token_alignment import align
+
+    return align(read_table(spark, sf_dir, "documents"), f"{vocabularies}/byte_bpe_50k.json", f"{vocabularies}/piece_bpe_32k.model")[0]
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_benchmark_decontamination, op2_warc_index_merge, op3_mix_sources, op4_ngram_jaccard_join, op5_quality_rules,
         op6_url_reputation, op7_language_id, op8_toxicity, op9_secret_scan, op10_suffix_array_dedup,
-        op11_quality_classifier,
+        op11_quality_classifier, op12_conversation_repair, op13_cross_tokenizer_alignment,
     )
 }
