@@ -28,9 +28,10 @@ CELLS = f"""WITH {LI}, c AS (SELECT l_orderkey AS doc_id, {ROW_NO} AS row_no, CA
 SQL["cells_to_rows"] = f"""{CELLS} SELECT * FROM c UNION ALL SELECT o_orderkey, 0, 'ok | ok', '', '', 1, '', '' FROM orders WHERE o_orderkey % 3 = 2"""
 SQL["header_forward_fill"] = f"""{V('quote_cells')} SELECT doc_id, row_no, last_value(own IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS header FROM (
  SELECT doc_id, row_no, CASE WHEN row_no = 0 OR row_no % 7 = 3 THEN concat('h', row_no) END AS own FROM quote_cells) t"""
-SQL["first_seen_per_doc"] = f"""{CELLS}, t AS (SELECT doc_id, product_name, model_sku, row_no FROM c WHERE doc_id % 3 < 2 UNION ALL SELECT l_orderkey, 'Wolf ' || p_name, p_type || p_partkey, CAST(l_linenumber AS INT) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 3 = 2)
- SELECT doc_id, any_value(product_name) AS product_name, any_value(model_sku) AS model_sku, min(row_no) AS row_no FROM t GROUP BY doc_id, lower(product_name), lower(model_sku)"""
-SIDES = f"""{V('intake_wide')}, p AS (SELECT CAST(floor(row_id / 10) AS BIGINT) AS doc_id, row_id, {f.token('model_sku')} AS mk, product_name, quantity, notes FROM intake_wide WHERE model_sku <> ''),
+SQL["first_seen_per_doc"] = f"""{Q}, {CELLS[5:]}, r AS ({ROWS}), t AS (SELECT doc_id, product_name, model_sku, row_no FROM c UNION ALL SELECT o_orderkey, 'ok | ok', '', 0 FROM orders WHERE o_orderkey % 3 = 2
+ UNION ALL SELECT doc_id, product_name, model_sku, line_no FROM r WHERE doc_id % 3 < 2 AND doc_id NOT IN (SELECT doc_id FROM c))
+ SELECT doc_id, arg_min(product_name, row_no) AS product_name, arg_min(model_sku, row_no) AS model_sku, CAST(min(row_no) AS INT) AS row_no FROM t GROUP BY doc_id, lower(product_name), lower(model_sku)"""
+SIDES = f"""{V('intake_wide')}, p AS (SELECT row_id // 100000190 AS doc_id, row_id, {f.token('model_sku')} AS mk, product_name, quantity, notes FROM intake_wide WHERE model_sku <> ''),
  p2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id, mk ORDER BY row_id) AS nth FROM p),
  m2 AS (SELECT doc_id, row_id, mk, CASE WHEN row_id % 2 = 0 THEN trim(product_name || ' deluxe') ELSE '' END AS product_name, quantity % 3 AS quantity, row_number() OVER (PARTITION BY doc_id, mk ORDER BY row_id) AS nth FROM p WHERE row_id % 3 > 0)"""
 SQL["merge_parser_ai"] = f"""{SIDES} SELECT p2.doc_id, p2.mk AS model_key, CAST(p2.nth AS INT) AS nth, p2.row_id AS p_position, m2.row_id AS m_position, CASE WHEN coalesce(m2.product_name, '') <> '' THEN m2.product_name ELSE p2.product_name END AS product_name,

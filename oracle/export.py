@@ -179,7 +179,7 @@ SQL["blocked_reason_counts"] = f"""{f.X}, b AS (SELECT {BLOCK} AS t FROM x WHERE
  UNION ALL SELECT 'other' FROM b WHERE t <> '' AND NOT contains(t, 'Missing dimensions') AND NOT contains(t, 'No category')) u GROUP BY 1"""
 SQL["send_path"] = f"""{f.X}, b AS (SELECT *, {BLOCK} AS t FROM x) SELECT count(*) AS sendable, count(*) FILTER (source_type = 'URL' AND product_url <> '') AS link_rows,
  count(*) FILTER (NOT (source_type = 'URL' AND product_url <> '')) AS schedule_rows FROM b WHERE t = ''"""
-SQL["needs_ai_parse"] = f"""{f.with_views('intake_wide')}, c AS (SELECT CAST(floor(row_id / 10) AS BIGINT) AS doc_id, min({PARSE}) AS low FROM intake_wide GROUP BY 1)
+SQL["needs_ai_parse"] = f"""{f.with_views('intake_wide')}, c AS (SELECT row_id // 100000190 AS doc_id, min({PARSE}) AS low FROM intake_wide GROUP BY 1)
  SELECT o_orderkey AS doc_id, low IS NULL OR low < 90 AS needs_parse, CASE WHEN low IS NULL THEN 'deterministic parser returned no rows'
  WHEN low < 90 THEN 'deterministic parse missing critical fields' ELSE 'deterministic parse complete' END AS reason FROM orders LEFT JOIN c ON c.doc_id = o_orderkey"""
 SQL["section_exists"] = f"""{f.with_views('intake_wide')} SELECT {f.spaced('category')} AS key, min(category) AS section FROM intake_wide

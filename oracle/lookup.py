@@ -53,7 +53,7 @@ SQL["confidence_ok"] = f"""{V('product_cache')} SELECT product_key, dimension_co
 SQL["memory_best_per_key"] = f"""{V('source_memory')} SELECT normalized_brand, confidence_score, success_count, product_page_url FROM (SELECT *, row_number() OVER (PARTITION BY normalized_brand
  ORDER BY confidence_score DESC, success_count DESC, product_page_url) AS rn FROM source_memory) t WHERE rn = 1"""
 SQL["preferred_domain_hint"] = f"""{V('source_memory', 'preferred_domains')}, b AS (SELECT DISTINCT {f.token('p_brand')} AS brand_key FROM part),
- own AS (SELECT DISTINCT normalized_brand AS brand_key FROM source_memory WHERE NOT ends_with(normalized_brand, '3')),
+ own AS (SELECT DISTINCT normalized_brand AS brand_key FROM source_memory),
  rel AS (SELECT brand_key, domain FROM (SELECT brand_key, domain, row_number() OVER (PARTITION BY brand_key ORDER BY success_count - failure_count DESC, domain_id DESC, domain DESC) AS rn
   FROM b JOIN preferred_domains p ON NOT downranked AND (contains({f.token('domain')}, brand_key) OR contains({f.token('notes')}, brand_key))) t WHERE rn = 1)
  SELECT brand_key, CASE WHEN own.brand_key IS NOT NULL THEN 'maker.example.com' ELSE coalesce(rel.domain, '') END AS hint FROM b LEFT JOIN own USING (brand_key) LEFT JOIN rel USING (brand_key)"""
