@@ -134,7 +134,7 @@ SQL["op9_secret_scan"] = f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
 every AS MATERIALIZED (SELECT r, doc_id, coalesce(source, chr(1)) AS source, kind, name, CAST(start AS BIGINT) AS s, CAST(start + size AS BIGINT) AS e, value FROM ({' UNION ALL '.join(_spans(i, k) for i, k in enumerate(KINDS))})
   WHERE name <> 'opaque' OR (regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]'))),
-held AS (SELECT value, count(DISTINCT source) <= 2 AND count(DISTINCT (source, doc_id)) <= 20 AS live FROM every GROUP BY value),
+held AS (SELECT value, count(DISTINCT coalesce('=' || source, '')) <= 2 AS live FROM every GROUP BY value),
 j AS MATERIALIZED (SELECT *, name || ':' || s || ':' || e AS said FROM every JOIN held USING (value)),
 shown AS (SELECT * FROM j WHERE kind < 3 UNION ALL SELECT * FROM j WHERE kind >= 3 AND live AND NOT EXISTS (SELECT 1 FROM j b WHERE b.r = j.r AND b.kind < 3 AND b.s < j.e AND j.s < b.e)),
 per AS (SELECT r, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, string_agg(said, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base,
