@@ -77,12 +77,12 @@ def repeated_words(words: Column) -> Column:
     return let(words, count)
 
 
-def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, lang, source, the base counts, and the rates, one row per document."""
+def measures(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the base counts, and the rates, one row per document; ``carry`` names columns that pass through."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(F.col("t"), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    base = docs.select("doc_id", "lang", "source", t.alias("t")).select(
-        "doc_id", "lang", "source",
+    base = docs.select("doc_id", "lang", "source", *carry, t.alias("t")).select(
+        "doc_id", "lang", "source", *carry,
         space_words(F.col("t")).alias("words"),
         F.length(without(F.col("t"), SPACES)).cast("bigint").alias("word_chars"),
         (F.length("t") - F.length(without(F.col("t"), SYMBOLS))).cast("bigint").alias("n_symbols"),
@@ -90,7 +90,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         (F.length("t") - F.length(F.regexp_replace("t", "[A-Z]+", ""))).alias("capitals"),
     )
     counted = base.select(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", *carry,
         F.size("words").cast("bigint").alias("n_words"), "word_chars", "n_symbols",
         F.col("lines.n").cast("bigint").alias("n_lines"),
         (F.col("lines.n") - F.col("lines.d")).cast("bigint").alias("n_dup_lines"),
@@ -102,7 +102,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.coalesce(F.expr(f"1000 * cast({part} AS bigint) div nullif(cast({whole} AS bigint), 0)"), F.lit(0).cast("bigint"))
 
     return counted.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "lang", "source", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
         rate("n_symbols", "word_chars").alias("symbols"),
         rate("n_dup_lines", "n_lines").alias("dup_lines"),
@@ -160,13 +160,8 @@ def fences(sketch: DataFrame) -> DataFrame:
     )
 
 
-def quality_rules(docs: DataFrame, min_group: int = 200) -> DataFrame:
-    """Verdict per document: base counts, ``base_failed``, ``kept`` and the first broken rate in ``broken``.
-
-    ``min_group``: fewer documents than this in a sketch, and the next coarser sketch decides.
-    """
-    rows = stored(measures(docs), "quality-measures")
-    limit = stored(fences(sketches(rows)), "quality-fences")
+def _judged(rows: DataFrame, limit: DataFrame, min_group: int) -> DataFrame:
+    """Rows of ``measures`` with ``kept`` and the first broken rate in ``broken``."""
     names = [f"{r}_max" for r in RATES]
 
     def at(level: int, prefix: str) -> DataFrame:
@@ -190,8 +185,29 @@ def quality_rules(docs: DataFrame, min_group: int = 200) -> DataFrame:
     broken = F.coalesce(*[
         F.when(F.col(r) > F.col(f"fence.{r}_max"), F.lit(r)) for r in RATES
     ])
-    return joined.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & broken.isNull()).alias("kept"),
-        F.when(~F.col("base_failed"), broken).alias("broken"),
+    return joined.withColumns({
+        "kept": ~F.col("base_failed") & broken.isNull(), "broken": F.when(~F.col("base_failed"), broken),
+    })
+
+
+def quality_rules(docs: DataFrame, min_group: int = 200) -> DataFrame:
+    """Verdict per document: base counts, ``base_failed``, ``kept`` and the first broken rate in ``broken``.
+
+    ``min_group``: fewer documents than this in a sketch, and the next coarser sketch decides.
+    """
+    rows = stored(measures(docs), "quality-measures")
+    limit = stored(fences(sketches(rows)), "quality-fences")
+    return _judged(rows, limit, min_group).select(
+        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "broken"
     )
+
+
+def quality_filter(docs: DataFrame, min_group: int = 200) -> DataFrame:
+    """The documents that ``quality_rules`` keeps, with all their columns.
+
+    A verdict depends on the row itself and its group's fences, so rows are measured once for the fences and again
+    on the way through; texts are not joined with their verdicts.
+    """
+    limit = stored(fences(sketches(stored(measures(docs), "quality-measures"))), "quality-fences")
+    whole = docs.withColumn("_document", F.struct(*docs.columns))
+    return _judged(measures(whole, carry=("_document",)), limit, min_group).filter("kept").select("_document.*")

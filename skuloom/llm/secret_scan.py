@@ -98,6 +98,15 @@ def _gate(kind: Kind, text: Column) -> Column:
     return text.rlike(kind.pattern)
 
 
+def may_hold(text: Column) -> Column:
+    """Whether any kind's quick test passes; texts without it have no spans."""
+    gates = [_gate(k, text) for k in KINDS]
+    out = gates[0]
+    for g in gates[1:]:
+        out = out | g
+    return out
+
+
 def candidates(docs: DataFrame, text: str = "text", owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """One row per document: row, doc_id, owner, repository and all candidate spans of its whole text."""
     t = F.coalesce(F.col(text), F.lit(""))

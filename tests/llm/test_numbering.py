@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
+from skuloom.llm import pipeline
 from skuloom.llm.common import stored
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -16,13 +16,14 @@ def test_verdicts_hit_their_rows(spark, monkeypatch, repeats):
 
     def verdicts(rows):
         spark.conf.set("spark.sql.files.minPartitionNum", "1")
-        found = stored(rows.select("doc_id", F.startswith("text", F.lit("good")).alias("kept")), "verdicts")
+        first = F.when(F.startswith("text", F.lit("good")), F.col("doc_id")).otherwise(-1)
+        found = stored(rows.select("doc_id", first.alias("component_id")), "verdicts")
         spark.conf.set("spark.sql.files.minPartitionNum", "100")
         return found
 
-    monkeypatch.setattr(corpus_pipeline, "quality_rules", verdicts)
+    monkeypatch.setattr(pipeline, "ngram_join", verdicts)
     try:
-        got = corpus_pipeline.quality_stage(spark, docs, "").select("text").collect()
+        got = pipeline.dedupe_stage(spark, docs, "").select("text").collect()
     finally:
         spark.conf.unset("spark.sql.files.minPartitionNum")
     assert sorted(r[0] for r in got) == sorted(t for _, t, *_ in rows if t.startswith("good"))

@@ -74,3 +74,27 @@ def test_empty(spark):
     docs = spark.createDataFrame([], cases.SCHEMA)
     for stage in STAGES.values():
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_filter_is_the_verdict(spark):
+    """The filter of the first stage keeps the rows that the operator's verdict keeps, extra columns included."""
+    from skuloom.llm.quality_rules import quality_filter, quality_rules
+
+    docs = stored(spark.createDataFrame(cases.documents(3, 400), cases.SCHEMA), "awkward")
+    kept = quality_filter(docs, min_group=20)
+    assert kept.columns == docs.columns
+    want = Counter(r["doc_id"] for r in quality_rules(docs, min_group=20).filter("kept").collect())
+    assert Counter(r["doc_id"] for r in kept.collect()) == want
+
+
+def test_equal_rows_keep_their_verdict(spark):
+    """Copies of a contaminated text all go, copies of a secret are all masked, and counts of clean copies stay."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    secret = "password = hunter22hunter22"
+    texts_in = [bench] * 3 + [secret] * 4 + ["clean words only"] * 2 + [None, None, ""]
+    docs = stored(spark.createDataFrame([(i // 2, t, "en", "s", 1) for i, t in enumerate(texts_in)], "doc_id bigint, text string, lang string, source string, n_chars bigint"), "copies")
+    clean = Counter(t for _, t in texts(STAGES["benchmark decontamination"](spark, docs, SF)))
+    assert clean == Counter(texts_in[3:])
+    masked = STAGES["secret scans"](spark, docs, SF).collect()
+    assert Counter(r["text"] for r in masked) == Counter([bench] * 3 + ["[secret]"] * 4 + texts_in[7:])
+    assert all(r["n_chars"] == 8 for r in masked if r["text"] == "[secret]")
