@@ -1,95 +1,13 @@
 """The corpus pipeline: quality rules, near-duplicate join, decontamination, secret redaction, mixing.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents.  ``run`` writes each stage's result as Parquet in the shared folder and reads it for the next.
+The stages lie in the llm subpackage; this file names them for callers that look for it here.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from skuloom.llm.common import read_table, stored
-from skuloom.llm.decontaminate import decontaminate
-from skuloom.llm.mixing import mix
-from skuloom.llm.ngram_join import ngram_join
-from skuloom.llm.quality_rules import quality_rules
-from skuloom.llm.secret_scan import redacted, secret_scan
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """The columns of documents and a running id, so that rows with one doc_id stay apart.
-
-    The ids depend on how the input is split among tasks, so the table is written once: the operator's
-    verdict and the rows it applies to must come from the same numbering.
-    """
-    return stored(docs.select(*COLUMNS).withColumn("row_id", F.monotonically_increasing_id()), "numbered")
-
-
-def joined(rows: DataFrame, verdict: DataFrame, how: str) -> DataFrame:
-    return rows.join(verdict.withColumnRenamed("doc_id", "row_id"), "row_id", how)
-
-
-def as_documents(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("doc_id", F.col("row_id")).select(*COLUMNS)
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    rows = numbered(docs)
-    verdict = quality_rules(as_documents(rows)).filter("kept").select("doc_id")
-    return joined(rows, verdict, "left_semi").select(*COLUMNS)
-
-
-def dedupe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the first row stays."""
-    rows = numbered(docs)
-    verdict = ngram_join(as_documents(rows)).filter("doc_id = component_id").select("doc_id")
-    return joined(rows, verdict, "left_semi").select(*COLUMNS)
-
-
-def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go."""
-    rows = numbered(docs)
-    verdict = decontaminate(as_documents(rows), read_table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id")
-    return joined(rows, verdict, "left_anti").select(*COLUMNS)
-
-
-def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All reported spans are masked in the text."""
-    rows = numbered(docs)
-    spans = secret_scan(as_documents(rows).withColumn("repository", F.col("doc_id")), repository="repository")
-    spans = spans.filter(F.size("spans") > 0).select("doc_id", "spans")
-    out = joined(rows, spans, "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans")))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The account of the mix: how often each document's words are taken."""
-    _, account = mix(docs)
-    return account.select("doc_id", "size", "source_size", "target", "taken")
-
-
-STAGES = [
-    ("quality rules", quality_stage),
-    ("n-gram Jaccard join", dedupe_stage),
-    ("benchmark decontamination", decontaminate_stage),
-    ("secret scans", secret_stage),
-    ("mixing sources to target weights", mixing_stage),
-]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, "stage-" + name.replace(" ", "-"))
-    return docs
+from skuloom.llm.pipeline import COLUMNS, STAGES, run
 
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
 
 # Connected components over all links and the mix's permutations are tested against brute force instead.
 ORACLE_SQL = None
