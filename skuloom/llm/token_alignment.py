@@ -20,6 +20,7 @@ Defined results: null and empty texts, and texts whose A or B bytes differ from
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -56,27 +57,49 @@ class Side:
         self.digits = [f"{i}{end}".encode() for i in range(len(pieces)) for end in (",", "|", ";")]
 
 
+# Fixed pattern of byte-level pre-tokenization: how a text is split before pairs are merged.
+SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def byte_level(path: str) -> Side:
+    """A byte-level vocabulary file.
+
+    Where its ids follow its merges, as they do if the vocabulary was written in the order of training, the id is the rank
+    of a merge and the ranks go to the faster library; any other file is left to the library that reads it.
+    """
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    byte, vocabulary = byte_letters(), file["model"]["vocab"]
+    table = [b""] * (max([*vocabulary.values(), *(t["id"] for t in file["added_tokens"])]) + 1)
+    for word, i in vocabulary.items():
+        table[i] = bytes(byte[c] for c in word) if all(c in byte for c in word) else word.encode()
+    special = {t["content"] for t in file["added_tokens"]}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in file["model"]["merges"]]
+    split = file["pre_tokenizer"] or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not file["normalizer"]
+    if plain and all(vocabulary.get("".join(m)) == 256 + k for k, m in enumerate(merges)) and {len(table[i]) for i in range(256)} == {1}:
+        import tiktoken
+
+        ranks = {table[i]: i for w, i in vocabulary.items() if w not in special}
+        fast = tiktoken.Encoding("byte-level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        return Side(lambda texts: [fast.encode_ordinary(" " + t) for t in texts], table)
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+    slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = True
+    return Side(lambda texts: [x.ids for x in slow.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], table)
+
+
 @cache
 def sides(path_a: str, path_b: str) -> tuple[Side, Side]:
     import sentencepiece
-    from tokenizers import Tokenizer
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    a = Tokenizer.from_file(path_a)
-    a.encode_special_tokens = True
-    byte = byte_letters()
-    words = sorted(a.get_vocab(with_added_tokens=True).items(), key=lambda x: x[1])
-    table = [b""] * (words[-1][1] + 1)
-    for word, i in words:
-        table[i] = bytes(byte[c] for c in word) if all(c in byte for c in word) else word.encode()
     b = sentencepiece.SentencePieceProcessor(model_file=path_b)
     pieces = [bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode() for i in range(b.get_piece_size())]
     if any(b" " in p.lstrip(b" ") for p in pieces):
         raise ValueError("a piece of B reaches over a space: texts can't be cut there")
-    return (
-        Side(lambda texts: [x.ids for x in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)], table),
-        Side(lambda texts: b.encode(texts, num_threads=1), pieces),
-    )
+    return byte_level(path_a), Side(lambda texts: b.encode(texts, num_threads=1), pieces)
 
 
 def pieces_of(text: str) -> list[str]:
@@ -157,8 +180,8 @@ def _summed(doc, pair, times):
 class Block:
     """Documents whose digests and pairs make one row."""
 
-    def __init__(self, a: Side, b: Side):
-        self.a, self.b = a, b
+    def __init__(self, a: Side, b: Side, digest: pa.Schema):
+        self.a, self.b, self.digest = a, b, digest
         self.ids, self.stats, self.hashes = [], [], []
         self.held, self.tokens, self.found, self.links = [], 0, [], 0
 
@@ -217,18 +240,18 @@ class Block:
         doc, pair, times = _summed(*map(np.concatenate, zip(*(self.found or [empty]), strict=True)))
         pairs, index, holders = np.unique(pair, return_inverse=True, return_counts=True)
         per_doc = np.bincount(doc, minlength=len(self.ids))
-        n_a, n_b, n_groups, n_links = zip(*self.stats, strict=True)
         shas = [h.hexdigest() if h else "" for h in self.hashes]
-        return (
-            number, self.ids, n_a, n_b, n_groups, n_links, shas, per_doc.tolist(), pairs, holders,
-            index.astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes(),
-        )
+        columns = [self.ids, *zip(*self.stats, strict=True), shas, per_doc]
+        digests = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, self.digest.types, strict=True)], schema=self.digest)
+        with pa.ipc.new_stream(sink := pa.BufferOutputStream(), self.digest) as out:
+            out.write_batch(digests)
+        whole = sink.getvalue().to_pybytes()
+        return number, whole, pairs, holders, index.astype(np.uint32).tobytes(), times.astype(np.uint32).tobytes()
 
 
-BLOCK = (
-    "block long, doc_ids array<{kind}>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, shas array<string>, "
-    "per_doc array<int>, pairs array<long>, holders array<int>, index binary, times binary"
-)
+# What a block knows of its documents is one binary value: an Arrow stream of DIGEST.
+DIGEST = "doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_pairs int"
+BLOCK = "block long, digests binary, pairs array<long>, holders array<int>, index binary, times binary"
 RESULT = (
     "doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 )
@@ -241,10 +264,10 @@ def _schema(kind, text):
     return to_arrow_schema(_parse_datatype_string(text.format(kind=kind)))
 
 
-def _gathered(path_a, path_b, per_block, schema):
+def _gathered(path_a, path_b, per_block, schema, digest):
     def run(batches: Iterator[pa.RecordBatch]):
         a, b = sides(path_a, path_b)
-        number, block = TaskContext.get().partitionId() << 32, Block(a, b)
+        number, block = TaskContext.get().partitionId() << 32, Block(a, b, digest)
 
         def emitted():
             row = block.row(number)
@@ -258,7 +281,7 @@ def _gathered(path_a, path_b, per_block, schema):
                     block.add(doc_id, pieces)
                     if block.links >= per_block:
                         yield emitted()
-                        number, block = number + 1, Block(a, b)
+                        number, block = number + 1, Block(a, b, digest)
         if block.ids:
             yield emitted()
 
@@ -269,8 +292,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str, per_block: int = 4_000_000
     """One row per block of documents, stored."""
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    text = BLOCK.format(kind=kind)
-    return stored(rows.mapInArrow(_gathered(path_a, path_b, per_block, _schema(kind, BLOCK)), text), "blocks")
+    return stored(rows.mapInArrow(_gathered(path_a, path_b, per_block, _schema(kind, BLOCK), _schema(kind, DIGEST)), BLOCK), "blocks")
 
 
 def pair_counts(rows: DataFrame) -> DataFrame:
@@ -306,15 +328,16 @@ def _looked_up(schema):
 
 
 def _documents(r, n, best, schema):
+    digests = pa.ipc.open_stream(r["digests"]).read_all().combine_chunks()
     index, times = np.frombuffer(r["index"], np.uint32), np.frombuffer(r["times"], np.uint32).astype(np.int64)
-    owner = np.repeat(np.arange(len(r["doc_ids"])), r["per_doc"])
-    sums = []
-    for value in (best.astype(np.int64), n.astype(np.int64)):
-        total = np.zeros(len(r["doc_ids"]), np.int64)
-        np.add.at(total, owner, value[index] * times if len(index) else times)
-        sums.append(total)
-    columns = [r["doc_ids"], r["n_a"], r["n_b"], r["n_groups"], r["n_links"], *sums, r["shas"]]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema.names)
+    owner = np.repeat(np.arange(digests.num_rows), digests["n_pairs"].to_numpy())
+    sums = {}
+    for name, value in (("n_best", best), ("count_sum", n)):
+        total = np.zeros(digests.num_rows, np.int64)
+        np.add.at(total, owner, value.astype(np.int64)[index] * times)
+        sums[name] = pa.array(total)
+    columns = [sums[c] if c in sums else digests[c].combine_chunks() for c in schema.names]
+    return pa.RecordBatch.from_arrays(columns, schema.names)
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, per_block: int = 4_000_000) -> tuple[DataFrame, DataFrame]:

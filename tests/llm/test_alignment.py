@@ -4,6 +4,7 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skuloom.llm import token_alignment
@@ -102,14 +103,15 @@ def test_small_pieces_and_packs(spark, monkeypatch):
         monkeypatch.setattr(token_alignment, "PIECE", piece)
         monkeypatch.setattr(token_alignment, "PACK", pack)
         monkeypatch.setattr(token_alignment, "LARGE", large)
-        block = token_alignment.Block(a, b)
+        block = token_alignment.Block(a, b, token_alignment._schema("bigint", token_alignment.DIGEST))
         for (d, _), pieces in zip(rows, token_alignment.encoded([t for _, t in rows], a, b), strict=True):
             block.add(d, pieces)
         row = block.row(0)
-        assert list(zip(row[1], *row[2:6], row[6], strict=True)) == [(w[0], *w[1:5], w[7]) for w in want]
+        digests = pa.ipc.open_stream(row[1]).read_all().to_pylist()
+        assert [tuple(d.values())[:6] for d in digests] == [(w[0], *w[1:5], w[7]) for w in want]
         # Of one block alone the holders are the counts.
-        index, times = np.frombuffer(row[10], np.uint32), np.frombuffer(row[11], np.uint32)
-        assert int((row[9][index].astype(int) * times).sum()) == sum(w[6] for w in want)
+        index, times = np.frombuffer(row[4], np.uint32), np.frombuffer(row[5], np.uint32)
+        assert int((row[3][index].astype(int) * times).sum()) == sum(w[6] for w in want)
 
 
 def test_empty_table(spark):
