@@ -7,7 +7,6 @@ import random
 
 from skuloom.operators import documents as doc
 from skuloom.operators import export, keyed, page_parse, pages
-from skuloom.operators import intake_dedupe as dd
 from skuloom.operators.enrich import greedy_budget
 from skuloom.operators.memory import upsert_memory
 from skuloom.registry import source
@@ -30,70 +29,6 @@ def test_number_and_carry(spark):
                 last = h or last
 
 
-def _table(spark, n, seed):
-    rng = random.Random(seed)
-    rooms, names = ["", "kitchen", "bar"], ["", "gas range", "gas range 36 inch", "wall oven", "oven"]
-    rows = [
-        (
-            i, True, rng.choice(["Wolf", "Wolf", "Miele", ""]), rng.choice(["M1", "M1", "M2"]), rng.choice(names), rng.choice(rooms),
-            rng.choice(["", "d1"]), rng.choice(["", "s1", "s2"]), rng.choice(["", "u1"]), "", rng.choice(["", "f"]), "", "", rng.choice(["", "9"]),
-            "", "PDF", "p", rng.choice([1, 2]), rng.choice(["", "", "", "unresolved_charge"]),
-        )
-        for i in range(n)
-    ]
-    cols = (
-        "row_id long, include boolean, brand string, model_sku string, product_name string, room string, dimensions string, "
-        "supplier string, image_url string, product_url string, finish_color string, material string, category string, "
-        "price string, notes string, source_type string, project string, quantity long, import_type string"
-    )
-    return spark.createDataFrame(rows, cols)
-
-
-def _plain_merge(pdf):
-    """The rule written as a plain loop over all rows."""
-    out = []
-    for row in pdf.to_dict("records"):
-        key = (row["brand"].lower(), row["model_sku"].lower())
-        if row["import_type"] or not all(key):
-            continue
-
-        def rich(r):
-            return sum(w for c, w in dd.WEIGHTS.items() if r[c])
-
-        for i, (k, have) in enumerate(out):
-            if k != key or (have["room"] and row["room"] and have["room"] != row["room"]):
-                continue
-            a, b = have["product_name"], row["product_name"]
-            if (a and b and (a in b or b in a)) or not (have["room"] and row["room"] and a and b):
-                lead, other = (row, have) if rich(row) > rich(have) else (have, row)
-                merged = {c: lead[c] or other[c] for c in lead}
-                merged["row_id"] = have["row_id"]
-                out[i] = (k, merged)
-                break
-        else:
-            out.append((key, dict(row)))
-    cols = ["row_id", *dd.TEXT, "quantity"]
-    return sorted(tuple(str(r[c]) for c in cols) for _, r in out)
-
-
-def _got(df):
-    cols = ["row_id", *dd.TEXT, "quantity"]
-    return sorted(tuple(str(r[c]) for c in cols) for r in df.filter("merged").collect())
-
-
-def test_intake_merge_and_large_keys(spark):
-    df = _table(spark, 400, 5)
-    want = _plain_merge(df.toPandas())
-    assert _got(dd.dedupe_intake(df)) == want
-    dd.LEAP, before = 25, dd.LEAP
-    try:
-        fold = dd._fold_large
-        dd._fold_large = lambda rows: fold(rows, 25)
-        assert _got(dd.dedupe_intake(df, hot_rows=20)) == want
-    finally:
-        dd.LEAP, dd._fold_large = before, fold
-
-
 def test_greedy_budget(spark):
     rng = random.Random(1)
     rows = [(r, i, rng.choice([0.0, 0.01, 0.02, 0.07, 0.3])) for r in range(3) for i in range(60)]
