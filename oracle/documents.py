@@ -62,6 +62,43 @@ SQL["apply_transcript"] = f"""{f.X}, j AS (SELECT x.*, c.conv_id, c.clash, c.who
  k AS (SELECT *, coalesce(whole AND NOT clash, false) AND NOT complete AS a, coalesce(conv_id % 3 <> 2, false) AND finish_color = '' AS b FROM j)
  SELECT row_id, CASE WHEN a THEN concat(w, ' in W x 24 in D x 84 in H') ELSE dimensions END AS dimensions, CASE WHEN b THEN 'brass' ELSE finish_color END AS finish_color,
  {f.listing([('a', "'dimensions'"), ('b', "'finish_color'")])} AS applied FROM k"""
-ACTIVE = "include AND NOT charge AND " + f"{f.token('brand')} <> '' AND {f.token('model_sku')} <> ''"
+ACTIVE = "include AND " + f"{f.token('brand')} <> '' AND {f.token('model_sku')} <> ''"
 SQL["intake_dedupe_rooms"] = f"""{f.X} SELECT DISTINCT {f.token('brand')} || '_' || {f.token('model_sku')} AS product_key, {f.spaced('room')} AS room FROM x WHERE {ACTIVE} AND room <> ''"""
 SQL["intake_dedupe_aside"] = f"""{f.X} SELECT row_id, {f.token('brand')} AS brand, quantity FROM x WHERE NOT ({ACTIVE})"""
+# The intake merge row by row: a list of merged rows per key, which every row extends or changes.
+_WEIGHTS = {"brand": 20, "model_sku": 20, "product_name": 18, "room": 14, "dimensions": 12, "supplier": 10, "image_url": 10, "product_url": 9,
+            "finish_color": 6, "material": 6, "category": 6, "price": 3}
+_KEPT = [*_WEIGHTS, "notes", "source_type", "project", "import_type", "color", "status", "dimension_source_url", "include", "quantity",
+         "confidence_score", "review_required"]
+_TYPES = {"include": "BOOLEAN", "quantity": "BIGINT", "confidence_score": "INT", "review_required": "BOOLEAN"}
+
+
+def _points(v: str) -> str:
+    filled = " + ".join(f"CASE WHEN {v}[{_KEPT.index(c) + 1}] <> '' THEN {w} ELSE 0 END" for c, w in _WEIGHTS.items())
+    return f"({filled} - CASE WHEN {v}[{_KEPT.index('import_type') + 1}] = 'unresolved_charge' THEN 100 ELSE 0 END)"
+
+
+def _side(part: str, lead: str, other: str) -> str:
+    """A key of the merged row: the leader's if it has the column at all."""
+    column = _KEPT.index({"rk": "room", "nk": "product_name"}[part]) + 1
+    return f"CASE WHEN {lead}.v[{column}] = '' THEN {other}.{part} ELSE {lead}.{part} END"
+
+
+def _led(lead: str, other: str) -> str:
+    fill = f"list_transform(range(1, {len(_KEPT) + 1}), lambda k: CASE WHEN {lead}.v[k] = '' THEN {other}.v[k] ELSE {lead}.v[k] END)"
+    return f"{{'id': g.id, 'rk': {_side('rk', lead, other)}, 'nk': {_side('nk', lead, other)}, 'v': {fill}}}"
+
+
+_FITS = """NOT (g.rk <> '' AND n.rk <> '' AND g.rk <> n.rk) AND ((g.nk <> '' AND n.nk <> '' AND (contains(g.nk, n.nk) OR contains(n.nk, g.nk)))
+  OR g.rk = '' OR n.rk = '' OR g.nk = '' OR n.nk = '')"""
+SQL["intake_dedupe"] = f"""WITH RECURSIVE {f.X[5:]}, a AS (SELECT {f.token('brand')} || '_' || {f.token('model_sku')} AS key, import_type = 'unresolved_charge' AS fresh,
+  {{'id': row_id, 'rk': {f.spaced('room')}, 'nk': array_to_string(string_split({f.spaced('product_name')}, ' ')[1:8], ' '),
+   'v': [{', '.join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in _KEPT)}]}} AS n,
+  row_number() OVER (PARTITION BY {f.token('brand')} || '_' || {f.token('model_sku')} ORDER BY row_id) AS i FROM x WHERE {ACTIVE}),
+ w AS (SELECT key, i, [n] AS gs FROM a WHERE i = 1 UNION ALL
+  SELECT key, i, CASE WHEN pos = 0 THEN list_append(gs, n) ELSE list_concat(gs[1 : pos - 1], [CASE WHEN {_points('n.v')} > {_points('g.v')} THEN {_led('n', 'g')} ELSE {_led('g', 'n')} END], gs[pos + 1 :]) END AS gs
+  FROM (SELECT *, gs[pos] AS g FROM (SELECT a.key, a.i, gs, n, CASE WHEN fresh THEN 0 ELSE coalesce(list_position(list_transform(gs, lambda g: {_FITS}), true), 0) END AS pos
+   FROM w JOIN a ON a.key = w.key AND a.i = w.i + 1) t) u),
+ last AS (SELECT unnest(arg_max(gs, i)) AS g FROM w GROUP BY key)
+ SELECT g.id AS row_id, {', '.join(f"CAST(g.v[{k + 1}] AS {_TYPES[c]}) AS {c}" if c in _TYPES else f"g.v[{k + 1}] AS {c}" for k, c in enumerate(_KEPT))}, true AS merged FROM last
+ UNION ALL SELECT row_id, {', '.join(_KEPT)}, false FROM x WHERE NOT ({ACTIVE})"""

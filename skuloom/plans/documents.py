@@ -195,7 +195,8 @@ def apply_transcript(df, turns):
 
 @query("intake_wide")
 def intake_dedupe(df):
-    return dd.dedupe_intake(df)
+    more = ["notes", "source_type", "project", "import_type", "color", "status", "dimension_source_url", "include", "quantity", "confidence_score", "review_required"]
+    return dd.dedupe_intake(df).select("row_id", *dd.WEIGHTS, *more, "merged")
 
 
 @query("intake_wide")
