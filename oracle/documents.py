@@ -37,6 +37,44 @@ SIDES = f"""{V('intake_wide')}, p AS (SELECT row_id // 100000190 AS doc_id, row_
 SQL["merge_parser_ai"] = f"""{SIDES} SELECT p2.doc_id, p2.mk AS model_key, CAST(p2.nth AS INT) AS nth, p2.row_id AS p_position, m2.row_id AS m_position, CASE WHEN coalesce(m2.product_name, '') <> '' THEN m2.product_name ELSE p2.product_name END AS product_name,
  CAST(CASE WHEN p2.quantity > 1 AND coalesce(m2.quantity, 0) <= 1 THEN p2.quantity WHEN coalesce(m2.quantity, 0) > 0 THEN m2.quantity WHEN p2.quantity > 0 THEN p2.quantity ELSE 1 END AS INT) AS quantity,
  CASE WHEN m2.doc_id IS NULL THEN p2.notes ELSE concat_ws(' ', nullif(p2.notes, ''), 'seen by model') END AS notes FROM p2 LEFT JOIN m2 ON p2.doc_id = m2.doc_id AND p2.mk = m2.mk AND p2.nth = m2.nth"""
+# The pairing row by row: which model rows of the document are used, and the choice of every parser row.
+PAIRS = f"""WITH RECURSIVE {V('intake_wide')[5:]}, pr AS (SELECT row_id // 100000190 AS doc_id, row_id, {f.token('model_sku')} AS m, {f.token('product_name')} AS n FROM intake_wide),
+ p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY row_id) AS i FROM pr),
+ md AS (SELECT doc_id, list({{'id': row_id, 'm': m, 'n': CASE WHEN row_id % 2 = 0 THEN n || 'deluxe' ELSE '' END}} ORDER BY row_id) AS ms FROM p WHERE row_id % 3 > 0 GROUP BY 1),
+ st AS (SELECT DISTINCT p.doc_id, coalesce(ms, []) AS ms FROM p LEFT JOIN md USING (doc_id)),
+ w AS (SELECT doc_id, ms, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS pick, CAST(NULL AS BIGINT) AS p_position FROM st UNION ALL
+  SELECT doc_id, ms, i, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick, row_id FROM (
+   SELECT w.doc_id, ms, p.i, used, row_id, coalesce(list_filter(range(1, len(ms) + 1), lambda k: NOT list_contains(used, k) AND p.m <> '' AND ms[k].m = p.m)[1],
+     CASE WHEN p.i <= len(ms) AND NOT list_contains(used, p.i) THEN p.i END,
+     list_filter(range(1, len(ms) + 1), lambda k: NOT list_contains(used, k) AND p.n <> '' AND ms[k].n <> '' AND (contains(ms[k].n, p.n) OR contains(p.n, ms[k].n)))[1]) AS pick
+   FROM w JOIN p ON p.doc_id = w.doc_id AND p.i = w.i + 1) t),
+ pairs AS (SELECT doc_id, p_position, ms[pick].id AS m_position FROM w WHERE i > 0
+  UNION ALL SELECT doc_id, NULL, x.id FROM (SELECT doc_id, unnest(list_filter(ms, lambda x, k: NOT list_contains(used, k))) AS x FROM (SELECT doc_id, arg_max(ms, i) AS ms, arg_max(used, i) AS used FROM w GROUP BY doc_id) t) u)"""
+SQL["merge_parser_ai_pairs"] = f"{PAIRS} SELECT doc_id, p_position, m_position FROM pairs"
+_BLANKS = {"product_name": ("Product Name", 20), "brand": ("Brand", 15), "model_sku": ("Model/SKU", 20), "dimensions": ("Dimensions", 10), "supplier": ("Supplier", 10),
+           "category": ("Product Category", 10)}
+
+
+def _gone(side: str) -> str:
+    parts = [(f"{side}.{c} = ''", f"'{label}'") for c, (label, _) in _BLANKS.items()] + [(f"{side}.quantity < 1", "'Quantity'")]
+    return "concat_ws(', ', " + ", ".join(f"CASE WHEN {test} THEN {label} END" for test, label in parts) + ")"
+
+
+SQL["merge_parser_ai_rows"] = f"""{PAIRS}, m AS (SELECT * REPLACE (CASE WHEN row_id % 2 = 0 THEN trim(product_name || ' deluxe') ELSE '' END AS product_name, quantity % 3 AS quantity, 'seen by model' AS notes) FROM intake_wide),
+ j AS (SELECT doc_id, p_position, m_position, a, b, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a ELSE {{{', '.join(f"'{c}': CASE WHEN b.{c} <> '' THEN b.{c} ELSE a.{c} END" for c in ('product_name', 'brand', 'model_sku', 'dimensions', 'supplier', 'category', 'room'))},
+   'quantity': CASE WHEN a.quantity > 1 AND b.quantity <= 1 THEN a.quantity WHEN b.quantity > 0 THEN b.quantity WHEN a.quantity > 0 THEN a.quantity ELSE 1 END,
+   'notes': CASE WHEN a.notes <> '' THEN a.notes || ' ' || b.notes ELSE b.notes END, 'source_type': 'PDF_AI', 'status': a.status, 'include': a.include}} END AS c
+  FROM (SELECT doc_id, p_position, m_position, CASE WHEN p.row_id IS NOT NULL THEN {{COLS:p}} END AS a, CASE WHEN m.row_id IS NOT NULL THEN {{COLS:m}} END AS b
+   FROM pairs LEFT JOIN intake_wide p ON p.row_id = p_position LEFT JOIN m ON m.row_id = m_position) t),
+ k AS (SELECT *, 100 - {' - '.join(f"CASE WHEN c.{c} = '' THEN {w} ELSE 0 END" for c, (_, w) in _BLANKS.items())} - CASE WHEN c.quantity < 1 THEN 10 ELSE 0 END AS score FROM j)
+ SELECT doc_id, p_position, m_position, c.product_name, c.brand, c.model_sku, c.dimensions, c.category, c.room, c.quantity, c.notes, c.source_type,
+  CASE WHEN a IS NULL OR b IS NULL THEN c.status WHEN score >= 75 THEN 'Ready for Review' WHEN c.status = '' THEN 'Needs Review' ELSE c.status END AS status, c.include, CAST(score AS INT) AS parse_confidence,
+  b IS NOT NULL AS ai_used, CASE WHEN b IS NULL THEN 'AI returned no matching row' ELSE '' END AS ai_skipped_reason,
+  CASE WHEN a IS NOT NULL THEN {_gone('a')} ELSE {_gone('b')} END AS missing_critical_fields_before_ai, {_gone('c')} AS missing_critical_fields_after_ai,
+  {', '.join(f"coalesce(trim(a.{c}), '') AS deterministic_{c}, coalesce(trim(b.{c}), '') AS ai_{c}, trim(c.{c}) AS final_{c}" for c in ('product_name', 'supplier', 'model_sku', 'dimensions'))} FROM k"""
+for _s in "pm":
+    _all = ("product_name", "brand", "model_sku", "dimensions", "supplier", "category", "room", "quantity", "notes", "source_type", "status", "include")
+    SQL["merge_parser_ai_rows"] = SQL["merge_parser_ai_rows"].replace(f"{{COLS:{_s}}}", "{" + ", ".join(f"'{c}': {_s}.{c}" for c in _all) + "}")
 SQL["choose_final_value"] = f"""{V('intake_wide')} SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'Model text' ELSE product_name END AS product_name,
  CASE WHEN quantity > 1 AND row_id % 4 <= 1 THEN quantity WHEN row_id % 4 > 0 THEN row_id % 4 WHEN quantity > 0 THEN quantity ELSE 1 END AS quantity,
  CASE WHEN row_id % 2 = 1 THEN notes ELSE concat_ws(' ', nullif(notes, ''), 'Model text') END AS notes FROM intake_wide"""

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuloom.functions import dims, rules
 from skuloom.functions.text import contains_any, keep_first, let, strip, title_case
+from skuloom.operators.groups import stored
 from skuloom.operators.keyed import carry_down, first_per, number_within
 
 # ---- Fixed values: words and forms of quote lines ----
@@ -372,64 +370,197 @@ def merge_by_model(parsed: DataFrame, model_rows: DataFrame) -> DataFrame:
     )
 
 
-PAIR_SCHEMA = "doc_id long, p_position long, m_position long"
-
-
-def _pair_document(doc_id: int, left: list[tuple], right: list[tuple]) -> list[tuple]:
-    """Rows are (position, model, name) in order; every right row is used once."""
-    by_model: dict[str, list[int]] = {}
-    for i, (_, model, _) in enumerate(right):
-        by_model.setdefault(model, []).append(i)
-    free, out = dict.fromkeys(range(len(right))), []
-    for at, (position, model, name) in enumerate(left):
-        hit = next((i for i in by_model.get(model, ()) if i in free), None) if model else None
-        if hit is None and at in free:
-            hit = at
-        if hit is None and name:
-            hit = next((i for i in free if right[i][2] and (name in right[i][2] or right[i][2] in name)), None)
-        free.pop(hit, None)
-        out.append((doc_id, position, None if hit is None else right[hit][0]))
-    return out + [(doc_id, None, right[i][0]) for i in free]
-
-
-def _pair_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by document, side and position in; pairs out, one document at a time."""
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc_id", "p_position", "m_position"])
-        return out.astype({"doc_id": "int64", "p_position": "Int64", "m_position": "Int64"})
-
-    current, sides = None, ([], [])
-    for pdf in batches:
-        done: list[tuple] = []
-        for doc_id, side, position, model, name in pdf.itertuples(index=False, name=None):
-            if doc_id != current:
-                if current is not None:
-                    done += _pair_document(current, *sides)
-                current, sides = doc_id, ([], [])
-            sides[side].append((position, model, name))
-        if done:
-            yield frame(done)
-    if current is not None:
-        yield frame(_pair_document(current, *sides))
+# ------------------------------------------------------------------ pairing
+
+
+def _grams(name: Column, most: int = 4) -> Column:
+    """All parts of up to ``most`` letters, tagged with their length."""
+    def of(k: int) -> Column:
+        last = F.length(name) - k + 1
+        at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.substr(name, i, F.lit(k)))
+
+    return F.array_distinct(F.concat(*[of(k) for k in range(1, most + 1)]))
+
+
+def _linked_names(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(doc_id, name, other): names of a document of which one holds the other.
+
+    An inverted index: the shorter name is known by its first four letters (or itself), the longer one by all its parts of
+    at most four letters; pairs that meet are compared.
+    """
+    head = lambda c: F.substr(c, F.lit(1), F.lit(4))
+    a = left.select("doc_id", F.col("name"))
+    b = right.select("doc_id", F.col("name").alias("other"))
+    inner = a.withColumn("piece", head(F.col("name"))).join(b.withColumn("piece", F.explode(_grams(F.col("other")))), ["doc_id", "piece"])
+    outer = b.withColumn("piece", head(F.col("other"))).join(a.withColumn("piece", F.explode(_grams(F.col("name")))), ["doc_id", "piece"])
+    both = inner.filter(F.contains("other", F.col("name"))).select("doc_id", "name", "other").unionByName(
+        outer.filter(F.contains("name", F.col("other"))).select("doc_id", "name", "other")
+    )
+    return both.distinct()
+
+
+def _chosen(rows: DataFrame, listed: DataFrame, taken: DataFrame, keys: list[str]) -> DataFrame:
+    """(doc_id, i, j): the row of rank r in its group takes the r-th listed row that no earlier row of other groups holds.
+
+    ``rows`` has the keys, i and rank; ``listed`` the keys, j and place; ``taken`` the keys, place and the holder of rows held from
+    outside the group.
+    """
+    held = taken.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "holder"))).alias("held"))
+    placed = rows.join(held, keys, "left").withColumn(
+        "place",
+        F.aggregate(
+            F.coalesce("held", F.array().cast("array<struct<place:int,holder:int>>")), F.col("rank"),
+            lambda at, h: F.when((h["place"] <= at) & (h["holder"] < F.col("i")), at + 1).otherwise(at),
+        ),
+    )
+    return placed.join(listed, [*keys, "place"]).select("doc_id", "i", "j")
 
 
 def pair_rows(parsed: DataFrame, model_rows: DataFrame) -> DataFrame:
-    """Pair the rows of each document: same model, else same position, else name inside name.
+    """(doc_id, p_position, m_position): parser rows with the model row each takes, both sides whole.
 
-    Every model row is used once, so the walk is sequential inside a document.  Only positions, model tokens and names
-    travel, sorted by document, and one document (a quote) is held at a time.
+    The rule: parser rows take, in order, the first free model row of their model, else the free one at their own
+    place, else the first free one whose name holds theirs or is held by it.  A row's choice depends on the choices of
+    earlier rows only, so all rows choose at once against the choices of the round before, until no choice changes; every round
+    settles at least the first unsettled row of each document.  Rows of one model or one name choose in one step: the r-th of
+    them takes the r-th model row that no earlier row of another group holds.  Choices are tables, joined by document
+    and model, place or name; rows held from outside a group form one array per group.
+
+    Positions are whole numbers, unique per document and side.  Null and blank models and names match nothing; a document on one
+    side only keeps all its rows.
     """
 
-    def side(df: DataFrame, number: int) -> DataFrame:
-        return df.select(
-            F.col("doc_id").cast("long"), F.lit(number).alias("side"), F.col("position").cast("long"),
-            rules.norm_token(F.col("model_sku")).alias("model"), rules.norm_token(F.col("product_name")).alias("name"),
+    def side(df: DataFrame, index: str) -> DataFrame:
+        rows = df.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position"),
+            F.coalesce(rules.norm_token(F.col("model_sku")), F.lit("")).alias("model"),
+            F.coalesce(rules.norm_token(F.col("product_name")), F.lit("")).alias("name"),
         )
+        return stored(number_within(rows, ["doc_id"], "position", index), f"pair-{index}")
+
+    left, right = side(parsed, "i"), side(model_rows, "j")
+    of_model = stored(number_within(left.filter("model <> ''"), ["doc_id", "model"], "position", "rank").select("doc_id", "model", "i", "rank"), "pair-model")
+    by_model = stored(number_within(right.filter("model <> ''"), ["doc_id", "model"], "position", "place").select("doc_id", "model", "j", "place"), "pair-models")
+    names = lambda df: df.filter("name <> ''").select("doc_id", "name").distinct()
+    links = _linked_names(names(left), names(right))
+    by_name = links.join(right.select("doc_id", F.col("name").alias("other"), "position", "j"), ["doc_id", "other"])
+    by_name = stored(number_within(by_name, ["doc_id", "name"], "position", "place").select("doc_id", "name", "j", "place"), "pair-names")
+    none = lambda: F.lit(None).cast("string")
+    held, before = None, None
+    while True:
+        known = held if held is not None else left.limit(0).select("doc_id", "i", F.col("i").alias("j"), none().alias("model"), none().alias("name"))
+
+        def outside(listed: DataFrame, group: str) -> DataFrame:
+            """Listed rows that rows of other groups hold."""
+            at = known.select("doc_id", "j", F.col("i").alias("holder"), F.col(group).alias("own"))
+            met = listed.join(at, ["doc_id", "j"]).filter(~F.col(group).eqNullSafe(F.col("own")))
+            return met.groupBy("doc_id", group, "place").agg(F.min("holder").alias("holder"))
+
+        first = _chosen(of_model, by_model, outside(by_model, "model"), ["doc_id", "model"])
+        first = first.join(of_model, ["doc_id", "i"]).select("doc_id", "i", "j", "model", none().alias("name"))
+        rest = left.join(first.select("doc_id", "i"), ["doc_id", "i"], "left_anti")
+        there = right.select("doc_id", "j").join(known.groupBy("doc_id", "j").agg(F.min("i").alias("holder")), ["doc_id", "j"], "left")
+        second = rest.join(there, (rest["doc_id"] == there["doc_id"]) & (rest["i"] == there["j"])).filter("holder IS NULL OR holder >= i")
+        second = second.select(rest["doc_id"], "i", "j", none().alias("model"), none().alias("name"))
+        left_over = rest.filter("name <> ''").join(second.select("doc_id", "i"), ["doc_id", "i"], "left_anti")
+        of_name = number_within(left_over.select("doc_id", "name", "i"), ["doc_id", "name"], "i", "rank")
+        third = _chosen(of_name, by_name, outside(by_name, "name"), ["doc_id", "name"])
+        third = third.join(left.select("doc_id", "i", "name"), ["doc_id", "i"]).select("doc_id", "i", "j", none().alias("model"), "name")
+        held = stored(first.unionByName(second).unionByName(third), "pairs")
+        now = held.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "i", "j").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    pairs = left.select("doc_id", "i", F.col("position").alias("p_position")).join(held.select("doc_id", "i", "j"), ["doc_id", "i"], "left")
+    return pairs.join(right.select("doc_id", "j", F.col("position").alias("m_position")), ["doc_id", "j"], "full").select(
+        "doc_id", "p_position", "m_position"
+    )
+
+
+# ------------------------------------------------------------------ merged rows
+
+# Fields of which the model's value wins, fields copied where the model has them, and fields kept for audit.
+MERGED = (
+    "project", "room", "product_name", "brand", "dimensions", "finish_color", "color", "material", "model_sku", "category", "price", "supplier",
+)
+COPIED = ("confidence_score", "review_required", "missing_fields", "suggested_action", "category_confidence", "category_source")
+AUDITED = ("product_name", "supplier", "model_sku", "dimensions")
+NO_MATCH = "AI returned no matching row"
+
+
+def merge_rows(parsed: DataFrame, model_rows: DataFrame) -> DataFrame:
+    """Merged rows of both sides: matched ones, parser rows without a partner, and model rows without one.
+
+    All columns of either side stay; ``p_position`` and ``m_position`` tell where a row comes from.  Audit columns give the parser's, the model's
+    and the final value of four fields, whether the model was used, the parse confidence and the critical fields missing before and after.
+    """
+    pairs = pair_rows(parsed, model_rows)
+    wrap = lambda df, p: df.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias(f"{p}_position"), F.struct(*df.columns).alias(p)
+    )
+    j = pairs.join(wrap(parsed, "p"), ["doc_id", "p_position"], "left").join(wrap(model_rows, "m"), ["doc_id", "m_position"], "left")
+    both, own = F.col("p").isNotNull() & F.col("m").isNotNull(), F.col("p").isNotNull()
+    left, right = set(parsed.columns), set(model_rows.columns)
+    columns = [c for c in [*parsed.columns, *[x for x in model_rows.columns if x not in left]] if c not in ("doc_id", "position")]
+
+    def side(p: str, has: set, c: str) -> Column:
+        other = (parsed if c in left else model_rows).schema[c].dataType
+        return F.col(f"{p}.{c}") if c in has else F.lit(None).cast(other)
+
+    def value(c: str) -> Column:
+        a, b = side("p", left, c), side("m", right, c)
+        if c in MERGED:
+            chosen = choose_value(a, b)
+        elif c == "quantity":
+            chosen = choose_quantity(a, b)
+        elif c == "notes":
+            chosen = choose_notes(a, b)
+        elif c in COPIED:
+            chosen = F.when(F.coalesce(strip(b.cast("string")), F.lit("")) != "", b).otherwise(a)
+        elif c == "source_type":
+            chosen = F.lit("PDF_AI")
+        else:
+            chosen = a if c in left else b
+        return F.when(both, chosen).when(own, a).otherwise(b).alias(c)
+
+    rows = j.select("doc_id", "p_position", "m_position", "p", "m", *[value(c) for c in columns])
+    score = rules.parse_confidence({c: F.coalesce(F.col(c), F.lit(0 if c == "quantity" else "")) for c in CRITICAL})
+    out = rows.withColumn("parse_confidence", F.greatest(F.lit(0), score).cast("int"))
+    if "status" in columns:
+        ready = F.when(F.col("parse_confidence") >= 75, F.lit("Ready for Review"))
+        status = ready.when(F.coalesce(strip(F.col("status")), F.lit("")) == "", F.lit("Needs Review")).otherwise(F.col("status"))
+        out = out.withColumn("status", F.when(both, status).otherwise(F.col("status")))
+    text = lambda x: F.coalesce(strip(x), F.lit(""))
+    audit = {}
+    for c in AUDITED:
+        audit[f"deterministic_{c}"], audit[f"ai_{c}"] = text(side("p", left, c)), text(side("m", right, c))
+        audit[f"final_{c}"] = text(F.col(c))
+    before = {c: F.when(own, side("p", left, c)).otherwise(side("m", right, c)) for c in CRITICAL}
+    audit |= {
+        "ai_used": F.col("m").isNotNull(),
+        "ai_skipped_reason": F.when(F.col("m").isNull(), F.lit(NO_MATCH)).otherwise(F.lit("")),
+        "missing_critical_fields_before_ai": missing_critical(before),
+        "missing_critical_fields_after_ai": missing_critical({c: F.col(c) for c in CRITICAL}),
+    }
+    return out.withColumns(audit).drop("p", "m")
+
+
+# Critical fields of a parsed row and their labels.
+CRITICAL = {
+    "product_name": "Product Name", "brand": "Brand", "model_sku": "Model/SKU", "dimensions": "Dimensions", "supplier": "Supplier",
+    "category": "Product Category", "quantity": "Quantity",
+}
+
+
+def missing_critical(c: dict[str, Column]) -> Column:
+    """Labels of the critical fields that are blank, or whose quantity is below 1."""
+    def gone(name: str) -> Column:
+        if name == "quantity":
+            return F.coalesce(c[name].cast("long"), F.lit(0)) < 1
+        return F.coalesce(strip(c[name]), F.lit("")) == ""
 
-    both = side(parsed, 0).unionByName(side(model_rows, 1))
-    ordered = both.repartition("doc_id").sortWithinPartitions("doc_id", "side", "position")
-    return ordered.mapInPandas(_pair_stream, PAIR_SCHEMA)
+    return F.concat_ws(", ", *[F.when(gone(k), F.lit(label)) for k, label in CRITICAL.items()])
 
 
 # ------------------------------------------------------------------ model answers

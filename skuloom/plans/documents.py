@@ -114,6 +114,18 @@ def merge_parser_ai_pairs(df):
     return doc.pair_rows(parsed, model)
 
 
+@query("intake_wide")
+def merge_parser_ai_rows(df):
+    """Whole merged rows: matched ones, parser rows alone and model rows alone, with the audit of both sides."""
+    parsed, model = _sides(df)
+    audit = [f"{who}_{c}" for c in doc.AUDITED for who in ("deterministic", "ai", "final")]
+    return doc.merge_rows(parsed, model).select(
+        "doc_id", "p_position", "m_position", "product_name", "brand", "model_sku", "dimensions", "category", "room", "quantity", "notes",
+        "source_type", "status", "include", "parse_confidence", "ai_used", "ai_skipped_reason", "missing_critical_fields_before_ai",
+        "missing_critical_fields_after_ai", *audit,
+    )
+
+
 @query("intake_wide")
 def choose_final_value(df):
     other = F.when(df.row_id % 2 == 0, F.lit("Model text")).otherwise(F.lit(""))
