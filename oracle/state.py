@@ -28,15 +28,27 @@ SQL["propagate_to_duplicates"] = f"""{E} SELECT e.row_id, r.row_id AS rep_id, {O
 SQL["duplicate_metrics"] = f"""{E} SELECT count(*) AS products, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT product_key, count(*) AS n FROM e WHERE brand <> '' AND model_sku <> '' AND {GAPPY} GROUP BY 1) t"""
 PART = "\\b(trim|panel|kit|blower|filter|accessor(y|ies)|component|insert|sleeve|handle|grille)\\b"
 ACC = f"(regexp_matches(lower(concat_ws(' ', product_name, notes, category, model_sku)), '{PART}') OR regexp_matches(model_sku, '^\\d{{4,7}}$'))"
-R1 = f"""{E}, q1 AS (SELECT *, CASE WHEN {ACC} THEN 1 ELSE 0 END AS accessory FROM reps WHERE brand <> '' AND model_sku <> '' AND {GAPPY}),
- r1 AS (SELECT *, row_number() OVER (ORDER BY accessory, effort DESC, product_key) <= 41 AS granted FROM q1)"""
+R1 = f"""{E.replace(f.X, f.with_views('intake_wide', 'product_cache') + f.X[len(f.with_views('intake_wide')):])}, q1 AS (SELECT *, CASE WHEN {ACC} THEN 1 ELSE 0 END AS accessory FROM reps WHERE brand <> '' AND model_sku <> '' AND {GAPPY}),
+ r1 AS (SELECT q1.*, row_number() OVER (ORDER BY accessory, effort DESC, q1.product_key) <= 250000 // 6000 AS granted, c.dimensions AS cached FROM q1 LEFT JOIN product_cache c ON c.product_key = q1.product_key),
+ l1 AS (SELECT count(*) AS open, count(*) FILTER (granted) AS granted, count(*) FILTER (granted AND cached IS NULL) AS searches FROM r1),
+ r2 AS (SELECT product_key, accessory, effort, cached, row_number() OVER (ORDER BY accessory, effort DESC, product_key) <= (SELECT (250000 - searches * 6000) // 6000 FROM l1) AS granted
+  FROM r1 WHERE NOT ({f.complete('dimensions')} OR (granted AND cached IS NOT NULL AND {f.complete('cached')})))"""
 SQL["budget_rounds"] = f"{R1} SELECT product_key, accessory, effort, granted FROM r1"
-SQL["budget_rounds_retry"] = f"{R1} SELECT product_key, effort, row_number() OVER (ORDER BY accessory, effort DESC, product_key) <= 125 AS granted FROM r1 WHERE NOT granted AND NOT complete"
+SQL["budget_rounds_retry"] = f"{R1} SELECT product_key, effort, granted FROM r2"
+SQL["budget_ledger"] = f"""{R1}, l2 AS (SELECT count(*) AS open, count(*) FILTER (granted) AS granted, count(*) FILTER (granted AND cached IS NULL) AS searches FROM r2)
+ SELECT CAST(0 AS INT) AS round, 'manufacturer_spec' AS name, open, granted, searches, searches * 6000 AS spent, 250000 - searches * 6000 AS "left" FROM l1
+ UNION ALL SELECT 1, 'dimension_retry', l2.open, l2.granted, l2.searches, l2.searches * 6000, greatest(0, 250000 - (l1.searches + l2.searches) * 6000) FROM l1, l2"""
 
 LOWC = """(dimension_confidence = 'low' OR image_confidence = 'low' OR selected_product_url_confidence = '0.55')"""
 SQL["needs_further"] = f"""{f.X}, n AS (SELECT *, {LOWC} AS lc FROM x) SELECT row_id, include AND NOT charge AND (NOT complete OR NOT https_img OR lc) AS needs,
  include AND NOT charge AND (NOT complete OR NOT https_img OR lc OR (confidence_score > 0 AND confidence_score < 75)) AS needs_scaled,
  {f.listing([('NOT complete', "'dimensions'"), ('NOT https_img', "'image'"), ("product_url = ''", "'product_page_url'"), ("spec_sheet_url = ''", "'spec_sheet_url'"), ('lc', "'low_confidence'")])} AS gaps FROM n"""
+SQL["budget_greedy_skip"] = f"""WITH RECURSIVE {f.X[5:]}, n AS (SELECT *, {LOWC} AS lc FROM x), items AS (SELECT row_id % 5 AS run_id, row_id AS ordinal,
+  CAST(round((greatest(1, ceil((length(product_name) * 40 + length(notes)) / 4.0)) / CAST(1000 AS DOUBLE) * CAST(0.00015 AS DOUBLE) + CAST(0.00132 AS DOUBLE)) * 1000000) AS BIGINT) AS m
+  FROM n WHERE include AND NOT charge AND (NOT complete OR NOT https_img OR lc)),
+ w AS (SELECT DISTINCT run_id, CAST(250000 AS BIGINT) AS money, CAST(-1 AS BIGINT) AS ordinal FROM items UNION ALL
+  SELECT run_id, money - m, o FROM (SELECT w.run_id, money, min(i.ordinal) AS o, arg_min(m, i.ordinal) AS m FROM w JOIN items i ON i.run_id = w.run_id AND i.ordinal > w.ordinal AND m <= money AND m <= 1600 GROUP BY w.run_id, money) t)
+ SELECT run_id, ordinal FROM w WHERE ordinal >= 0"""
 SQL["confidence_text"] = f"""{f.with_views('intake')} SELECT row_id, CASE row_id % 4 WHEN 0 THEN CASE WHEN s = 0 THEN concat(p, '%') WHEN s >= 0.8 THEN 'high' WHEN s >= 0.6 THEN 'medium' ELSE 'low' END
  WHEN 1 THEN 'medium' WHEN 2 THEN 'medium' ELSE 'about right' END AS label FROM (SELECT row_id, row_id % 120 AS p, CASE WHEN row_id % 120 > 1 THEN (row_id % 120) / 100.0 ELSE row_id % 120 END AS s FROM intake) t"""
 SQL["further_cost"] = f"""{f.with_views('intake')} SELECT row_id, round(greatest(1, ceil((length(product_name) + quantity) / 4.0)) / CAST(1000 AS DOUBLE) * CAST(0.00015 AS DOUBLE) + CAST(0.00132 AS DOUBLE), 9) AS prompt_cost,

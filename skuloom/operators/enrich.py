@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -219,57 +218,9 @@ def component_type(c) -> Column:
     return F.when(part, F.lit("accessory/component")).otherwise(F.lit("primary_product"))
 
 
-def budget_round(reps: DataFrame, limit: int) -> DataFrame:
-    """First ``limit`` products get the paid lookup: accessories last, richest first, then key.
-
-    ``orderBy().limit()`` keeps the top rows per task and merges them, so no global sort is needed; everything
-    else is marked blocked by a join with that bounded list.
-    """
-    ranked = reps.withColumn("accessory", F.when(component_type(reps) == "accessory/component", 1).otherwise(0))
-    winners = (
-        ranked.select("accessory", "effort", "product_key")
-        .orderBy(F.asc("accessory"), F.desc("effort"), F.asc("product_key"))
-        .limit(limit)
-        .select("product_key", F.lit(True).alias("granted"))
-    )
-    return ranked.join(winners, "product_key", "left").withColumn("granted", F.coalesce("granted", F.lit(False)))
-
-
-GREEDY_SCHEMA = "run_id long, ordinal long, granted boolean"
-
-
-def greedy_budget(items: DataFrame, cap: float, per_item: float | None = None) -> DataFrame:
-    """Walk the items of each run in order; take each that still fits, skip the others.
-
-    Costs are whole micro-dollars.  Of the items of one run and cost only the first ``cap // cost`` can ever be
-    taken (money only runs down), so only those reach the sequential step; the rest is skipped.  That bounds the
-    group by the money, not by the number of rows.  Free items are always taken.
-    """
-    budget = int(round(cap * 1_000_000))
-    most = budget if per_item is None else min(budget, int(round(per_item * 1_000_000)))
-    priced = items.withColumn("micro", F.round(F.col("cost") * 1_000_000).cast("long"))
-    spec = Window.partitionBy("run_id", "micro").orderBy("ordinal")
-    possible = (
-        priced.filter((F.col("micro") > 0) & (F.col("micro") <= most))
-        .select("run_id", "ordinal", "micro")
-        .withColumn("_n", F.row_number().over(spec))
-        .filter(F.col("_n") <= F.floor(F.lit(budget) / F.col("micro")))
-    )
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, granted = budget, []
-        ordered = pdf.sort_values("ordinal")
-        for micro in ordered["micro"]:
-            granted.append(micro <= left)
-            left -= micro if granted[-1] else 0
-        return pd.DataFrame({"run_id": ordered["run_id"], "ordinal": ordered["ordinal"], "granted": granted})
-
-    taken = possible.groupBy("run_id").applyInPandas(walk, GREEDY_SCHEMA).filter("granted")
-    return (
-        priced.join(taken, ["run_id", "ordinal"], "left")
-        .withColumn("granted", F.coalesce("granted", F.col("micro") == 0))
-        .drop("micro")
-    )
+def ranked(reps: DataFrame) -> DataFrame:
+    """Products with ``accessory``, by which lookups are ranked: primary products first, then the most complete."""
+    return reps.withColumn("accessory", F.when(component_type(reps) == "accessory/component", 1).otherwise(0))
 
 
 # ------------------------------------------------------------------ results

@@ -27,33 +27,57 @@ def duplicate_metrics(df):
     return en.duplicate_metrics(df)
 
 
-@query("intake_wide")
-def budget_rounds(df):
-    """Round one: 41 paid lookups (0.25 USD at 0.006) for incomplete products."""
-    reps = en.elect(df)
-    open_ = en.qualification(reps).filter("qualifies")
-    return en.budget_round(open_, 41).select("product_key", "accessory", "effort", "granted")
+def _spent(df, cache):
+    """Two rounds of 0.006 USD searches under a cap of 0.25 USD; products in the cache need no paid search."""
+    from skuloom.functions import dims
+    from skuloom.operators.budget import Round, spend_rounds
 
+    products = en.ranked(en.qualification(en.elect(df)).filter("qualifies"))
+    products = products.select("product_key", "accessory", "effort", "dimensions").withColumn("tries", F.lit(0))
+    known = cache.select("product_key", F.col("dimensions").alias("cached"))
+
+    def outcome(granted):
+        found = granted.join(known, "product_key", "left")
+        full = dims.has_complete_3d(F.coalesce(F.col("cached"), F.lit("")))
+        return found.select(
+            "product_key", F.when(F.col("cached").isNull(), 1).otherwise(0).alias("searches"),
+            F.when(full, F.col("cached")).alias("dimensions"), (F.col("tries") + 1).alias("tries"),
+        )
+
+    rounds = [
+        Round("manufacturer_spec", lambda p: F.lit(True)),
+        Round("dimension_retry", lambda p: ~dims.has_complete_3d(p["dimensions"])),
+    ]
+    return spend_rounds(products, rounds, 0.25, 0.006, outcome, [F.asc("accessory"), F.desc("effort")])
 
-@query("intake_wide")
-def budget_rounds_retry(df):
-    """Round two: what is left of the money for products still without dimensions."""
-    from skuloom.functions import dims
 
-    reps = en.elect(df)
-    first = en.budget_round(en.qualification(reps).filter("qualifies"), 41)
-    again = first.filter(~F.col("granted") & ~dims.has_complete_3d(F.col("dimensions")))
-    return en.budget_round(again.drop("granted", "accessory"), 125).select("product_key", "effort", "granted")
+@query("intake_wide", "product_cache")
+def budget_rounds(df, cache):
+    """Round one: as many searches as the cap pays for."""
+    return _spent(df, cache)[0].filter("round = 0").select("product_key", "accessory", "effort", "granted")
+
+
+@query("intake_wide", "product_cache")
+def budget_rounds_retry(df, cache):
+    """Round two: what the ledger has left, for products still without dimensions."""
+    return _spent(df, cache)[0].filter("round = 1").select("product_key", "effort", "granted")
+
+
+@query("intake_wide", "product_cache")
+def budget_ledger(df, cache):
+    return _spent(df, cache)[1]
 
 
 @query("intake_wide")
 def budget_greedy_skip(df):
+    from skuloom.operators.budget import greedy_budget
+
     items = df.filter(en.needs_further(df)).select(
         (F.col("row_id") % 5).alias("run_id"),
         F.col("row_id").alias("ordinal"),
         en.prompt_cost(F.length("product_name") * 40 + F.length("notes")).alias("cost"),
     )
-    return en.greedy_budget(items, 0.25, 0.0016).filter("granted").select("run_id", "ordinal")
+    return greedy_budget(items, 0.25, 0.0016).filter("granted").select("run_id", "ordinal")
 
 
 @query("intake_wide")

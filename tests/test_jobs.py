@@ -7,7 +7,6 @@ import random
 
 from skuloom.operators import documents as doc
 from skuloom.operators import export, keyed, page_parse, pages
-from skuloom.operators.enrich import greedy_budget
 from skuloom.operators.memory import upsert_memory
 from skuloom.registry import source
 
@@ -29,19 +28,6 @@ def test_number_and_carry(spark):
                 last = h or last
 
 
-def test_greedy_budget(spark):
-    rng = random.Random(1)
-    rows = [(r, i, rng.choice([0.0, 0.01, 0.02, 0.07, 0.3])) for r in range(3) for i in range(60)]
-    got = {(x.run_id, x.ordinal): x.granted for x in greedy_budget(spark.createDataFrame(rows, "run_id long, ordinal long, cost double"), 0.25).collect()}
-    for run in range(3):
-        left = 250_000
-        for r, i, c in rows:
-            if r == run:
-                take = round(c * 1_000_000) <= left
-                left -= round(c * 1_000_000) if take else 0
-                assert got[(r, i)] == take
-
-
 def test_pairs(spark):
     p = [(1, 0, "M-1", "gas range"), (1, 1, "", "wall oven"), (1, 2, "M9", "sink")]
     m = [(1, 0, "m1", "range"), (1, 1, "zz", "sink"), (1, 2, "yy", "lamp"), (1, 3, "m9", "x")]
