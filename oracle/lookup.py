@@ -14,10 +14,20 @@ MEM = f"""mem AS (SELECT normalized_brand AS nb, normalized_model_sku AS nm, sou
 J = f"mem ON mem.nb = {f.token('brand')} AND mem.nm = {f.token('model_sku')} AND mem.nb <> '' AND mem.nm <> ''"
 SQL["join_product_memory"] = f"""{V('intake', 'source_memory')}, {MEM} SELECT row_id, st AS memory_source_type, cs AS memory_confidence_score, img AS memory_image_url FROM intake LEFT JOIN {J}"""
 SQL["join_product_memory_legacy"] = f"""{V('intake', 'source_memory')}, {MEM} SELECT row_id, st AS memory_source_type, cs AS memory_confidence_score FROM intake LEFT JOIN {J}"""
-SQL["fill_from_memory"] = f"""{V('intake', 'source_memory')}, {MEM}, j AS (SELECT *, nb IS NOT NULL AS hit, {f.complete('dimensions')} AS cpl FROM intake LEFT JOIN {J}),
- k AS (SELECT *, hit AND dt <> '' AND NOT cpl AS a, hit AND image_url = '' AND img <> '' AS b, hit AND product_url = '' AND pp <> '' AS c FROM j)
- SELECT row_id, CASE WHEN a THEN dt ELSE dimensions END AS dimensions, CASE WHEN b THEN img ELSE image_url END AS image_url, CASE WHEN c THEN pp ELSE product_url END AS product_url,
- {f.listing([('a', "'Dimensions'"), ('b', "'Image URL'"), ('c', "'Product URL'")])} AS memory_filled, hit AS memory_hit FROM k"""
+_FILLS = [("width_in", "Width (in)", "m.width_in"), ("height_in", "Height (in)", "m.height_in"), ("depth_in", "Depth (in)", "m.depth_in"), ("image_url", "Image URL", GOOD_IMG.replace("image_url", "m.image_url")),
+ ("product_url", "Product URL", "m.product_page_url"), ("manufacturer_url", "Manufacturer URL", "m.manufacturer_url"),
+ ("dimension_source_url", "Dimension Source URL", "coalesce(nullif(m.dimension_source_url, ''), m.spec_sheet_url)"), ("image_source_url", "image_source_url", "m.image_source_url"),
+ ("selected_product_url", "selected_product_url", "m.product_page_url"), ("manufacturer_domain_used", "manufacturer_domain_used", "m.source_domain"),
+ ("dimension_confidence", "Dimension Confidence", "coalesce(nullif(m.dimension_confidence, ''), m.confidence)"), ("image_confidence", "image_confidence", "coalesce(nullif(m.image_confidence, ''), m.confidence)"),
+ ("dimension_source_type", "Dimension Source Type", "m.source_type")]
+_ROW = lambda c: "''" if c in ("width_in", "height_in", "depth_in", "manufacturer_url") else f"i.{c}"
+SQL["fill_from_memory"] = f"""{V('intake_wide', 'source_memory_wide')}, j AS (SELECT i.row_id, m.memory_id IS NOT NULL AS hit, i.dimensions AS d, {f.complete('i.dimensions')} AS cpl, i.cache_hit AS ch, coalesce(m.dimensions_text, '') AS dt,
+ coalesce(nullif(m.product_page_url, ''), nullif(m.manufacturer_url, ''), nullif(m.dimension_source_url, ''), nullif(m.spec_sheet_url, ''), m.image_source_url, '') AS used,
+ {', '.join(f"{_ROW(c)} AS o_{c}, coalesce({v}, '') AS v_{c}" for c, _, v in _FILLS)}
+ FROM intake_wide i LEFT JOIN source_memory_wide m ON m.confidence_score >= 60 AND m.normalized_brand = {f.token('i.brand')} AND m.normalized_model_sku = {f.token('i.model_sku')} AND m.normalized_brand <> '' AND m.normalized_model_sku <> '')
+ SELECT row_id, CASE WHEN hit AND dt <> '' AND NOT cpl THEN dt ELSE d END AS dimensions, {', '.join(f"CASE WHEN hit AND o_{c} = '' AND v_{c} <> '' THEN v_{c} ELSE o_{c} END AS {c}" for c, _, _ in _FILLS)},
+ {f.listing([("hit AND dt <> '' AND NOT cpl", "'Dimensions'")] + [(f"hit AND o_{c} = '' AND v_{c} <> ''", f"'{label}'") for c, label, _ in _FILLS])} AS memory_filled, hit AS memory_hit,
+ CASE WHEN hit THEN used ELSE '' END AS stored_source_used, CASE WHEN hit THEN 'stored_source' ELSE ch END AS cache_hit FROM j"""
 GC, DC = "c.general_confidence IN ('high','medium')", "c.dimension_confidence IN ('high','medium')"
 SQL["join_product_cache"] = f"""{V('intake_wide', 'product_cache')}, k AS (SELECT *, {f.token('brand')} || '_' || {f.token('model_sku')} AS pk FROM intake_wide),
  j AS (SELECT k.*, coalesce({GC} AND c.product_url IS NOT NULL AND k.product_url = '' AND {weak_page('c.product_url').replace('c.c.', 'c.')} = '', false) AS u1,
@@ -52,11 +62,11 @@ SQL["usable_source"] = f"""{V('source_memory')} SELECT normalized_model_sku, con
 SQL["confidence_ok"] = f"""{V('product_cache')} SELECT product_key, dimension_confidence IN ('high','medium') AS dimension_ok, general_confidence IN ('high','medium') AS general_ok FROM product_cache"""
 SQL["memory_best_per_key"] = f"""{V('source_memory')} SELECT normalized_brand, confidence_score, success_count, product_page_url FROM (SELECT *, row_number() OVER (PARTITION BY normalized_brand
  ORDER BY confidence_score DESC, success_count DESC, product_page_url) AS rn FROM source_memory) t WHERE rn = 1"""
-SQL["preferred_domain_hint"] = f"""{V('source_memory', 'preferred_domains')}, b AS (SELECT DISTINCT {f.token('p_brand')} AS brand_key FROM part),
+SQL["preferred_domain_hint"] = f"""{V('hint_requests', 'source_memory', 'preferred_domains')}, b AS (SELECT DISTINCT {f.token('brand')} AS brand_key, {f.token('category')} AS category_key FROM hint_requests),
  own AS (SELECT DISTINCT normalized_brand AS brand_key FROM source_memory),
- rel AS (SELECT brand_key, domain FROM (SELECT brand_key, domain, row_number() OVER (PARTITION BY brand_key ORDER BY success_count - failure_count DESC, domain_id DESC, domain DESC) AS rn
-  FROM b JOIN preferred_domains p ON NOT downranked AND (contains({f.token('domain')}, brand_key) OR contains({f.token('notes')}, brand_key))) t WHERE rn = 1)
- SELECT brand_key, CASE WHEN own.brand_key IS NOT NULL THEN 'maker.example.com' ELSE coalesce(rel.domain, '') END AS hint FROM b LEFT JOIN own USING (brand_key) LEFT JOIN rel USING (brand_key)"""
+ rel AS (SELECT brand_key, category_key, domain FROM (SELECT brand_key, category_key, domain, row_number() OVER (PARTITION BY brand_key, category_key ORDER BY success_count - failure_count DESC, success_count DESC, failure_count, domain DESC) AS rn
+  FROM b JOIN preferred_domains p ON NOT downranked AND (contains({f.token('domain')}, brand_key) OR contains({f.token('notes')}, brand_key) OR (category_key <> '' AND contains({f.token('notes')}, category_key)))) t WHERE rn = 1)
+ SELECT brand_key, category_key, CASE WHEN own.brand_key IS NOT NULL THEN 'maker.example.com' ELSE coalesce(rel.domain, '') END AS hint FROM b LEFT JOIN own USING (brand_key) LEFT JOIN rel USING (brand_key, category_key)"""
 RANK = "CASE {0} WHEN 'manufacturer' THEN 4 WHEN 'spec_sheet' THEN 3 WHEN 'manual' THEN 2 WHEN 'retailer' THEN 1 ELSE 0 END"
 SQL["memory_upsert"] = f"""{V('source_memory', 'memory_delta')}, j AS (SELECT coalesce(a.normalized_brand, b.normalized_brand) AS normalized_brand, coalesce(a.normalized_model_sku, b.normalized_model_sku) AS normalized_model_sku,
  a.source_type AS ast, b.source_type AS bst, a.confidence_score AS acs, b.confidence_score AS bcs, coalesce(a.success_count, 0) + coalesce(b.success_count, 0) AS success_count,
@@ -68,24 +78,31 @@ SQL["memory_upsert"] = f"""{V('source_memory', 'memory_delta')}, j AS (SELECT co
  CASE w WHEN 'new' THEN bpu WHEN 'keep' THEN coalesce(nullif(apu, ''), bpu) ELSE apu END AS product_page_url, CASE w WHEN 'new' THEN bdt WHEN 'keep' THEN coalesce(nullif(adt, ''), bdt) ELSE adt END AS dimensions_text,
  CASE w WHEN 'new' THEN biu WHEN 'keep' THEN coalesce(nullif(aiu, ''), biu) ELSE aiu END AS image_url FROM k"""
 SQL["domain_upsert"] = f"""{V('preferred_domains', 'domain_events')}, e AS (SELECT {f.no_www("lower(CASE WHEN contains(domain, '://') THEN regexp_extract(domain, '://([^/]*)', 1) ELSE domain END)")} AS domain, success_count AS s, failure_count AS f, happened_at FROM domain_events WHERE domain <> 'not a host'),
- d AS (SELECT domain, sum(s) AS s, sum(f) AS f, max(happened_at) FILTER (s > 0) AS ls, max(happened_at) FILTER (f > 0) AS lf FROM e GROUP BY 1),
- b AS (SELECT domain, sum(success_count) AS s, sum(failure_count) AS f, bool_or(downranked) AS dr FROM preferred_domains GROUP BY 1)
+ d AS (SELECT domain, sum(s) AS s, sum(f) AS f, max(happened_at) FILTER (s > 0) AS ls, max(happened_at) FILTER (f > 0) AS lf, max(CASE WHEN s > 0 THEN 'retailer' END) AS ty, max(CASE WHEN s = 0 THEN 'timeout' END) AS nt FROM e GROUP BY 1),
+ b AS (SELECT domain, sum(success_count) AS s, sum(failure_count) AS f, bool_or(downranked) AS dr, max({{'n': success_count, 'i': domain_id, 't': source_type, 'o': notes}}) AS lead FROM preferred_domains GROUP BY 1)
  SELECT coalesce(b.domain, d.domain) AS domain, CAST(coalesce(b.s, 0) + coalesce(d.s, 0) AS BIGINT) AS success_count, CAST(coalesce(b.f, 0) + coalesce(d.f, 0) AS BIGINT) AS failure_count,
- coalesce(dr, false) AS downranked, ls AS last_success_at, lf AS last_failure_at FROM b FULL JOIN d ON b.domain = d.domain"""
+ coalesce(dr, false) AS downranked, ls AS last_success_at, lf AS last_failure_at, lead.i AS domain_id, coalesce(ty, lead.t, 'manufacturer') AS source_type, coalesce(nt, lead.o) AS notes FROM b FULL JOIN d ON b.domain = d.domain"""
 SQL["memory_counters"] = f"""{V('source_memory', 'memory_delta')} SELECT normalized_brand, normalized_model_sku, CAST(sum(success_count) AS BIGINT) AS success_count, CAST(sum(failure_count) AS BIGINT) AS failure_count FROM (
  SELECT normalized_brand, normalized_model_sku, success_count, failure_count FROM source_memory UNION ALL SELECT normalized_brand, normalized_model_sku, success_count, failure_count FROM memory_delta) u GROUP BY 1, 2"""
-SQL["memory_edit"] = f"""{V('source_memory')} SELECT normalized_brand || ':' || normalized_model_sku AS memory_id, CASE WHEN success_count = 1 THEN 'newbrand' ELSE normalized_brand END AS normalized_brand, normalized_model_sku,
- CASE WHEN success_count = 1 THEN '1"W x 2"H x 3"D' ELSE dimensions_text END AS dimensions_text, CASE WHEN success_count = 3 THEN 'Marked for manual re-verify.' ELSE '' END AS notes FROM source_memory WHERE success_count <> 2"""
+SQL["memory_edit"] = f"""{V('source_memory_wide')}, e AS (SELECT *, success_count = 1 AS up FROM source_memory_wide WHERE success_count <> 2)
+ SELECT memory_id, CASE WHEN up THEN 'newbrand' ELSE normalized_brand END AS normalized_brand, normalized_model_sku, CASE WHEN up THEN 'New Brand!' ELSE brand END AS brand, CASE WHEN up THEN 'New Brand!' ELSE display_brand END AS display_brand,
+ CASE WHEN up THEN '1"W x 2"H x 3"D' ELSE dimensions_text END AS dimensions_text, CASE WHEN up AND failure_count = 0 THEN 'https://new.example.com/p' ELSE product_page_url END AS product_page_url,
+ CASE WHEN success_count = 3 THEN 'Marked for manual re-verify.' ELSE notes END AS notes, source_type, confidence_score, success_count, source_domain FROM e"""
+SQL["domain_edit"] = f"""{V('preferred_domains')}, e AS (SELECT *, domain_id % 5 = 1 AS up FROM preferred_domains WHERE domain_id % 5 <> 2)
+ SELECT CASE WHEN up AND domain_id % 2 = 0 THEN 'new' || domain_id || '.example.com' ELSE domain END AS domain, domain_id, source_type, success_count, failure_count, up OR downranked AS downranked, CASE WHEN up THEN 'Checked.' ELSE notes END AS notes FROM e"""
 LAB = "lower(concat_ws(' ', dimension_confidence, selected_product_url_confidence, image_confidence))"
 SC = f"CASE WHEN contains({LAB}, 'high') THEN 90 WHEN contains({LAB}, 'medium') THEN 70 WHEN contains({LAB}, 'low') THEN 35 WHEN trim({LAB}) <> '' THEN 60 ELSE 0 END"
+_LABEL = "CASE WHEN score >= 80 THEN 'high' WHEN score >= 60 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'none' END"
 QPDF = "ends_with(lower(split_part({0}, '?', 1)), '.pdf')"
 SQL["source_record"] = f"""{V('intake_wide')}, a AS (SELECT *, CASE WHEN product_url <> '' THEN product_url ELSE selected_product_url END AS page FROM intake_wide),
  b AS (SELECT *, CASE WHEN spec_sheet_url <> '' THEN spec_sheet_url WHEN {QPDF.format('dimension_source_url')} THEN dimension_source_url WHEN {QPDF.format('page')} THEN page ELSE '' END AS spec, {SC} AS score FROM a),
  c AS (SELECT *, coalesce(nullif(dimension_source_url, ''), nullif(page, ''), nullif(spec, ''), nullif(image_source_url, ''), '') AS src FROM b)
- SELECT row_id, {f.token('brand')} AS normalized_brand, {f.token('model_sku')} AS normalized_model_sku, dimensions AS dimensions_text, page AS product_page_url, spec AS spec_sheet_url,
- {f.no_www(f.netloc('src'))} AS source_domain, CAST(score AS INT) AS confidence_score, CASE WHEN score >= 80 THEN 'high' WHEN score >= 60 THEN 'medium' WHEN score > 0 THEN 'low' ELSE 'none' END AS confidence,
+ SELECT row_id, trim(brand) AS display_brand, trim(model_sku) AS display_model_sku, trim(brand) AS brand, trim(model_sku) AS model_sku, {f.token('brand')} AS normalized_brand, {f.token('model_sku')} AS normalized_model_sku,
+ {f.token('model_sku')} AS normalized_model, trim(product_name) AS product_name, '' AS manufacturer_url, dimensions AS dimensions_text, dimensions, dimension_source_url, image_source_url, page AS product_page_url, spec AS spec_sheet_url,
+ {f.axis('dimensions', 'w')} AS width_in, {f.axis('dimensions', 'h')} AS height_in, {f.axis('dimensions', 'd')} AS depth_in, image_url,
+ {f.no_www(f.netloc('src'))} AS source_domain, CAST(score AS INT) AS confidence_score, {_LABEL} AS confidence, coalesce(nullif(dimension_confidence, ''), {_LABEL}) AS dimension_confidence, coalesce(nullif(image_confidence, ''), {_LABEL}) AS image_confidence,
  CASE WHEN dimension_source_type = 'manufacturer_page' THEN 'manufacturer' WHEN dimension_source_type = 'retailer' THEN 'retailer' WHEN {QPDF.format('src')} THEN 'spec_sheet' ELSE 'other' END AS source_type,
- CAST(1 AS INT) AS success_count, CAST(0 AS INT) AS failure_count FROM c"""
+ CAST(1 AS INT) AS success_count, CAST(0 AS INT) AS failure_count, '' AS notes FROM c"""
 
 # Candidates: sites per brand as a list, first matching place by a plain scan.
 SITES = """bs AS (SELECT brand_key, list(domain ORDER BY site_rank) AS sites FROM brand_sites GROUP BY 1)"""

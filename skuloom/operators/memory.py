@@ -115,25 +115,49 @@ def lookup_memory(rows: DataFrame, memory: DataFrame, legacy: str | None = None)
     return out.drop(*MEMORY_KEYS)
 
 
+# Which memory fields fill which row fields, in order; the first filled memory field counts.
+FILLS = (
+    ("width_in", "Width (in)", ("width_in",)), ("height_in", "Height (in)", ("height_in",)), ("depth_in", "Depth (in)", ("depth_in",)),
+    ("image_url", "Image URL", ("image_url",)), ("product_url", "Product URL", ("product_page_url",)),
+    ("manufacturer_url", "Manufacturer URL", ("manufacturer_url",)),
+    ("dimension_source_url", "Dimension Source URL", ("dimension_source_url", "spec_sheet_url")),
+    ("image_source_url", "image_source_url", ("image_source_url",)), ("selected_product_url", "selected_product_url", ("product_page_url",)),
+    ("manufacturer_domain_used", "manufacturer_domain_used", ("source_domain",)),
+    ("dimension_confidence", "Dimension Confidence", ("dimension_confidence", "confidence")),
+    ("image_confidence", "image_confidence", ("image_confidence", "confidence")),
+    ("dimension_source_type", "Dimension Source Type", ("source_type",)),
+)
+USED = ("product_page_url", "manufacturer_url", "dimension_source_url", "spec_sheet_url", "image_source_url")
+
+
 def fill_from_memory(joined: DataFrame) -> DataFrame:
-    """Blank fields from the memory entry; dimensions replaced while incomplete."""
+    """Blank fields from the memory entry; dimensions replaced while incomplete.
+
+    Fields that the row or the memory does not have count as blank; row fields are added.  ``memory_filled`` names what was filled,
+    ``stored_source_used`` the entry's first link; rows with an entry get the cache hit ``stored_source``.
+    """
     hit = F.col("memory_confidence_score").isNotNull()
-    dim = F.coalesce(F.col("memory_dimensions_text"), F.lit(""))
+
+    def entry(*names: str) -> Column:
+        known = [F.nullif(strip(F.col(f"memory_{n}").cast("string")), F.lit("")) for n in names if f"memory_{n}" in joined.columns]
+        return F.coalesce(*known, F.lit(""))
+
+    def own(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit("")) if c in joined.columns else F.lit("")
+
+    dim = entry("dimensions_text", "dimensions")
     take = hit & (dim != "") & ~dims.has_complete_3d(F.col("dimensions"))
-    pairs = [("image_url", "memory_image_url"), ("product_url", "memory_product_page_url")]
-    filled = flags_to_list(
-        [(take, "Dimensions")]
-        + [
-            (hit & (strip(F.col(c)) == "") & has(F.coalesce(F.col(m), F.lit(""))), label)
-            for (c, m), label in zip(pairs, ("Image URL", "Product URL"))
-        ]
-    )
-    out = joined.withColumn("memory_filled", F.array_join(filled, ", "))
-    out = out.withColumn("dimensions", F.when(take, dim).otherwise(F.col("dimensions")))
-    for c, m in pairs:
-        use = hit & (strip(F.col(c)) == "") & has(F.coalesce(F.col(m), F.lit("")))
-        out = out.withColumn(c, F.when(use, F.col(m)).otherwise(F.col(c)))
-    return out.withColumn("memory_hit", hit)
+    uses = [(c, label, hit & (strip(own(c)) == "") & (entry(*names) != ""), entry(*names)) for c, label, names in FILLS]
+    new = {"dimensions": F.when(take, dim).otherwise(F.col("dimensions"))}
+    new |= {c: F.when(use, value).otherwise(own(c)) for c, _, use, value in uses}
+    source = F.when(hit, entry(*USED)).otherwise(F.lit(""))
+    new |= {
+        "memory_filled": F.array_join(flags_to_list([(take, "Dimensions")] + [(use, label) for _, label, use, _ in uses]), ", "),
+        "memory_hit": hit, "stored_source_used": source, "knowledge_base_source_used": source,
+    }
+    if "cache_hit" in joined.columns:
+        new["cache_hit"] = F.when(hit, F.lit("stored_source")).otherwise(F.col("cache_hit"))
+    return joined.withColumns(new)
 
 
 # ------------------------------------------------------------------ product cache
@@ -267,61 +291,59 @@ def merge_brand_domains(entries: DataFrame) -> DataFrame:
     )
 
 
-def domain_hint(brands: DataFrame, memory: DataFrame, domains: DataFrame) -> DataFrame:
-    """Best learned domain per brand: own memory rows first, else a related preferred domain."""
-    own = (
-        memory.withColumn("source_domain", urls.url_domain(F.col("product_page_url")))
-        .filter(F.col("source_domain") != "")
-        .groupBy(F.col("normalized_brand").alias("brand_key"))
-        .agg(
-            F.max(
-                F.struct(
-                    (F.col("success_count") - F.col("failure_count")).alias("balance"),
-                    F.col("confidence_score").alias("score"),
-                    F.col("source_domain").alias("domain"),
-                )
-            ).alias("own")
-        )
-        .select("brand_key", F.col("own.domain").alias("own_domain"))
-    )
-    # Every text token or leading part of a domain or note that equals a brand key: an equi-join
-    # on the pieces instead of a nested 'contains' loop.
-    live = domains.filter(~F.col("downranked")).select(
-        "domain",
-        "domain_id",
-        (F.col("success_count") - F.col("failure_count")).alias("balance"),
-        norm_token(F.col("domain")).alias("_d"),
-        norm_token(F.col("notes")).alias("_n"),
-    )
-    keys = brands.select(norm_token(F.col("brand")).alias("brand_key")).filter("brand_key <> ''").distinct()
-    pieces = live.select(
-        "domain", "domain_id", "balance", F.explode(F.array_union(substrings(F.col("_d")), substrings(F.col("_n")))).alias("brand_key")
-    )
-    related = (
-        pieces.join(keys, "brand_key", "left_semi")
-        .groupBy("brand_key")
-        .agg(F.max(F.struct("balance", "domain_id", "domain")).alias("best"))
-        .select("brand_key", urls.memory_domain(F.col("best.domain")).alias("related_domain"))
-    )
-    return (
-        keys.join(own, "brand_key", "left")
-        .join(related, "brand_key", "left")
-        .select("brand_key", F.coalesce("own_domain", "related_domain", F.lit("")).alias("hint"))
-    )
+def held_keys(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of ``texts`` (with ``text``) once for every key of ``keys`` (column key) that stands inside their text.
 
+    Only pieces of the lengths that occur among the keys are cut out, and pieces meet keys in an equi-join; work per text is
+    its length times the number of different lengths.  That list of lengths is the only thing the driver reads: at most the
+    longest key has entries.
+    """
+    sizes = keys.filter("key <> ''").agg(F.array_sort(F.collect_set(F.length("key"))).alias("sizes")).first()["sizes"]
+
+    def cut(size: int) -> Column:
+        last = F.length("text") - size + 1
+        at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: F.substr(F.col("text"), i, F.lit(size)))
+
+    pieces = F.array_distinct(F.concat(F.array().cast("array<string>"), *[cut(size) for size in sizes]))
+    return texts.withColumn("key", F.explode(pieces)).join(keys.filter("key <> ''").distinct(), "key", "left_semi")
 
-def substrings(text: Column) -> Column:
-    """All distinct substrings: domains and notes are short, so this stays small per row."""
-    n = F.length(text)
-    starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(
-        F.flatten(
-            F.transform(
-                starts,
-                lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(text, i, k)),
-            )
-        )
-    )
+
+def domain_hint(asked: DataFrame, memory: DataFrame, domains: DataFrame) -> DataFrame:
+    """Best learned domain per brand (and category, where ``asked`` has one).
+
+    Own memory rows of the brand come first.  Else of the domains not ranked down whose name or notes hold the brand, or whose notes hold
+    the category, the one with the best balance of successes, the latest success, most successes and fewest failures.  A manufacturer's
+    domain that begins with the brand holds it as well, so its source type adds no case.
+    """
+    category = F.coalesce(norm_token(F.col("category")), F.lit("")) if "category" in asked.columns else F.lit("")
+    asked = asked.select(F.coalesce(norm_token(F.col("brand")), F.lit("")).alias("brand_key"), category.alias("category_key"))
+    asked = asked.filter("brand_key <> ''").distinct()
+    checked = F.col("last_verified_at").cast("string") if "last_verified_at" in memory.columns else F.lit("")
+    link = urls.memory_domain(F.col("source_domain")) if "source_domain" in memory.columns else urls.url_domain(F.col("product_page_url"))
+    place = F.struct(
+        (F.coalesce("success_count", F.lit(0)) - F.coalesce("failure_count", F.lit(0))).alias("balance"),
+        F.coalesce("confidence_score", F.lit(0)).alias("score"), F.coalesce(checked, F.lit("")).alias("checked"), F.col("link").alias("domain"),
+    )
+    own = memory.withColumn("link", link).filter("link <> ''").groupBy(F.col("normalized_brand").alias("brand_key")).agg(F.max(place).alias("own"))
+    last = F.col("last_success_at").cast("string") if "last_success_at" in domains.columns else F.lit("")
+    live = domains.filter(~F.coalesce("downranked", F.lit(False))).select(
+        F.struct(
+            (F.coalesce("success_count", F.lit(0)) - F.coalesce("failure_count", F.lit(0))).alias("balance"),
+            F.coalesce(last, F.lit("")).alias("last"), F.coalesce("success_count", F.lit(0)).alias("successes"),
+            (-F.coalesce("failure_count", F.lit(0))).alias("failures"), F.col("domain"),
+        ).alias("rank"),
+        F.coalesce(norm_token(F.col("domain")), F.lit("")).alias("name"), F.coalesce(norm_token(F.col("notes")), F.lit("")).alias("note"),
+    )
+    texts = live.select("rank", F.explode(F.array("name", "note")).alias("text"))
+    brands, categories = asked.select(F.col("brand_key").alias("key")), asked.select(F.col("category_key").alias("key"))
+    best = lambda df, c: df.groupBy(F.col("key").alias(c)).agg(F.max("rank").alias(f"{c}_best"))
+    by_brand = best(held_keys(texts, brands), "brand_key")
+    by_category = best(held_keys(live.select("rank", F.col("note").alias("text")), categories), "category_key")
+    joined = asked.join(own, "brand_key", "left").join(by_brand, "brand_key", "left").join(by_category, "category_key", "left")
+    related = F.greatest("brand_key_best", "category_key_best")["domain"]
+    hint = F.coalesce(F.col("own.domain"), urls.memory_domain(related), F.lit(""))
+    return joined.select("brand_key", "category_key", hint.alias("hint"))
 
 
 # ------------------------------------------------------------------ merging
@@ -388,31 +410,55 @@ def upsert_memory(memory: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def upsert_domains(domains: DataFrame, events: DataFrame) -> DataFrame:
-    """Add counters per normalised domain; keep the times of the last success and failure."""
+    """Add counters per normalised domain; keep the times of the last success and failure.
+
+    All columns of ``domains`` stay.  Where stored names of one domain differ only in form, their counters add up and
+    the entry with most successes gives the other columns.  Of the events of a domain the latest filled source type and
+    notes replace the stored ones, as the last write does; a new domain without a type is a manufacturer's.
+    """
+    stored_name, sent_name = urls.memory_domain(F.col("domain")), urls.memory_domain(F.col("domain"))
+    given = [c for c in ("source_type", "notes") if c in events.columns]
+    order = F.struct("happened_at", *given)
     delta = (
-        events.select(urls.memory_domain(F.col("domain")).alias("domain"), "success_count", "failure_count", "happened_at")
+        events.select(sent_name.alias("domain"), "success_count", "failure_count", "happened_at", *given)
         .filter(F.col("domain") != "")
         .groupBy("domain")
         .agg(
             F.sum("success_count").alias("add_success"),
             F.sum("failure_count").alias("add_failure"),
-            F.max(F.when(F.col("success_count") > 0, F.col("happened_at"))).alias("last_success_at"),
-            F.max(F.when(F.col("failure_count") > 0, F.col("happened_at"))).alias("last_failure_at"),
+            F.max(F.when(F.col("success_count") > 0, F.col("happened_at"))).alias("new_success_at"),
+            F.max(F.when(F.col("failure_count") > 0, F.col("happened_at"))).alias("new_failure_at"),
+            *[F.max_by(c, F.when(strip(F.col(c)) != "", order)).alias(f"new_{c}") for c in given],
         )
     )
-    base = domains.groupBy("domain").agg(
-        F.sum("success_count").alias("old_success"),
-        F.sum("failure_count").alias("old_failure"),
-        F.max("downranked").alias("downranked"),
-    )
+    times = ("last_success_at", "last_failure_at")
+    rest = [c for c in domains.columns if c not in ("domain", "success_count", "failure_count", "downranked", *times)]
+    lead = F.struct(F.coalesce("success_count", F.lit(0)).alias("_n"), *rest)
+    base = domains.withColumn("_name", F.coalesce(F.nullif(stored_name, F.lit("")), F.col("domain"))).groupBy("_name").agg(
+        F.sum("success_count").alias("old_success"), F.sum("failure_count").alias("old_failure"), F.max("downranked").alias("downranked"),
+        F.max(lead).alias("rest"),
+        *[F.max(c).alias(c) for c in times if c in domains.columns],
+    ).withColumnRenamed("_name", "domain")
     zero = F.lit(0)
-    return base.join(delta, "domain", "full").select(
+
+    def kept(c: str) -> Column:
+        value = F.col(f"rest.{c}")
+        if c in given:
+            value = F.coalesce(f"new_{c}", value)
+        if c == "source_type":
+            value = F.coalesce(F.nullif(value, F.lit("")), F.lit("manufacturer"))
+        return value.alias(c)
+
+    j = base.join(delta, "domain", "full")
+    when = {c: F.greatest(F.col(f"new_{c[5:]}"), F.col(c)) if c in domains.columns else F.col(f"new_{c[5:]}") for c in times}
+    return j.select(
         "domain",
         (F.coalesce("old_success", zero) + F.coalesce("add_success", zero)).alias("success_count"),
         (F.coalesce("old_failure", zero) + F.coalesce("add_failure", zero)).alias("failure_count"),
         F.coalesce("downranked", F.lit(False)).alias("downranked"),
-        "last_success_at",
-        "last_failure_at",
+        *[when[c].alias(c) for c in times],
+        *[kept(c) for c in rest],
+        *[F.col(f"new_{c}").alias(c) for c in given if c not in domains.columns],
     )
 
 
@@ -422,23 +468,64 @@ def memory_counters(deltas: DataFrame) -> DataFrame:
     )
 
 
-def edit_memory(memory: DataFrame, edits: DataFrame, row: str = "memory_id") -> DataFrame:
-    """Apply an edit table (op = update, delete, reverify); keys are normalised again on update."""
+# Which fields a normalised key follows, and the note of a re-check.
+KEYS_FROM = {
+    "normalized_brand": ("brand", "display_brand"), "normalized_model_sku": ("model_sku", "display_model_sku"),
+    "normalized_model": ("model_sku", "display_model_sku"),
+}
+REVERIFY = "Marked for manual re-verify."
+
+
+def _edited(table: DataFrame, edits: DataFrame, row: str, derived, at: Column | None) -> DataFrame:
+    """Rows without the deleted ones; an update sets every field the edit gives, a re-check sets the note."""
     gone = edits.filter(F.col("op") == "delete").select(row)
-    change = edits.filter(F.col("op") != "delete").select(
-        row, "op", F.col("brand").alias("new_brand"), F.col("dimensions_text").alias("new_dims")
-    )
-    j = memory.join(gone, row, "left_anti").join(change, row, "left")
-    update, check = F.col("op") == "update", F.col("op") == "reverify"
-    return j.select(
-        row,
-        F.when(update & F.col("new_brand").isNotNull(), norm_token(F.col("new_brand")))
-        .otherwise(F.col("normalized_brand"))
-        .alias("normalized_brand"),
-        "normalized_model_sku",
-        F.coalesce(F.when(update, F.col("new_dims")), F.col("dimensions_text")).alias("dimensions_text"),
-        F.when(check, F.lit("Marked for manual re-verify.")).otherwise(F.lit("")).alias("notes"),
-    )
+    given = [c for c in edits.columns if c not in (row, "op")]
+    change = edits.filter(F.col("op").isin("update", "reverify")).select(row, "op", *[F.col(c).alias(f"new_{c}") for c in given])
+    j = table.join(gone, row, "left_anti").join(change, row, "left")
+    update, check = F.coalesce(F.col("op") == "update", F.lit(False)), F.coalesce(F.col("op") == "reverify", F.lit(False))
+
+    def field(c: str) -> Column:
+        old = F.col(c)
+        value = F.coalesce(F.when(update, derived(c, given)), old) if derived(c, given) is not None else old
+        if c == "notes":
+            value = F.when(check, F.lit(REVERIFY)).otherwise(value)
+        if at is not None and c == "last_verified_at":
+            value = F.when(check, at).otherwise(value)
+        if at is not None and c == "updated_at":
+            value = F.when(update | check, at).otherwise(value)
+        return value.alias(c)
+
+    return j.select(*[field(c) for c in table.columns])
+
+
+def edit_memory(memory: DataFrame, edits: DataFrame, row: str = "memory_id", at: Column | None = None) -> DataFrame:
+    """Apply an edit table (op = update, delete, reverify) to records; at most one edit per record.
+
+    Every column of ``edits`` that the memory has can be changed; null leaves a field as it is.  Keys follow an edited brand or
+    model, ``dimensions`` and ``dimensions_text`` follow each other.  All columns stay; a re-check sets the note and, with ``at``, the time.
+    """
+
+    def derived(c: str, given: list[str]) -> Column | None:
+        named = lambda *names: [F.col(f"new_{n}") for n in names if n in given]
+        if c in KEYS_FROM and named(c, *KEYS_FROM[c]):
+            return norm_token(F.coalesce(*named(c, *KEYS_FROM[c])))
+        twin = {"dimensions": "dimensions_text", "dimensions_text": "dimensions", "display_brand": "brand", "display_model_sku": "model_sku"}
+        values = named(c, *([twin[c]] if c in twin else []))
+        return F.coalesce(*values) if values else None
+
+    return _edited(memory, edits, row, derived, at)
+
+
+def edit_domains(domains: DataFrame, edits: DataFrame, row: str = "domain_id", at: Column | None = None) -> DataFrame:
+    """Apply an edit table (op = update, delete) to learned domains; a new domain name is normalised, all columns stay."""
+
+    def derived(c: str, given: list[str]) -> Column | None:
+        if c not in given:
+            return None
+        new = F.col(f"new_{c}")
+        return F.nullif(urls.memory_domain(new), F.lit("")) if c == "domain" else new
+
+    return _edited(domains, edits, row, derived, at)
 
 
 def audit(**tables: DataFrame) -> DataFrame:
@@ -488,8 +575,11 @@ def kind_of_source(url: Column, hint: Column) -> Column:
     )
 
 
-def record_from_row(df: DataFrame) -> DataFrame:
-    """Memory records of enriched rows (one increment each)."""
+def record_from_row(df: DataFrame, notes: str = "", at: Column | None = None) -> DataFrame:
+    """Memory records of enriched rows, one increment each; ``at`` is the time of the check.
+
+    Row fields that are missing count as blank; sizes without own columns are read from the dimensions.
+    """
     c = df
     page = F.when(strip(c["product_url"]) != "", strip(c["product_url"])).otherwise(strip(c["selected_product_url"]))
     rows = df.withColumn("_page", page)
@@ -505,23 +595,30 @@ def record_from_row(df: DataFrame) -> DataFrame:
         .otherwise(F.lit(""))
     )
     rows = rows.withColumn("_spec", spec)
+    maker = strip(c["manufacturer_url"]) if "manufacturer_url" in df.columns else F.lit("")
     rows = rows.withColumn(
         "_source",
-        F.coalesce(*[F.nullif(x, F.lit("")) for x in (dim_url, F.col("_page"), F.col("_spec"), strip(c["image_source_url"]))], F.lit("")),
+        F.coalesce(*[F.nullif(x, F.lit("")) for x in (dim_url, F.col("_page"), maker, F.col("_spec"), strip(c["image_source_url"]))], F.lit("")),
     ).withColumn(
         "_score", label_score(c["dimension_confidence"], c["selected_product_url_confidence"], c["image_confidence"])
     )
-    return rows.select(
-        "row_id",
-        norm_token(F.col("brand")).alias("normalized_brand"),
-        norm_token(F.col("model_sku")).alias("normalized_model_sku"),
-        strip(F.col("dimensions")).alias("dimensions_text"),
-        F.col("_page").alias("product_page_url"),
-        F.col("_spec").alias("spec_sheet_url"),
-        urls.url_domain(F.col("_source")).alias("source_domain"),
-        F.col("_score").cast("int").alias("confidence_score"),
-        score_label(F.col("_score")).alias("confidence"),
-        kind_of_source(F.col("_source"), F.col("dimension_source_type")).alias("source_type"),
-        F.lit(1).alias("success_count"),
-        F.lit(0).alias("failure_count"),
-    )
+    def own(name: str) -> Column:
+        return F.coalesce(strip(F.col(name).cast("string")), F.lit("")) if name in df.columns else F.lit("")
+
+    labels = {c: F.coalesce(F.nullif(own(c), F.lit("")), score_label(F.col("_score"))) for c in ("dimension_confidence", "image_confidence")}
+    axes = {f"{axis}_in": F.coalesce(F.nullif(own(f"{axis}_in"), F.lit("")), F.nullif(dims.axis_text(F.col("dimensions"), axis), F.lit("")), F.lit("")) for axis in ("width", "height", "depth")}
+    brand, model = own("brand"), own("model_sku")
+    record = {
+        "display_brand": brand, "display_model_sku": model, "brand": brand, "model_sku": model,
+        "normalized_brand": norm_token(brand), "normalized_model_sku": norm_token(model), "normalized_model": norm_token(model),
+        "product_name": own("product_name"), "manufacturer_url": own("manufacturer_url"),
+        "dimensions_text": own("dimensions"), "dimensions": own("dimensions"), "dimension_source_url": own("dimension_source_url"),
+        "image_source_url": own("image_source_url"), "product_page_url": F.col("_page"), "spec_sheet_url": F.col("_spec"), **axes,
+        "image_url": own("image_url"), "source_domain": urls.url_domain(F.col("_source")),
+        "confidence_score": F.col("_score").cast("int"), "confidence": score_label(F.col("_score")), **labels,
+        "source_type": kind_of_source(F.col("_source"), F.col("dimension_source_type")), "success_count": F.lit(1), "failure_count": F.lit(0),
+        "notes": F.lit(notes),
+    }
+    if at is not None:
+        record |= {"last_verified_at": at, "first_seen_at": F.coalesce(F.col("first_seen_at"), at) if "first_seen_at" in df.columns else at}
+    return rows.select("row_id", *[value.alias(c) for c, value in record.items()])

@@ -38,10 +38,10 @@ def join_product_memory_legacy(df, memory):
     return mem.lookup_memory(df, old, "normalized_model").select("row_id", "memory_source_type", "memory_confidence_score")
 
 
-@query("intake", "source_memory")
+@query("intake_wide", "source_memory_wide")
 def fill_from_memory(df, memory):
     return mem.fill_from_memory(mem.lookup_memory(df, memory)).select(
-        "row_id", "dimensions", "image_url", "product_url", "memory_filled", "memory_hit"
+        "row_id", "dimensions", *[c for c, _, _ in mem.FILLS], "memory_filled", "memory_hit", "stored_source_used", "cache_hit"
     )
 
 
@@ -111,9 +111,9 @@ def memory_best_per_key(memory):
     return mem.best_per_key(memory, ["normalized_brand"]).select("normalized_brand", "confidence_score", "success_count", "product_page_url")
 
 
-@query("part", "source_memory", "preferred_domains")
-def preferred_domain_hint(part, memory, domains):
-    return mem.domain_hint(part.select(F.col("p_brand").alias("brand")), memory, domains)
+@query("hint_requests", "source_memory", "preferred_domains")
+def preferred_domain_hint(asked, memory, domains):
+    return mem.domain_hint(asked, memory, domains)
 
 
 @query("source_memory", "memory_delta")
@@ -123,6 +123,10 @@ def memory_upsert(memory, delta):
 
 @query("preferred_domains", "domain_events")
 def domain_upsert(domains, events):
+    good = F.col("success_count") > 0
+    events = events.withColumns({
+        "source_type": F.when(good, F.lit("retailer")).otherwise(F.lit("")), "notes": F.when(good, F.lit("")).otherwise(F.lit("timeout")),
+    })
     out = mem.upsert_domains(domains, events)
     return out.withColumns(
         {c: F.col(c).cast("timestamp_ntz") for c in ("last_success_at", "last_failure_at")}
@@ -135,14 +139,27 @@ def memory_counters(memory, delta):
     return mem.memory_counters(memory.select(*cols).unionByName(delta.select(*cols)))
 
 
-@query("source_memory")
+@query("source_memory_wide")
 def memory_edit(memory):
-    rows = memory.withColumn("memory_id", F.concat("normalized_brand", F.lit(":"), "normalized_model_sku"))
     op = F.when(F.col("success_count") == 1, "update").when(F.col("success_count") == 2, "delete").when(F.col("success_count") == 3, "reverify")
-    edits = rows.withColumn("op", op).filter("op is not null").select(
-        "memory_id", "op", F.lit("New Brand!").alias("brand"), F.lit('1"W x 2"H x 3"D').alias("dimensions_text")
+    edits = memory.withColumn("op", op).filter("op is not null").select(
+        "memory_id", "op", F.lit("New Brand!").alias("brand"), F.lit('1"W x 2"H x 3"D').alias("dimensions_text"),
+        F.when(F.col("failure_count") == 0, F.lit("https://new.example.com/p")).alias("product_page_url"),
+    )
+    return mem.edit_memory(memory, edits).select(
+        "memory_id", "normalized_brand", "normalized_model_sku", "brand", "display_brand", "dimensions_text", "product_page_url", "notes",
+        "source_type", "confidence_score", "success_count", "source_domain",
+    )
+
+
+@query("preferred_domains")
+def domain_edit(domains):
+    op = F.when(F.col("domain_id") % 5 == 1, "update").when(F.col("domain_id") % 5 == 2, "delete")
+    edits = domains.withColumn("op", op).filter("op is not null").select(
+        "domain_id", "op", F.when(F.col("domain_id") % 2 == 0, F.concat(F.lit("https://WWW.New"), F.col("domain_id").cast("string"), F.lit(".example.com/x"))).alias("domain"),
+        F.lit(True).alias("downranked"), F.lit("Checked.").alias("notes"),
     )
-    return mem.edit_memory(rows, edits)
+    return mem.edit_domains(domains, edits)
 
 
 @query("intake_wide")

@@ -50,6 +50,25 @@ SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '')) AS normalized_brand,
 FROM part WHERE p_partkey % 2 = 0
 """
 
+# The source memory with the remaining columns of a record.
+VIEWS["source_memory_wide"] = r"""
+SELECT m.*, concat(m.normalized_brand, ':', m.normalized_model_sku) AS memory_id, upper(m.normalized_brand) AS brand, upper(m.normalized_brand) AS display_brand,
+  CASE WHEN m.success_count % 2 = 0 THEN concat(CAST(m.confidence_score AS STRING), ' in') ELSE '' END AS width_in, CASE WHEN m.success_count % 3 = 0 THEN '30 in' ELSE '' END AS height_in,
+  CASE WHEN m.success_count % 4 = 0 THEN '20 in' ELSE '' END AS depth_in, CASE WHEN m.failure_count = 0 THEN 'https://maker.example.com/' ELSE '' END AS manufacturer_url,
+  CASE m.success_count % 3 WHEN 0 THEN '' ELSE 'https://docs.example.net/size.pdf' END AS dimension_source_url, CASE WHEN m.success_count % 2 = 1 THEN 'https://docs.example.net/spec.pdf' ELSE '' END AS spec_sheet_url,
+  'https://maker.example.com/gallery/item' AS image_source_url, 'maker.example.com' AS source_domain, CASE m.failure_count WHEN 1 THEN 'high' WHEN 2 THEN 'low' ELSE '' END AS dimension_confidence,
+  CASE WHEN m.confidence_score >= 80 THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN m.failure_count = 3 THEN 'low' ELSE '' END AS image_confidence,
+  CASE WHEN m.success_count % 2 = 0 THEN 'Checked by phone.' ELSE '' END AS notes
+FROM source_memory m
+"""
+
+# Brands and categories that ask for a learned domain; the second part has brands without memory.
+VIEWS["hint_requests"] = r"""
+SELECT DISTINCT p_brand AS brand, 'tables' AS category FROM part
+UNION ALL SELECT DISTINCT concat('Brand #', CAST(s_suppkey % 60 AS STRING)), CASE WHEN s_suppkey % 2 = 0 THEN 'Good for brand' ELSE '' END FROM supplier
+UNION ALL SELECT DISTINCT concat('Unseen ', p_type), CASE WHEN p_size % 2 = 0 THEN 'good for' ELSE 'chairs' END FROM part
+"""
+
 VIEWS["memory_delta"] = r"""
 SELECT lower(regexp_replace(p_brand, '[^A-Za-z0-9]+', '')) AS normalized_brand, lower(concat(p_type, CAST(p_partkey AS STRING))) AS normalized_model_sku,
   CASE p_partkey % 3 WHEN 0 THEN 'manufacturer' WHEN 1 THEN 'retailer' ELSE 'other' END AS source_type, CAST(40 + (p_partkey * 11) % 60 AS INT) AS confidence_score,
@@ -208,7 +227,7 @@ def order_of(row_id: str) -> Column:
 
 
 # Which views a view reads.
-NEEDS = {"intake_wide": ("intake",)}
+NEEDS = {"intake_wide": ("intake",), "source_memory_wide": ("source_memory",)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
