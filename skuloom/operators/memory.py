@@ -409,6 +409,55 @@ def upsert_memory(memory: DataFrame, delta: DataFrame) -> DataFrame:
     return j.select(*MEMORY_KEYS, *[merged(c) for c in [*columns, *[c for c in given if c not in columns]]])
 
 
+def merged_record(old: Column, new: Column, kinds: dict[str, str]) -> Column:
+    """The record (a struct of the fields in ``kinds``) after one increment; the rule of ``upsert_memory`` on structs.
+
+    A null ``old`` gives the increment itself.
+    """
+    absent = old.isNull()
+    score = lambda r: F.coalesce(r["confidence_score"], F.lit(0))
+    old_rank, new_rank = source_rank(old["source_type"]), source_rank(new["source_type"])
+    better = (new_rank > old_rank) | ((new_rank == old_rank) & (score(new) >= score(old)))
+    keep = (old_rank > new_rank) & (score(old) >= score(new))
+
+    def field(c: str, kind: str) -> Column:
+        a, b = old[c], new[c]
+        blank = F.lit("") if kind == "string" else F.lit(0) if kind.startswith(("int", "bigint", "double", "float", "decimal")) else None
+        filled = (lambda v: F.nullif(v, blank)) if blank is not None else (lambda v: v)
+        if c in COUNTERS:
+            value = F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+        elif c in FIRST_TIMES:
+            value = F.coalesce(a, b)
+        else:
+            value = F.when(better, F.coalesce(b, a)).otherwise(F.coalesce(a, b))
+            if c in PROTECTED:
+                value = F.when(keep, F.coalesce(filled(a), filled(b), a)).otherwise(value)
+        return F.when(absent, b).otherwise(value).cast(kind).alias(c)
+
+    return F.struct(*[field(c, kind) for c, kind in kinds.items()])
+
+
+def fold_memory(memory: DataFrame, increments: DataFrame, order: list[str]) -> DataFrame:
+    """Records of the keys that ``increments`` has, after all its increments one by one.
+
+    Increments of a key are applied by ``order``, then by their other fields.  They are held as one array per key, so
+    ``increments`` is a bounded batch; records of other keys are left out.  Fields that only one side has are null on the other.
+    """
+    kinds = {c: k for c, k in [*memory.dtypes, *increments.dtypes] if c not in MEMORY_KEYS}
+
+    def record(df: DataFrame) -> Column:
+        return F.struct(*[(F.col(c) if c in df.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()])
+
+    new = increments.groupBy(*MEMORY_KEYS).agg(
+        F.array_sort(F.collect_list(F.struct(*[F.col(c).alias(f"_{c}") for c in order], record(increments).alias("r")))).alias("new")
+    )
+    old = memory.select(*MEMORY_KEYS, record(memory).alias("old"))
+    shape = "struct<" + ",".join(f"`{c}`:{k}" for c, k in kinds.items()) + ">"
+    joined = new.join(old, MEMORY_KEYS, "left")
+    after = F.aggregate("new", F.col("old").cast(shape), lambda a, x: merged_record(a, x["r"], kinds))
+    return joined.select(*MEMORY_KEYS, after.alias("r")).select(*MEMORY_KEYS, "r.*")
+
+
 def upsert_domains(domains: DataFrame, events: DataFrame) -> DataFrame:
     """Add counters per normalised domain; keep the times of the last success and failure.
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skuloom.registry import QUERIES, query
+from skuloom.registry import QUERIES, source
 from skuloom.session import work_dir
+from skuloom.sources.sample_views import VIEWS
 from skuloom.streaming import jobs
 
 def run_log_stream(spark, sf_dir):
@@ -17,11 +18,14 @@ def run_log_stream(spark, sf_dir):
 
 QUERIES["run_log_stream"] = run_log_stream
 
-@query("source_memory", "memory_delta")
-def memory_stream(memory, delta):
-    spark = memory.sparkSession
-    folder = work_dir(spark, "memory-stream")
-    delta.repartition(3, "normalized_model_sku").write.parquet(f"{folder}/outcomes")
-    outcomes = spark.readStream.schema(delta.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/outcomes")
-    return jobs.run_memory_stream(outcomes, memory, f"{folder}/table")
+def memory_stream(spark, sf_dir):
+    """The increments of ``memory_delta``, read from the given file as a stream, folded into the memory."""
+    memory = source(spark, sf_dir, "source_memory")
+    schema = spark.read.parquet(f"{sf_dir}/part.parquet").schema
+    part = spark.readStream.schema(schema).option("pathGlobFilter", "part.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
+    part.createOrReplaceTempView("part_stream")
+    outcomes = spark.sql(VIEWS["memory_delta"].replace("FROM part", "FROM part_stream"))
+    return jobs.run_memory_stream(outcomes, memory, work_dir(spark, "memory-stream"), ["product_page_url"])
 
+
+QUERIES["memory_stream"] = memory_stream

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from skuloom.operators.memory import COUNTERS, MEMORY_KEYS, source_rank, upsert_memory
+from skuloom.operators.memory import MEMORY_KEYS, fold_memory
 from skuloom.session import work_dir
 
 
@@ -46,43 +46,64 @@ def drain(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     return newest.select(*keys, *[F.col(f"newest.{c}").alias(c) for c in rest])
 
 
-def batch_delta(batch: DataFrame) -> DataFrame:
-    """One record per key of a batch: counters summed, all other fields from the best-ranked record."""
-    fields = [c for c in batch.columns if c not in (*MEMORY_KEYS, *COUNTERS)]
-    place = [source_rank(F.col("source_type")).alias("rank"), F.coalesce("confidence_score", F.lit(0)).alias("score")]
-    best = F.max(F.struct(*place, F.struct(*fields).alias("record")))
-    return (
-        batch.groupBy(*MEMORY_KEYS)
-        .agg(best.alias("b"), *[F.sum(c).cast("int").alias(c) for c in COUNTERS])
-        .select(*MEMORY_KEYS, *[F.col(f"b.record.{c}") for c in fields], *COUNTERS)
-    )
-
+class MemoryLog:
+    """A keyed table kept as a base and the changes of each batch.
 
-def memory_sink(spark: SparkSession, folder: str):
-    """``foreachBatch`` function: batch n reads version n and writes version n + 1.
-
-    Versions are whole tables, so a batch that is run again after a failure rewrites the same version.
+    Batch n writes only the records of the keys it touches, below its own number.  Every ``compact``-th batch also writes a new base, so
+    a reader sees one base and at most ``compact`` batches.  What batch n reads is below its number and never written again, so a
+    batch that is run again after a failure writes the same records.  Base and changes lie in ``folder``, which executors share.
     """
 
-    def write(batch: DataFrame, number: int) -> None:
-        current = batch.sparkSession.read.parquet(f"{folder}/v{number}")
-        merged = upsert_memory(current, batch_delta(batch))
-        merged.write.mode("overwrite").parquet(f"{folder}/v{number + 1}")
-
-    return write
-
-
-def run_memory_stream(outcomes: DataFrame, start: DataFrame, folder: str) -> DataFrame:
-    """Fold a stream of enrichment outcomes into the memory table kept under ``folder``."""
-    spark = start.sparkSession
-    start.write.mode("overwrite").parquet(f"{folder}/v0")
+    def __init__(self, spark: SparkSession, folder: str, start: DataFrame, order: list[str], compact: int = 16):
+        self.spark, self.folder, self.order, self.compact = spark, folder, order, compact
+        self.schema = start.schema
+        start.write.mode("ignore").parquet(f"{folder}/base/upto=-1")
+        # Batch -2 is empty: a log without batches can be read as well.
+        spark.createDataFrame([], self.schema).write.mode("ignore").parquet(f"{folder}/changes/batch=-2")
+
+    def base_of(self, number: int) -> int:
+        """The last batch inside the base that batch ``number`` reads."""
+        return number // self.compact * self.compact - 1
+
+    def _log(self) -> DataFrame:
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField("batch", LongType())])).parquet(f"{self.folder}/changes")
+
+    def table(self, upto: int, through: int, keys: DataFrame | None = None) -> DataFrame:
+        """The base of batch ``upto`` with the changes behind it up to batch ``through``; of the given keys only, if any."""
+        base = self.spark.read.schema(self.schema).parquet(f"{self.folder}/base/upto={upto}").withColumn("batch", F.lit(-1).cast("long"))
+        rows = base.unionByName(self._log().filter((F.col("batch") > max(upto, -1)) & (F.col("batch") <= through)))
+        if keys is not None:
+            rows = rows.join(keys, MEMORY_KEYS, "left_semi")
+        rest = [f.name for f in self.schema if f.name not in MEMORY_KEYS]
+        newest = rows.groupBy(*MEMORY_KEYS).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+        return newest.select(*MEMORY_KEYS, "r.*").select(*self.schema.names)
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        """Function for ``foreachBatch``."""
+        old = self.table(self.base_of(number), number - 1, batch.select(*MEMORY_KEYS).distinct())
+        new = fold_memory(old, batch, self.order).select(*[F.col(f.name).cast(f.dataType) for f in self.schema])
+        new.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={number}")
+        if (number + 1) % self.compact == 0:
+            self.table(self.base_of(number), number).write.mode("overwrite").parquet(f"{self.folder}/base/upto={number}")
+
+    def now(self) -> DataFrame:
+        """The table behind the last batch."""
+        last = self._log().agg(F.max("batch").alias("n")).first()["n"]
+        last = -1 if last is None else last
+        return self.table(self.base_of(last + 1), last)
+
+
+def run_memory_stream(outcomes: DataFrame, start: DataFrame, folder: str, order: list[str], compact: int = 16) -> DataFrame:
+    """Fold a stream of enrichment outcomes, one by one per key in ``order``, into the memory table kept under ``folder``.
+
+    A folder that has a table already goes on from it.
+    """
+    log = MemoryLog(start.sparkSession, folder, start, order, compact)
     query = (
-        outcomes.writeStream.foreachBatch(memory_sink(spark, folder))
+        outcomes.writeStream.foreachBatch(log.write)
         .option("checkpointLocation", f"{folder}/state")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    done = [p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0]
-    last = max(done) + 1 if done else 0
-    return spark.read.parquet(f"{folder}/v{last}")
+    return log.now()
