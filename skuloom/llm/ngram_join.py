@@ -322,11 +322,16 @@ def _plausible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
 def _anchored(entries: DataFrame, percent: int) -> DataFrame:
     """Pairs of every set with the anchors of its n-gram in its own and the next smaller size band.
 
-    Anchors are smallest by a hash of the set, so the n-grams of one group of near copies choose the same ones.
+    The first anchor has the n-gram at the earliest place: it has fewest rarer n-grams of its own, as the text has that a
+    group of near copies was made from.  The others are smallest by a hash of the set, so the n-grams of one group choose the same ones.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     rows = entries.withColumn("band", band)
-    ranked = [F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "place", "label")).alias(f"x{k}") for k in range(ANCHORS)]
+    early = [F.col("place").cast("bigint"), *[F.lit(0).cast("bigint")] * (ANCHORS - 1)]
+    ranked = [
+        F.min(F.struct(early[k].alias("early"), F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "place", "label")).alias(f"x{k}")
+        for k in range(ANCHORS)
+    ]
     anchors = rows.groupBy("token", "band").agg(*ranked)
     anchors = anchors.select("token", "band", F.explode(F.array_distinct(F.array(*[F.struct(f"x{k}.node", f"x{k}.n", f"x{k}.place", f"x{k}.label") for k in range(ANCHORS)]))).alias("x")).select(
         "token", F.explode(F.array("band", F.col("band") + 1)).alias("band"),
@@ -409,9 +414,10 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, pieces: int =
     label = stored(components(links), "ngram-labels")
     left = entries.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     more = stored(_distinct(_across(left, maps, percent)).join(near.select("a", "b"), ["a", "b"], "left_anti"), "ngram-across")
-    # The stars of the first round stand for its links.
-    stars = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    label = stored(components(stars.unionByName(tested(more))), "ngram-labels")
+    if not more.isEmpty():
+        # The stars of the first round stand for its links.
+        stars = label.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        label = stored(components(stars.unionByName(tested(more))), "ngram-labels")
     found = first.filter("chunk < 0").select("doc_id", "n", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = found.filter("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return found.join(least, "label", "left").select(
