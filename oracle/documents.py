@@ -78,6 +78,10 @@ for _s in "pm":
 SQL["choose_final_value"] = f"""{V('intake_wide')} SELECT row_id, CASE WHEN row_id % 2 = 0 THEN 'Model text' ELSE product_name END AS product_name,
  CASE WHEN quantity > 1 AND row_id % 4 <= 1 THEN quantity WHEN row_id % 4 > 0 THEN row_id % 4 WHEN quantity > 0 THEN quantity ELSE 1 END AS quantity,
  CASE WHEN row_id % 2 = 1 THEN notes ELSE concat_ws(' ', nullif(notes, ''), 'Model text') END AS notes FROM intake_wide"""
+SQL["result_answers"] = f"""{V('intake')}, a AS (SELECT row_id AS doc_id, row_id % 5 AS k, image_url AS im, CAST(quantity AS VARCHAR) AS w FROM intake)
+ SELECT doc_id, CAST(p AS INT) AS position, CASE k WHEN 2 THEN 'json_repaired' WHEN 3 THEN 'partial_recovery' WHEN 4 THEN 'no_rows' ELSE 'strict_json' END AS parse_status,
+ CASE WHEN k < 3 THEN CAST(doc_id AS VARCHAR) END AS result_row_id, CASE WHEN k < 2 THEN 'true' WHEN k = 3 THEN 'false' END AS result_safe_to_write, CASE WHEN k < 3 THEN im WHEN k = 3 THEN nullif(im, '') END AS result_image_url,
+ CASE WHEN k < 4 THEN w END AS result_width_in, CASE WHEN k = 3 THEN 'OpenAI JSON response could not be parsed safely.' END AS result_reason FROM a, unnest(range(CASE WHEN k = 0 THEN 2 ELSE 1 END)) AS u(p)"""
 ITEMS = f"""{V('intake')}, a AS (SELECT * FROM intake WHERE row_id % 4 <> 2)"""
 SQL["json_array_from_text"] = f"""{ITEMS} SELECT row_id AS doc_id, CAST(0 AS INT) AS position, product_name, CAST(row_id % 4 AS VARCHAR) AS quantity, room FROM a UNION ALL SELECT row_id, 1, concat('second ', row_id), NULL, NULL FROM a"""
 SQL["ai_item_to_row"] = f"""{ITEMS}, b AS (SELECT *, least(100, row_id % 130) AS sc FROM a),

@@ -44,12 +44,15 @@ SQL["cache_sanitize_on_read"] = f"""{V('product_cache')} SELECT product_key, CAS
  {f.listing([("starts_with(image_url, 'ftp')", "'image_url'"), ("contains(product_url, '[')", "'product_url'")], ',')} AS rejected FROM product_cache"""
 SQL["memory_sanitize_on_read"] = f"""{V('source_memory')} SELECT normalized_model_sku, product_page_url, {GOOD_IMG} AS image_url,
  CASE WHEN contains(image_url, '[') THEN 'invalid URL removed: image_url=' || image_url ELSE '' END AS rejected_reason FROM source_memory"""
-SQL["cache_update"] = f"""{V('product_cache', 'cache_delta')}, j AS (SELECT coalesce(c.product_key, d.product_key) AS product_key, c.product_url AS cu, c.finish AS cf, d.product_key IS NOT NULL AS hit,
- d.product_url AS du, d.finish AS df, nullif(d.product_url_reason, '') AS why FROM product_cache c FULL JOIN cache_delta d ON c.product_key = d.product_key)
- SELECT product_key, CASE WHEN hit AND (du IS NULL OR contains(du, '[')) THEN NULL WHEN hit AND du <> '' THEN du ELSE cu END AS product_url,
- CASE WHEN hit AND df IS NULL THEN NULL WHEN hit AND df <> '' THEN df ELSE cf END AS finish,
- CASE WHEN hit AND du IS NULL THEN coalesce(why, 'not found') WHEN hit AND contains(du, '[') THEN coalesce(why, 'invalid URL rejected from cache') ELSE '' END AS url_failure,
- CASE WHEN hit AND df IS NULL THEN 'not found' ELSE '' END AS finish_failure FROM j"""
+_SURE = "CASE {0} WHEN 'high' THEN 2 WHEN 'medium' THEN 1 WHEN 'low' THEN 0 ELSE -1 END"
+SQL["cache_update"] = f"""{V('product_cache', 'cache_delta_wide')}, j AS (SELECT coalesce(c.product_key, d.product_key) AS product_key, c.product_url AS cu, c.finish AS cf, c.dimensions AS cd, c.dimension_confidence AS cc, c.product_name, c.material,
+ c.product_category, c.image_url, c.general_confidence, d.product_key IS NOT NULL AS hit, d.product_url AS du, d.finish AS df, nullif(d.product_url_reason, '') AS why, d.dimensions AS dd, d.dimension_confidence AS dc, d.remark,
+ d.product_key IS NOT NULL AND {_SURE.format('d.dimension_confidence')} >= {_SURE.format('c.dimension_confidence')} AS sure FROM product_cache c FULL JOIN cache_delta_wide d ON c.product_key = d.product_key)
+ SELECT product_key, CASE WHEN hit AND (du IS NULL OR contains(du, '[')) THEN NULL WHEN hit AND du <> '' THEN du ELSE cu END AS product_url, product_name,
+ CASE WHEN hit AND df IS NULL THEN NULL WHEN hit AND df <> '' THEN df ELSE cf END AS finish, material, product_category, image_url, CASE WHEN sure AND dd IS NULL THEN NULL WHEN sure AND dd <> '' THEN dd ELSE cd END AS dimensions,
+ CASE WHEN sure THEN dc ELSE cc END AS dimension_confidence, general_confidence, remark,
+ concat_ws('; ', CASE WHEN sure AND dd IS NULL THEN 'dimensions=not found' END, CASE WHEN hit AND df IS NULL THEN 'finish=not found' END,
+  CASE WHEN hit AND du IS NULL THEN 'product_url=' || coalesce(why, 'not found') WHEN hit AND contains(du, '[') THEN 'product_url=' || coalesce(why, 'invalid URL rejected from cache') END) AS misses FROM j"""
 SQL["kb_read"] = f"""{V('source_memory')} SELECT normalized_brand, normalized_model_sku, source_type, confidence_score, success_count FROM source_memory
  WHERE source_type = 'manufacturer' AND contains(lower(concat_ws(' ', normalized_brand, normalized_model_sku, product_page_url)), 'p/1')
  ORDER BY success_count DESC, confidence_score DESC, normalized_brand, normalized_model_sku LIMIT 100"""

@@ -612,3 +612,72 @@ def item_rows(items: DataFrame, default_room: str = "") -> DataFrame:
         (F.lower(text("review_required")) == "true").alias("review_required"),
         F.when(final >= 75, F.lit("Ready for Review")).otherwise(F.lit("Needs Review")).alias("status"),
     )
+
+
+# ------------------------------------------------------------------ result answers
+
+# Links and sizes that are saved from an answer that can't be parsed, and the reason given.
+SAVED_LINKS = ("image_url", "image_source_url", "dimension_source_url", "product_page_url", "spec_sheet_url")
+SAVED_SIZES = ("width_in", "height_in", "depth_in")
+RESULT_FIELDS = ("row_id", "safe_to_write", "confidence", "reason", *SAVED_LINKS, *SAVED_SIZES)
+UNREADABLE = "OpenAI JSON response could not be parsed safely."
+
+
+def json_text(answer: Column) -> Column:
+    """The JSON in an answer: fences out, from the first opening to the last closing bracket."""
+    text = strip(F.regexp_replace(strip(F.coalesce(answer, F.lit(""))), r"(?i)^```(?:json)?\s*|\s*```$", ""))
+
+    def cut(t: Column) -> Column:
+        first = F.least(*[F.nullif(F.locate(c, t), F.lit(0)) for c in "{["])
+        last = F.greatest(*[F.when(F.locate(c, F.reverse(t)) > 0, F.length(t) - F.locate(c, F.reverse(t)) + 1) for c in "}]"])
+        return F.when(last > first, F.substr(t, first, last - first + 1)).otherwise(t)
+
+    return let(text, cut)
+
+
+def repaired_json(text: Column) -> Column:
+    """Control signs and bare constants replaced, missing closing brackets added: braces first, then square ones."""
+    clean = F.regexp_replace(F.replace(text, F.lit("\ufeff"), F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
+    clean = F.regexp_replace(clean, r"\b(?:NaN|Infinity|-Infinity)\b", "null")
+
+    def closed(t: Column, opening: str, closing: str) -> Column:
+        count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+        return F.concat(t, F.repeat(F.lit(closing), F.greatest(F.lit(0), count(opening) - count(closing))))
+
+    return let(let(clean, lambda t: closed(t, "{", "}")), lambda t: closed(t, "[", "]"))
+
+
+def result_rows(answers: DataFrame, answer: str = "answer") -> DataFrame:
+    """One row per result of an answer, with ``position``, ``parse_status`` and the result's fields as text.
+
+    An answer is a list, an object with a list ``rows``, or one object.  Text that is no JSON is repaired; where that fails as well, the
+    links and sizes in it are saved in one result that is not safe to write.  Readable answers without a result keep one
+    row of nulls with the status ``no_rows``; so no answer vanishes.  Other columns of ``answers`` stay.
+    """
+    text = answers.withColumn("_text", json_text(F.col(answer)))
+    parsed = text.withColumn("_strict", F.try_parse_json("_text")).withColumn(
+        "_json", F.coalesce("_strict", F.try_parse_json(repaired_json(F.col("_text"))))
+    )
+    kind = F.schema_of_variant("_json")
+    listed = F.coalesce(
+        F.when(F.startswith(kind, F.lit("OBJECT")), F.try_variant_get("_json", "$.rows", "array<variant>")),
+        F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get("_json", "$", "array<variant>")),
+        F.when(F.startswith(kind, F.lit("OBJECT")), F.array("_json")),
+    )
+
+    def link(name: str) -> Column:
+        raw = F.nullif(F.regexp_extract("_text", rf'"{name}"\s*:\s*"([^"\\]*(?:\\.[^"\\]*)*)"', 1), F.lit(""))
+        return F.coalesce(F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), raw, F.lit('"'))), "$", "string"), raw)
+
+    saved = {"safe_to_write": F.lit("false"), "confidence": F.lit("none"), "reason": F.lit(UNREADABLE)}
+    saved |= {c: link(c) for c in SAVED_LINKS}
+    saved |= {c: F.nullif(F.regexp_extract("_text", rf'"{c}"\s*:\s*([0-9.]+)', 1), F.lit("")) for c in SAVED_SIZES}
+    broken = F.col("_json").isNull()
+    rows = parsed.withColumn("_broken", broken).select("*", F.posexplode_outer(listed).alias("position", "_row"))
+    status = F.when(F.col("_broken"), F.lit("partial_recovery")).when(F.col("_row").isNull(), F.lit("no_rows"))
+    status = status.when(F.col("_strict").isNull(), F.lit("json_repaired")).otherwise(F.lit("strict_json"))
+    none = F.lit(None).cast("string")
+    fields = {f"result_{c}": F.when(F.col("_broken"), saved.get(c, none)).otherwise(F.try_variant_get("_row", f"$.{c}", "string")) for c in RESULT_FIELDS}
+    return rows.withColumns({**fields, "position": F.coalesce("position", F.lit(0)), "parse_status": status}).drop(
+        "_text", "_strict", "_json", "_broken", "_row"
+    )

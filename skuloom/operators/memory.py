@@ -225,38 +225,66 @@ def sanitize_cache(cache: DataFrame, fields: tuple[str, ...] = ("product_url", "
     return out.withColumns({c: F.when(~bad[c], F.col(c)) for c in fields})
 
 
-def update_cache(cache: DataFrame, delta: DataFrame) -> DataFrame:
-    """Merge findings: filled values win, null records a miss with its reason, bad links are refused."""
-    d = delta.select(
-        "product_key",
-        F.lit(True).alias("d_hit"),
-        F.col("product_url").alias("d_url"),
-        F.col("finish").alias("d_finish"),
-        F.nullif(F.col("product_url_reason"), F.lit("")).alias("d_reason"),
-    )
-    joined = cache.join(d, "product_key", "full")
-    hit = F.coalesce(F.col("d_hit"), F.lit(False))
-    refused = hit & F.coalesce(F.col("d_url") != "", F.lit(False)) & ~urls.is_fetchable(F.coalesce("d_url", F.lit("")))
-    url = (
-        F.when(refused | (hit & F.col("d_url").isNull()), F.lit(None))
-        .when(hit & (F.col("d_url") != ""), F.col("d_url"))
-        .otherwise(F.col("product_url"))
-    )
-    finish = (
-        F.when(hit & F.col("d_finish").isNull(), F.lit(None))
-        .when(hit & (F.col("d_finish") != ""), F.col("d_finish"))
-        .otherwise(F.col("finish"))
-    )
-    why = F.when(refused, F.coalesce("d_reason", F.lit("invalid URL rejected from cache"))).when(
-        hit & F.col("d_url").isNull(), F.coalesce("d_reason", F.lit("not found"))
-    )
-    return joined.select(
-        "product_key",
-        url.alias("product_url"),
-        finish.alias("finish"),
-        F.coalesce(why, F.lit("")).alias("url_failure"),
-        F.when(hit & F.col("d_finish").isNull(), F.lit("not found")).otherwise(F.lit("")).alias("finish_failure"),
-    )
+# Links of a cache entry, the fields that a size finding writes, and how certain such a finding is.
+CACHE_LINKS = (
+    "product_url", "verified_product_url", "product_page_url", "manufacturer_url", "spec_sheet_url", "dimension_source_url",
+    "image_source_url", "image_url", "cloudinary_url", "original_image_url",
+)
+SIZE_FIELDS = ("dimensions", "width_in", "height_in", "depth_in", "length_in", "dimension_source_url", "dimension_confidence")
+CERTAINTY = {"high": 2, "medium": 1, "low": 0}
+
+
+def update_cache(cache: DataFrame, delta: DataFrame, at: Column | None = None) -> DataFrame:
+    """Merge findings (one row per key) into the cache; all fields of either side stay.
+
+    A filled value wins, ``''`` says nothing, null records a miss, and a link that can't be fetched is refused.  Misses
+    and refusals blank the field and enter ``null_fields`` with their reason (``<field>_reason``) and the time; older entries of other
+    fields stay.  Sizes are replaced together, and only by a finding of at least the stored certainty.
+    """
+    kinds = dict(delta.dtypes) | dict(cache.dtypes)
+    reasons = {c for c in delta.columns if c.endswith("_reason") and c[: -len("_reason")] in delta.columns}
+    given = [c for c in delta.columns if c != "product_key" and c not in reasons]
+    extra = ("product_key", "null_fields", "timestamp")
+    fields = [c for c in cache.columns if c not in extra] + [c for c in given if c not in cache.columns]
+    d = delta.select("product_key", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in [*given, *reasons]])
+    j = cache.join(d, "product_key", "full")
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    now = at if at is not None else F.lit(None).cast("string")
+
+    def rank(label: Column) -> Column:
+        out = F.lit(-1)
+        for word, value in CERTAINTY.items():
+            out = F.when(label == word, value).otherwise(out)
+        return out
+
+    stronger = F.lit(True)
+    if "dimension_confidence" in given and "dimension_confidence" in cache.columns:
+        stronger = rank(F.col("_new_dimension_confidence")) >= rank(F.col("dimension_confidence"))
+
+    def outcome(c: str) -> tuple[Column, Column]:
+        """The new value and, for a miss, its reason."""
+        old = F.col(c) if c in cache.columns else F.lit(None).cast(kinds[c])
+        if c not in given:
+            return old, F.lit(None).cast("string")
+        new = F.col(f"_new_{c}")
+        told = hit & stronger if c in SIZE_FIELDS else hit
+        silent = F.coalesce(new == "", F.lit(False)) if kinds[c] == "string" else F.lit(False)
+        refused = F.lit(False)
+        if c in CACHE_LINKS:
+            refused = told & new.isNotNull() & ~silent & ~urls.is_fetchable(F.coalesce(new, F.lit("")))
+        own = F.nullif(F.col(f"_new_{c}_reason"), F.lit("")) if f"{c}_reason" in reasons else F.lit(None).cast("string")
+        why = F.when(refused, F.coalesce(own, F.lit("invalid URL rejected from cache"))).when(told & new.isNull(), F.coalesce(own, F.lit("not found")))
+        return F.when(why.isNotNull(), F.lit(None)).when(told & ~silent, new).otherwise(old), why
+
+    results = {c: outcome(c) for c in fields}
+    entry = "map<string,struct<last_attempted:string,failure_reason:string>>"
+    pairs = [F.struct(F.lit(c).alias("k"), F.struct(now.cast("string").alias("last_attempted"), why.alias("failure_reason")).alias("v")) for c, (_, why) in results.items()]
+    fresh = F.map_from_entries(F.filter(F.array(*pairs), lambda p: p["v"]["failure_reason"].isNotNull())).cast(entry)
+    old = F.col("null_fields").cast(entry) if "null_fields" in cache.columns else F.lit(None).cast(entry)
+    empty = F.create_map().cast(entry)
+    merged = F.map_zip_with(F.coalesce(old, empty), fresh, lambda k, a, b: F.coalesce(b, a))
+    stamp = F.coalesce(F.col("timestamp") if "timestamp" in cache.columns else F.lit(None).cast("string"), F.when(hit, now)).alias("timestamp")
+    return j.select("product_key", *[value.cast(kinds[c]).alias(c) for c, (value, _) in results.items()], merged.alias("null_fields"), stamp)
 
 
 # ------------------------------------------------------------------ brand domains

@@ -158,6 +158,22 @@ def json_array_from_text(df):
     return doc.items_of(_answers(df)).select("doc_id", "position", "item.product_name", "item.quantity", "item.room")
 
 
+@query("intake")
+def result_answers(df):
+    """Result answers of five forms: fenced object with rows, list, cut list, text cut inside a string, no result."""
+    n = F.col("row_id").cast("string")
+    one = F.concat(F.lit('{"row_id":"'), n, F.lit('","safe_to_write":true,"image_url":"'), F.col("image_url"), F.lit('","width_in":'), F.col("quantity").cast("string"), F.lit("}"))
+    text = (
+        F.when(F.col("row_id") % 5 == 0, F.concat(F.lit('```json\n{"rows":['), one, F.lit(","), one, F.lit("]}\n```")))
+        .when(F.col("row_id") % 5 == 1, F.concat(F.lit("Result: ["), one, F.lit("] as asked")))
+        .when(F.col("row_id") % 5 == 2, F.concat(F.lit("["), F.replace(one, F.lit("true"), F.lit("NaN"))))
+        .when(F.col("row_id") % 5 == 3, F.concat(F.lit('{"rows":['), one, F.lit(', {"width_in": 9, "reason": "cut of')))
+        .otherwise(F.lit('{"rows":[]}'))
+    )
+    rows = df.select(F.col("row_id").alias("doc_id"), text.alias("answer"))
+    return doc.result_rows(rows).select("doc_id", "position", "parse_status", "result_row_id", "result_safe_to_write", "result_image_url", "result_width_in", "result_reason")
+
+
 @query("intake")
 def ai_item_to_row(df):
     return doc.item_rows(doc.items_of(_answers(df))).select(

@@ -65,9 +65,10 @@ def memory_sanitize_on_read(memory):
     return mem.sanitize_links(memory).select("normalized_model_sku", "product_page_url", "image_url", "rejected_reason")
 
 
-@query("product_cache", "cache_delta")
+@query("product_cache", "cache_delta_wide")
 def cache_update(cache, delta):
-    return mem.update_cache(cache, delta)
+    misses = F.array_sort(F.transform(F.map_entries("null_fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]["failure_reason"])))
+    return mem.update_cache(cache, delta).withColumn("misses", F.array_join(misses, "; ")).drop("null_fields", "timestamp")
 
 
 @query("source_memory")
