@@ -100,10 +100,12 @@ SQL["transcript_specs"] = f"""SELECT conv_id, 'Dimensions' AS field, CASE WHEN w
  UNION ALL SELECT conv_id, 'Width', CASE WHEN clash THEN '' ELSE concat(w, ' in') END, CASE WHEN clash THEN 'unresolved' WHEN whole THEN 'high' ELSE 'medium' END FROM ({_SIZES})
  UNION ALL SELECT p_partkey, 'Finish / Color', CASE WHEN p_partkey % 3 <> 2 THEN 'brass' ELSE '' END, CASE WHEN p_partkey % 3 <> 2 THEN 'medium' ELSE 'unresolved' END FROM part
  UNION ALL SELECT p_partkey, 'Price', '', 'unresolved' FROM part"""
-SQL["apply_transcript"] = f"""{f.X}, j AS (SELECT x.*, c.conv_id, c.clash, c.whole, c.w FROM x LEFT JOIN ({_SIZES}) c ON c.conv_id = TRY_CAST(regexp_extract(model_sku, '([0-9]+)$', 1) AS BIGINT)),
- k AS (SELECT *, coalesce(whole AND NOT clash, false) AND NOT complete AS a, coalesce(conv_id % 3 <> 2, false) AND finish_color = '' AS b FROM j)
+for _name, _always in (("apply_transcript", False), ("apply_transcript_overwrite", True)):
+    SQL[_name] = f"""{f.X}, j AS (SELECT x.*, c.conv_id, c.clash, c.whole, c.w FROM x LEFT JOIN ({_SIZES}) c ON c.conv_id = TRY_CAST(regexp_extract(model_sku, '([0-9]+)$', 1) AS BIGINT)),
+ k AS (SELECT *, coalesce(whole AND NOT clash, false) AND (NOT complete OR {_always}) AS a, coalesce(conv_id % 3 <> 2, false) AND (finish_color = '' OR {_always}) AS b FROM j)
  SELECT row_id, CASE WHEN a THEN concat(w, ' in W x 24 in D x 84 in H') ELSE dimensions END AS dimensions, CASE WHEN b THEN 'brass' ELSE finish_color END AS finish_color,
- {f.listing([('a', "'dimensions'"), ('b', "'finish_color'")])} AS applied FROM k"""
+ {f.listing([('a', "'dimensions'"), ('b', "'finish_color'")])} AS applied, CASE WHEN a OR b THEN concat_ws(chr(10), nullif(notes, ''), 'Filled from call transcript',
+  CASE WHEN b THEN 'Finish / Color evidence: Width ' || w || ', Height is 84, Depth 24.' END) ELSE notes END AS notes FROM k"""
 ACTIVE = "include AND " + f"{f.token('brand')} <> '' AND {f.token('model_sku')} <> ''"
 SQL["intake_dedupe_rooms"] = f"""{f.X} SELECT DISTINCT {f.token('brand')} || '_' || {f.token('model_sku')} AS product_key, {f.spaced('room')} AS room FROM x WHERE {ACTIVE} AND room <> ''"""
 SQL["intake_dedupe_aside"] = f"""{f.X} SELECT row_id, {f.token('brand')} AS brand, quantity FROM x WHERE NOT ({ACTIVE})"""

@@ -173,7 +173,7 @@ def simple_fields(turns: DataFrame, requested: tuple[str, ...]) -> DataFrame:
 
 
 def transcript_specs(turns: DataFrame, requested: tuple[str, ...]) -> DataFrame:
-    """Long result (conv_id, field, value, confidence) with 'unresolved' rows for open fields.
+    """Long result (conv_id, field, value, confidence, evidence) with 'unresolved' rows for open fields.
 
     The whole size is always asked for.  Single axes are answered where requested: with high confidence
     from a complete size, with medium from a partial one; conflicting sizes answer nothing.
@@ -181,7 +181,7 @@ def transcript_specs(turns: DataFrame, requested: tuple[str, ...]) -> DataFrame:
     axes = [x for x in LABELS if x in requested]
     calls = turns.select("conv_id").distinct()
     simple = simple_fields(turns, tuple(x for x in requested if x not in LABELS)).select(
-        "conv_id", "field", "value", F.lit("medium").alias("confidence")
+        "conv_id", "field", "value", F.lit("medium").alias("confidence"), "evidence"
     )
     entries = [F.struct(F.lit("Dimensions").alias("field"), F.col("dimensions").alias("value"))]
     entries += [
@@ -193,12 +193,13 @@ def transcript_specs(turns: DataFrame, requested: tuple[str, ...]) -> DataFrame:
         .filter("dimension_status <> 'conflict'")
         .select("conv_id", sure.alias("confidence"), F.inline(F.array(*entries)))
         .filter("value <> ''")
-        .select("conv_id", "field", "value", "confidence")
+        .select("conv_id", "field", "value", "confidence", F.lit("").alias("evidence"))
     )
     every = simple.unionByName(found)
     wanted = calls.select("conv_id", F.explode(F.array(*[F.lit(x) for x in ("Dimensions", *requested)])).alias("field"))
     return wanted.join(every, ["conv_id", "field"], "left").select(
-        "conv_id", "field", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("confidence", F.lit("unresolved")).alias("confidence")
+        "conv_id", "field", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("confidence", F.lit("unresolved")).alias("confidence"),
+        F.coalesce("evidence", F.lit("")).alias("evidence"),
     )
 
 
@@ -212,29 +213,45 @@ def assemble(turns: DataFrame) -> DataFrame:
     )
 
 
+SOURCE_NOTE = "Filled from call transcript"
+
+
 def apply_transcript(rows: DataFrame, specs: DataFrame, overwrite: bool = False) -> DataFrame:
     """Write answered fields into missing columns of the rows joined by ``conv_id``.
 
-    Existing values are replaced only with ``overwrite`` and high or medium confidence.
+    Existing values are replaced only with ``overwrite`` and high or medium confidence.  Material, lead time and
+    availability go into the notes where these are blank (or may be replaced).  Rows that took a value get a source note and the evidence of
+    every value; ``applied`` names the columns.  Of several answers to one field the surest counts, then the largest text.
     """
     target = {
         "Dimensions": "dimensions", "Finish / Color": "finish_color", "Model/SKU": "model_sku", "Brand": "brand",
         "Supplier": "supplier", "Product Name": "product_name", "Product Category": "category", "Room": "room", "Price": "price",
     }
-    wide = specs.filter(F.col("confidence") != "unresolved").groupBy("conv_id").agg(
-        *[F.max(F.when(F.col("field") == x, F.col("value"))).alias(f"said_{c}") for x, c in target.items()],
-        *[F.max(F.when(F.col("field") == x, F.col("value"))).alias(f"note_{x.split()[0].lower()}") for x in ("Material", "Lead Time", "Availability")],
+    noted = {"Material": "material", "Lead Time": "lead_time", "Availability": "availability"}
+    sure = F.when(F.col("confidence") == "high", 2).when(F.col("confidence") == "medium", 1).otherwise(0)
+    proof = F.col("evidence") if "evidence" in specs.columns else F.lit("")
+    answer = F.struct(sure.alias("sure"), "value", proof.alias("evidence"))
+    wide = specs.filter((F.col("confidence") != "unresolved") & (strip(F.col("value")) != "")).groupBy("conv_id").agg(
+        *[F.max(F.when(F.col("field") == x, answer)).alias(f"said_{c}") for x, c in (target | noted).items()]
     )
     j = rows.join(wide, "conv_id", "left")
-    use = {}
-    for c in target.values():
-        missing = ~dims.has_complete_3d(F.col("dimensions")) if c == "dimensions" else strip(F.col(c)) == ""
-        use[c] = F.col(f"said_{c}").isNotNull() & (missing | F.lit(overwrite))
-    noted = [
-        F.when(F.col(f"note_{k}").isNotNull() & (strip(F.col("notes")) == ""), F.concat(F.lit(label + ": "), F.col(f"note_{k}")))
-        for label, k in (("Material", "material"), ("Lead Time", "lead"), ("Availability", "availability"))
+
+    def takes(c: str, missing: Column) -> Column:
+        said = F.col(f"said_{c}")
+        return said.isNotNull() & (missing | (F.lit(overwrite) & (said["sure"] > 0)))
+
+    use = {c: takes(c, ~dims.has_complete_3d(F.col("dimensions")) if c == "dimensions" else strip(F.col(c)) == "") for c in target.values()}
+    note = {c: takes(c, strip(F.col("notes")) == "") for c in noted.values()}
+    both = list(zip([*target, *["Notes"] * len(noted)], [*use, *note], [*use.values(), *note.values()], strict=True))
+    names = [F.when(u, F.lit(c)) for c, u in use.items()] + [F.when(F.exists(F.array(*note.values()), lambda u: u), F.lit("notes"))]
+    applied = F.array_join(F.array_compact(F.array(*names)), ", ")
+    added = [F.when(note[c], F.concat(F.lit(f"{x}: "), F.col(f"said_{c}.value"))) for x, c in noted.items()]
+    proofs = [
+        F.when(u & (strip(F.col(f"said_{c}.evidence")) != ""), F.concat(F.lit(f"{x} evidence: "), strip(F.col(f"said_{c}.evidence")))) for x, c, u in both
     ]
-    applied = F.array_join(F.array_compact(F.array(*[F.when(u, F.lit(c)) for c, u in use.items()])), ", ")
-    extra = F.concat_ws("\n", F.nullif(strip(F.col("notes")), F.lit("")), *noted, F.when(applied != "", F.lit("Filled from call transcript")))
-    out = j.withColumn("applied", applied).withColumn("notes", extra)
-    return out.withColumns({c: F.when(u, F.col(f"said_{c}")).otherwise(F.col(c)) for c, u in use.items()})
+    own = F.concat_ws("\n", F.nullif(strip(F.col("notes")), F.lit("")), *added)
+    told = F.when(~F.contains(own, F.lit(SOURCE_NOTE)), F.lit(SOURCE_NOTE))
+    full = F.concat_ws("\n", F.nullif(own, F.lit("")), told, *proofs)
+    out = j.withColumn("applied", applied).withColumn("_notes", F.when(applied != "", full).otherwise(F.col("notes")))
+    values = {c: F.when(u, F.col(f"said_{c}.value")).otherwise(F.col(c)) for c, u in use.items()}
+    return out.withColumns({**values, "notes": F.col("_notes")}).drop("_notes", *[f"said_{c}" for c in (target | noted).values()])

@@ -196,7 +196,7 @@ def transcript_dimensions(turns):
 
 @query("transcripts")
 def transcript_specs(turns):
-    return tr.transcript_specs(turns, ("Width", "Finish / Color", "Price"))
+    return tr.transcript_specs(turns, ("Width", "Finish / Color", "Price")).drop("evidence")
 
 
 @query("conversations")
@@ -215,7 +215,15 @@ def apply_transcript(df, turns):
     """Every row takes the call about its own part; rows without a model have none."""
     rows = df.withColumn("conv_id", F.regexp_extract("model_sku", r"(\d+)$", 1).try_cast("bigint"))
     specs = tr.transcript_specs(turns, ("Finish / Color",))
-    return tr.apply_transcript(rows, specs).select("row_id", "dimensions", "finish_color", "applied")
+    return tr.apply_transcript(rows, specs).select("row_id", "dimensions", "finish_color", "applied", "notes")
+
+
+@query("intake_wide", "transcripts")
+def apply_transcript_overwrite(df, turns):
+    """Answers of high or medium confidence replace what is there."""
+    rows = df.withColumn("conv_id", F.regexp_extract("model_sku", r"(\d+)$", 1).try_cast("bigint"))
+    specs = tr.transcript_specs(turns, ("Finish / Color",))
+    return tr.apply_transcript(rows, specs, overwrite=True).select("row_id", "dimensions", "finish_color", "applied", "notes")
 
 
 # ---------------------------------------------------------------- intake merge
