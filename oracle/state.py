@@ -108,6 +108,8 @@ SQL["enrichment_summary"] = f"""{f.X}, i AS (SELECT *, CAST({CV} AS DOUBLE) AS c
  round(dimensions_present / money, 2) AS dimensions_per_dollar, round(images_present / money, 2) AS images_per_dollar FROM m"""
 SQL["product_groups"] = f"""{f.with_views('intake_wide')} SELECT coalesce(nullif({f.token('brand')}, ''), 'missingbrand') || '_' || coalesce(nullif({f.token('model_sku')}, ''), concat('missingmodel', row_id)) AS product_key,
  count(*) AS rows, min(row_id) AS first_row, count(*) - 1 AS duplicates FROM intake_wide GROUP BY 1"""
+SQL["product_group_members"] = f"""{f.with_views('intake_wide')}, k AS (SELECT row_id, coalesce(nullif({f.token('brand')}, ''), 'missingbrand') || '_' || coalesce(nullif({f.token('model_sku')}, ''), concat('missingmodel', row_id)) AS product_key FROM intake_wide)
+ SELECT product_key, CAST(row_number() OVER (PARTITION BY product_key ORDER BY row_id) AS INT) AS member, row_id FROM k"""
 LINES = [("Brand", "brand"), ("Model", "model_sku"), ("Dimensions", "dimensions"), ("Image URL", "image_url"), ("Product URL", "product_url"), ("Status", "s_enr"), ("Retry", RETRY)]
 SQL["debug_report_sections"] = f"{E}, s AS (SELECT *, {ST} FROM reps) " + " UNION ALL ".join(f"SELECT product_key, '{l}' AS label, CASE WHEN trim({c}) = '' THEN 'none' ELSE trim({c}) END AS value FROM s" for l, c in LINES)
 SQL["dimension_diagnostics"] = f"{E} SELECT product_key, enrichment_status, dimension_source_url, dimensions_status, min(row_id) AS row_id FROM e GROUP BY 1, 2, 3, 4"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skuloom.functions import dims, rules, urls
 from skuloom.functions.text import add_points, flags_to_list, has, strip
 from skuloom.operators.candidates import query_gaps, weak_page_reason
-from skuloom.operators.keyed import attach, first_per, own_key, top_per
+from skuloom.operators.keyed import attach, first_per, number_within, own_key, top_per
 
 
 def qualification(df: DataFrame) -> DataFrame:
@@ -522,18 +522,27 @@ def enrichment_summary(df: DataFrame, cost: float = 0.006, cap: float = 0.25) ->
     )
 
 
-def product_groups(df: DataFrame) -> DataFrame:
-    """Unique products with row counts; a row without model is a product of its own."""
+def _grouped(df: DataFrame) -> DataFrame:
+    """Rows with the key of their product; a row without model is a product of its own."""
     brand = F.coalesce(F.nullif(rules.norm_token(df["brand"]), F.lit("")), F.lit("missingbrand"))
     model = F.coalesce(
         F.nullif(rules.norm_token(df["model_sku"]), F.lit("")), F.concat(F.lit("missingmodel"), df["row_id"].cast("string"))
     )
-    keyed = df.withColumn("product_key", F.concat(brand, F.lit("_"), model))
-    return keyed.groupBy("product_key").agg(
+    return df.withColumn("product_key", F.concat(brand, F.lit("_"), model))
+
+
+def product_groups(df: DataFrame) -> DataFrame:
+    """Unique products with row counts; a row without model is a product of its own."""
+    return _grouped(df).groupBy("product_key").agg(
         F.count("*").alias("rows"), F.min("row_id").alias("first_row"), (F.count("*") - 1).alias("duplicates")
     )
 
 
+def group_members(df: DataFrame) -> DataFrame:
+    """(product_key, member, row_id): the rows of every product, numbered in order; a row per member, so no product is held whole."""
+    return number_within(_grouped(df).select("product_key", "row_id"), ["product_key"], "row_id", "member")
+
+
 def debug_report(df: DataFrame) -> DataFrame:
     """Long report (product, label, value) of each product's representative."""
     reps = status_columns(elect(df))

@@ -29,8 +29,9 @@ IMPORT_COLUMNS = (
 )
 
 DEBUG_COLUMNS = (
-    "confidence_score", "source_type", "dimension_source_url", "dimension_confidence",
-    "dimension_source_type", "enrichment_status", "stage_log",
+    "confidence_score", "source_type", "category_confidence", "category_source", "local_image_path", "image_filename",
+    "dimension_source_url", "dimension_confidence", "dimension_source_type", "dimension_lookup_status", "enrichment_status",
+    "enrichment_error", "stage_log", "debug_traceback",
 )
 
 
@@ -523,7 +524,9 @@ def missing_histogram(prepared: DataFrame) -> DataFrame:
 
 
 def debug_rows(prepared: DataFrame) -> DataFrame:
-    return import_rows(prepared, DEBUG_COLUMNS)
+    """The import columns and the debug columns; debug columns that the rows do not have are blank."""
+    absent = {c: F.lit("") for c in DEBUG_COLUMNS if c not in prepared.columns}
+    return import_rows(prepared.withColumns(absent) if absent else prepared, DEBUG_COLUMNS)
 
 
 def image_manifest(prepared: DataFrame) -> DataFrame:

@@ -221,6 +221,11 @@ def product_groups(df):
     return en.product_groups(df)
 
 
+@query("intake_wide")
+def product_group_members(df):
+    return en.group_members(df)
+
+
 @query("intake_wide")
 def debug_report_sections(df):
     return en.debug_report(df)
