@@ -350,7 +350,7 @@ def _across(entries: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     top = per.groupBy("token").agg(F.max(F.struct("c", "label")).alias("t"), F.count("*").alias("labels"))
     top = top.filter("labels > 1").select("token", F.col("t.label").alias("main"))
     # Both sides are the same table, so it is shuffled once.
-    rows = entries.join(maps, "node").join(top, "token")
+    rows = entries.join(top, "token").join(maps, "node")
     left = rows.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("label").alias("la"), "main", *[F.col(m).alias("x" + m) for m in MAP])
     right = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("label").alias("lb"), F.col("main").alias("mb"), *[F.col(m).alias("y" + m) for m in MAP])
     met = left.join(
