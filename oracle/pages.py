@@ -10,6 +10,8 @@ SQL["dims_candidates"] = """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN con
 SQL["dims_best"] = """SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 OR p_partkey % 3 = 0 THEN 1 ELSE 2 END AS INT) AS pos,
  CASE WHEN p_partkey % 2 = 0 THEN concat(p_size, '"W x 3"H x 4"D') WHEN p_partkey % 3 = 0 THEN concat(p_size, '"W x 3"H') ELSE 'Width 5 cm, Height: 6, Depth is 7' END AS dimensions,
  CAST(CASE WHEN p_partkey % 2 = 1 AND p_partkey % 3 = 0 THEN 2 ELSE 3 END AS INT) AS axes FROM part"""
+SQL["snippet"] = """SELECT p_partkey AS page_id, p_name || ' | Maker ' || CASE p_partkey % 4 WHEN 0 THEN '{"@type":"Product","name":"' || p_name || '","width":"' || p_size || ' in","height":"30 in","depth":"20 in"}'
+ WHEN 1 THEN 'Width ' || p_size || '" Height 30" Depth 20"' WHEN 2 THEN 'Product Dimensions: ' || p_size || '"W x 30"H x 20"D' ELSE 'Shipping dimensions: 40 x 40 x 40 in' END AS snippet FROM part"""
 SQL["page_dimensions"] = """SELECT p_partkey AS page_id, concat(p_size, '"W x 30"H x 20"D') AS dimensions, CAST(3 AS INT) AS axes,
  CASE p_partkey % 4 WHEN 0 THEN 'json_ld' WHEN 1 THEN 'table_parts' ELSE 'visible_text' END AS method FROM part WHERE p_partkey % 4 < 3"""
 SQL["text_page_dimensions"] = """WITH t AS (SELECT p_partkey % 50 AS doc_id, p_partkey AS page, CASE WHEN p_partkey % 100 >= 50 THEN 3 WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS axes,
