@@ -3,13 +3,14 @@
 Two zstandard dictionaries are trained, one on windows of toxic and one on windows of ordinary text.  A window is
 compressed with both, and the difference of the lengths says which text it resembles.  Windows are single
 words written two or three times, which lets a match of a few bytes show in the length; the
-differences of the three window forms are added up.  Differences are calibrated on labelled documents that did not
-train the dictionaries: each value has a log odds, a document's features are the sum of the log odds of all
+differences of the three window forms are added up.  Differences are calibrated on the same labelled documents that the
+dictionaries are trained on, so the threshold may be too optimistic for unseen texts: each value has a log odds, a document's features are the sum of the log odds of all
 its windows, that sum over the root of their number, and the number; logistic regression makes a probability of
 them, shifted so that 0.5 is the threshold with the best F1.
 
 The classifier is fitted on at most ``max_toxic`` toxic and ``max_ordinary`` ordinary labelled documents
-of at most ``max_chars`` characters (the ones with the smallest hash of their id).  Every document is scored over its whole text.
+of at most ``max_chars`` characters (the ones with the smallest hash of their id).  The toxic dictionary is trained on at most ``most_words``
+over-represented words, the ordinary one on at most 200,000 windows of the sample in a fixed random order.  Every document is scored over its whole text.
 
 Defined results: null and empty texts get the score of a text without windows; without both classes in the
 sample every score is 0; repeated rows are scored each; an empty table gives no rows; further columns
