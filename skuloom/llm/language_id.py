@@ -36,7 +36,13 @@ SMOOTH = 0.1
 
 
 def words_of(text: str | None) -> list[str]:
-    return [w[i : i + LONGEST] for w in LETTERS.findall(text.lower()) for i in range(0, len(w), LONGEST)] if text else []
+    if not text:
+        return []
+    runs = LETTERS.findall(text.lower())
+    if not all(map(str.isalpha, runs)):
+        # Signs such as superscripts, fractions and Roman numerals are word characters, but no letters.
+        runs = "".join(c if c.isalpha() else " " for run in runs for c in (*run, " ")).split()
+    return [w[i : i + LONGEST] for w in runs for i in range(0, len(w), LONGEST)]
 
 
 def _piece_counts(model: bytes):
