@@ -235,6 +235,14 @@ IMAGE_PATHS = ("/image/", "/images/", "/media/", "is/image", "scene7", "cloudina
 META_IMAGES = {"og:image": "og:image", "og:image:url": "og:image", "twitter:image": "twitter:image", "twitter:image:src": "twitter:image"}
 
 
+def of_page(table: DataFrame) -> DataFrame:
+    """A table with a row per page, as a join partner: dealt by key, never sent whole through the driver.
+
+    Its file is small for its rows, so Spark would broadcast it long after it has outgrown the driver.
+    """
+    return table.hint("merge")
+
+
 def page_images(elements: DataFrame, pages: DataFrame) -> DataFrame:
     """Image candidates per page, each URL once (first seen: metadata, images, sources, styles, scripts)."""
     source = F.coalesce(
@@ -250,7 +258,7 @@ def page_images(elements: DataFrame, pages: DataFrame) -> DataFrame:
     )
     rows = elements.withColumn("source_type", source).filter(F.col("source_type").isNotNull()).withColumn("_order", order)
     rows = rows.filter((F.col("source_type") != "css_background") | urls.any_of([F.contains("context", F.lit(w)) for w in CONTEXT_WORDS]))
-    rows = rows.join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
+    rows = rows.join(of_page(pages.select("page_id", F.col("url").alias("page_url"))), "page_id")
     raw = F.replace(F.replace(strip(F.col("value")), F.lit("\\/"), F.lit("/")), F.lit("&amp;"), F.lit("&"))
     rows = rows.withColumn("image_url", urls.join_url(F.col("page_url"), raw)).filter(
         F.startswith("image_url", F.lit("https://")) & ~F.startswith(raw, F.lit("data:"))
@@ -406,7 +414,7 @@ SPEC_LINK_WORDS = (
 def spec_links(elements: DataFrame, pages: DataFrame, k: int = 3) -> DataFrame:
     """Specification PDFs linked from a page, those naming the model first, best ``k``."""
     links = elements.filter((F.col("kind") == "link") & (strip(F.col("value")) != "")).join(
-        pages.select("page_id", "url", "model_sku"), "page_id"
+        of_page(pages.select("page_id", "url", "model_sku")), "page_id"
     )
     rows = links.withColumn("link", urls.join_url(F.col("url"), F.col("value"))).filter("link <> ''")
     hay = F.lower(F.concat_ws(" ", "link", "name"))

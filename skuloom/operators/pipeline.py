@@ -37,7 +37,7 @@ def page_findings(page_table: DataFrame, wanted: DataFrame | None = None, sizes:
     elements = written(page_parse.page_elements(keyed), "page-elements")
     info = keyed.select("page_id", "product_key", "brand", "model_sku", "product_name", "url")
     images = pages.page_images(elements, info.select("page_id", "url"))
-    scored = pages.score_images(images.join(info.drop("product_key", "url"), "page_id"))
+    scored = pages.score_images(images.join(pages.of_page(info.drop("product_key", "url")), "page_id"))
     image = pages.best_image(scored).select("page_id", F.col("image_url").alias("page_image"))
     joined = info.select("page_id", "product_key", "url").join(image, "page_id", "left")
     if sizes:

@@ -75,7 +75,7 @@ def page_images(df):
 
 def _scored(df, part):
     found = pages.page_images(page_parse.page_elements(df), df)
-    return pages.score_images(found.join(_products(part), "page_id"))
+    return pages.score_images(found.join(pages.of_page(_products(part)), "page_id"))
 
 
 @query("product_pages", "part")
@@ -126,7 +126,7 @@ def spec_links(df):
 @query("product_pages", "part", "brand_sites")
 def score_pages(df, part, sites):
     fields = pages.page_fields(page_parse.page_elements(df)).select("page_id", "title", "description")
-    rows = cand.with_brand_sites(df.join(_products(part), "page_id").join(fields, "page_id"), sites).withColumn("has_image", F.lit(True))
+    rows = cand.with_brand_sites(df.join(pages.of_page(_products(part)), "page_id").join(pages.of_page(fields), "page_id"), sites).withColumn("has_image", F.lit(True))
     return pages.score_pages(rows).select(
         "page_id", "score", "page_confidence", "official_site", "matched_brand", "locations", "rejection"
     )
@@ -151,7 +151,7 @@ def _page_table(df, part):
         F.col("p_partkey").alias("page_id"), F.col("p_brand").alias("brand"),
         F.concat("p_type", F.col("p_partkey").cast("string")).alias("model_sku"), F.col("p_name").alias("product_name"),
     )
-    return df.join(info, "page_id")
+    return df.join(pages.of_page(info), "page_id")
 
 
 @query("intake_wide", "product_cache", "source_memory", "product_pages", "part")
