@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skuloom.functions import dims, rules
-from skuloom.functions.text import contains_any, keep_first, let, strip, title_case
+from skuloom.functions.text import contains_any, keep_first, let, staged, strip, title_case
 from skuloom.operators.groups import stored
 from skuloom.operators.keyed import carry_down, first_per, number_within
 
@@ -194,11 +194,11 @@ def document_context(lines: DataFrame) -> DataFrame:
 def lines_to_rows(lines: DataFrame) -> DataFrame:
     """Product and charge rows of document lines (doc_id, line_no, text)."""
     long_enough = lines.withColumn("text", strip(F.col("text"))).filter(F.length("text") >= 3)
-    classed = long_enough.withColumn("kind", line_class(F.col("text"))).filter(F.col("kind").isin("product", "charge"))
     text = F.col("text")
-    rows = classed.withColumn("brand", known_brand(text))
-    rows = rows.withColumn("_model", model_of_line(text, F.col("brand")))
-    rows = rows.withColumn("_name", name_of(text, F.col("_model.value")))
+    classed = staged(long_enough, {"kind": line_class(text)}).filter(F.col("kind").isin("product", "charge"))
+    rows = staged(classed, {"brand": known_brand(text)})
+    rows = staged(rows, {"_model": model_of_line(text, F.col("brand"))})
+    rows = staged(rows, {"_name": name_of(text, F.col("_model.value"))})
     rows = rows.filter((F.col("kind") == "charge") | (F.col("_name") != "") | (F.col("_model.value") != ""))
     charge = F.col("kind") == "charge"
     number = F.regexp_extract(text, r"(?i)^\s*(?:row\s*)?#?(\d{1,3})\s*(?:[|.)\-:]\s*)?", 1)
