@@ -417,27 +417,81 @@ def _chosen(rows: DataFrame, listed: DataFrame, taken: DataFrame, keys: list[str
     return placed.join(listed, [*keys, "place"]).select("doc_id", "i", "j")
 
 
-def pair_rows(parsed: DataFrame, model_rows: DataFrame) -> DataFrame:
+# Documents of at most this many rows on each side are walked in one expression; any number gives the same result.
+WALKED_ROWS = 64
+
+
+def _walked_pairs(sides: DataFrame) -> DataFrame:
+    """Pairs of short documents: a row per document with the rows of both sides in order, walked by the rule as it is told.
+
+    ``sides`` has doc_id, own (parser row or model row), position, model and name; a document has at most a fixed number of rows.
+    """
+    row = F.struct("position", "model", "name")
+    docs = sides.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("own"), row))).alias("p"), F.array_sort(F.collect_list(F.when(~F.col("own"), row))).alias("m")
+    )
+
+    def step(used: Column, x: Column) -> Column:
+        """``used`` has the place of the model row that each parser row before took, 0 for none."""
+        def free(test) -> Column:
+            at = F.filter(F.sequence(F.lit(1), F.size("m")), lambda k: test(F.element_at("m", k)) & ~F.array_contains(used, k))
+            return F.when(F.size("m") > 0, F.get(at, F.lit(0)))
+
+        here = F.size(used) + 1
+        by_model = F.when(x["model"] != "", free(lambda y: y["model"] == x["model"]))
+        by_place = F.when((here <= F.size("m")) & ~F.array_contains(used, here), here)
+        held = lambda y: (y["name"] != "") & (F.contains(y["name"], x["name"]) | F.contains(x["name"], y["name"]))
+        by_name = F.when(x["name"] != "", free(held))
+        return F.array_append(used, F.coalesce(by_model, by_place, by_name, F.lit(0)))
+
+    walked = staged(docs, {"taken": F.aggregate("p", F.array().cast("array<int>"), step)})
+    places = F.when(F.size("m") > 0, F.sequence(F.lit(1), F.size("m"))).otherwise(F.array().cast("array<int>"))
+    pair = lambda p, m: F.struct(p.alias("p_position"), m.alias("m_position"))
+    none = F.lit(None).cast("long")
+    matched = F.transform("p", lambda x, k: pair(x["position"], F.get("m", F.element_at("taken", k + 1) - 1)["position"]))
+    alone = F.transform(F.array_except(places, F.col("taken")), lambda k: pair(none, F.element_at("m", k)["position"]))
+    return walked.select("doc_id", F.inline(F.concat(matched, alone)))
+
+
+def pair_rows(parsed: DataFrame, model_rows: DataFrame, walked_rows: int = WALKED_ROWS) -> DataFrame:
     """(doc_id, p_position, m_position): parser rows with the model row each takes, both sides whole.
 
     The rule: parser rows take, in order, the first free model row of their model, else the free one at their own
-    place, else the first free one whose name holds theirs or is held by it.  A row's choice depends on the choices of
-    earlier rows only, so all rows choose at once against the choices of the round before, until no choice changes; every round
-    settles at least the first unsettled row of each document.  Rows of one model or one name choose in one step: the r-th of
-    them takes the r-th model row that no earlier row of another group holds.  Choices are tables, joined by document
-    and model, place or name; rows held from outside a group form one array per group.
+    place, else the first free one whose name holds theirs or is held by it.  Documents of up to ``walked_rows`` rows a side are walked
+    by that rule, each in one row; longer ones are paired in rounds over tables, so that no task needs a whole document.
 
     Positions are whole numbers, unique per document and side.  Null and blank models and names match nothing; a document on one
     side only keeps all its rows.
     """
 
-    def side(df: DataFrame, index: str) -> DataFrame:
-        rows = df.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias("position"),
+    def side(df: DataFrame, own: bool) -> DataFrame:
+        return df.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.lit(own).alias("own"), F.col("position").cast("long").alias("position"),
             F.coalesce(rules.norm_token(F.col("model_sku")), F.lit("")).alias("model"),
             F.coalesce(rules.norm_token(F.col("product_name")), F.lit("")).alias("name"),
         )
-        return stored(number_within(rows, ["doc_id"], "position", index), f"pair-{index}")
+
+    sides = stored(side(parsed, True).unionByName(side(model_rows, False)), "pair-sides")
+    counts = sides.groupBy("doc_id").agg(F.count_if("own").alias("p"), F.count_if(~F.col("own")).alias("m"))
+    long = stored(counts.filter(F.greatest("p", "m") > walked_rows).select("doc_id"), "pair-long")
+    if long.isEmpty():
+        return _walked_pairs(sides)
+    short = _walked_pairs(sides.join(long, "doc_id", "left_anti"))
+    rest = sides.join(long, "doc_id", "left_semi")
+    return short.unionByName(_pairs_in_rounds(rest.filter("own").drop("own"), rest.filter("NOT own").drop("own")))
+
+
+def _pairs_in_rounds(parsed: DataFrame, model_rows: DataFrame) -> DataFrame:
+    """Pairs of documents of any length; both sides have doc_id, position, model and name.
+
+    A row's choice depends on the choices of earlier rows only, so all rows choose at once against the choices of the round
+    before, until no choice changes; every round settles at least the first unsettled row of each document.  Rows of one model or one
+    name choose in one step: the r-th of them takes the r-th model row that no earlier row of another group holds.  Choices are tables,
+    joined by document and model, place or name; rows held from outside a group form one array per group.
+    """
+
+    def side(df: DataFrame, index: str) -> DataFrame:
+        return stored(number_within(df, ["doc_id"], "position", index), f"pair-{index}")
 
     left, right = side(parsed, "i"), side(model_rows, "j")
     of_model = stored(number_within(left.filter("model <> ''"), ["doc_id", "model"], "position", "rank").select("doc_id", "model", "i", "rank"), "pair-model")

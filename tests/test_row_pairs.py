@@ -84,3 +84,14 @@ def test_merged_rows(spark):
     assert alone["missing_critical_fields_after_ai"] == "Product Name, Brand, Model/SKU, Dimensions, Supplier, Product Category, Quantity"
     assert model["product_name"] == "Oven" and model["source_type"] == "AI" and model["answer"] == 8 and model["parse_confidence"] == 25
     assert doc.merge_rows(p.limit(0), m.limit(0)).collect() == []
+
+
+def test_short_documents_need_no_rounds(spark, monkeypatch):
+    """Documents around the limit give the same pairs walked or in rounds; without a long one no round is made."""
+    rng = random.Random(4)
+    rows = lambda: [(d, p, rng.choice(["", "M1", "m2"]), rng.choice(["oven", "gas oven", ""])) for d in range(30) for p in range(rng.randint(0, 5))]
+    left, right = rows(), rows()
+    a, b = spark.createDataFrame(left, COLS), spark.createDataFrame(right, COLS)
+    assert sorted(map(tuple, doc.pair_rows(a, b, 3).collect()), key=str) == expected(left, right)
+    monkeypatch.setattr(doc, "_pairs_in_rounds", None)
+    assert sorted(map(tuple, doc.pair_rows(a, b).collect()), key=str) == expected(left, right)
