@@ -269,9 +269,14 @@ def canonical_header(cell: Column) -> Column:
     def spaced(t: str) -> str:
         return "".join(ch if ch.isalnum() or ch == "#" else " " for ch in t.lower()).strip()
 
+    def shortest(names) -> list[str]:
+        """Names that hold no other name of the list: a text with one of the others has one of these."""
+        every = {spaced(a) for a in names}
+        return sorted(a for a in every if not any(b != a and b in a for b in every))
+
     def pick(text: Column) -> Column:
         return F.when(text == "", F.lit("")).otherwise(
-            keep_first([(contains_any(text, [spaced(a) for a in names]), column) for column, names in HEADERS.items()])
+            keep_first([(contains_any(text, shortest(names)), column) for column, names in HEADERS.items()])
         )
 
     return let(F.btrim(F.regexp_replace(F.lower(cell), "[^a-z0-9#]+", " ")), pick)
@@ -282,35 +287,40 @@ def cells_to_rows(cells: DataFrame) -> DataFrame:
 
     Each row is read with the latest header above it; columns the table lacks are read from the joined text.
     """
-    rows = cells.withColumn("cells", F.transform("cells", strip)).withColumn("_head", F.transform("cells", canonical_header))
-    hits = F.array_distinct(F.filter("_head", lambda h: h != ""))
-    main = F.arrays_overlap(hits, F.array(*[F.lit(x) for x in ("product_name", "model_sku", "brand")]))
-    rows = rows.withColumn("_is_header", (F.size(hits) >= 2) & main)
-    rows = rows.withColumn("_own", F.when(F.col("_is_header"), F.col("_head")))
-    filled = carry_down(rows, ["doc_id", "page", "table_no"], "row_no", "_own", "header")
-    joined = F.array_join(F.filter("cells", lambda c: c != ""), " | ")
-    body = filled.filter(~F.col("_is_header")).withColumn("text", joined)
-    body = body.withColumn("kind", line_class(F.col("text"))).filter(F.col("kind").isin("product", "charge"))
+    rows = staged(cells, {"cells": F.transform("cells", strip)})
+    rows = staged(rows, {"_head": F.transform("cells", canonical_header)})
+    main = F.array(*[F.lit(x) for x in ("product_name", "model_sku", "brand")])
+    hits = let(F.array_distinct(F.filter("_head", lambda h: h != "")), lambda x: (F.size(x) >= 2) & F.arrays_overlap(x, main))
+    rows = staged(rows, {"_is_header": hits}).withColumn("_own", F.when(F.col("_is_header"), F.col("_head"))).drop("_head")
+    # The search for the header above reads the rows several times.
+    filled = carry_down(stored(rows, "cells"), ["doc_id", "page", "table_no"], "row_no", "_own", "header")
+    body = staged(filled.filter(~F.col("_is_header")), {"text": F.array_join(F.filter("cells", lambda c: c != ""), " | ")})
+    body = staged(body, {"kind": line_class(F.col("text"))}).filter(F.col("kind").isin("product", "charge"))
     text, none = F.col("text"), F.col("header").isNull()
 
     def cell(column: str) -> Column:
         pairs = F.arrays_zip(F.col("header").alias("h"), F.col("cells").alias("c"))
         found = F.filter(pairs, lambda p: p["h"] == column)
-        return F.when(none, F.lit("")).otherwise(F.coalesce(F.element_at(F.transform(found, lambda p: p["c"]), F.when(F.size(found) > 0, -1)), F.lit("")))
+        last = let(found, lambda f: F.element_at(F.transform(f, lambda p: p["c"]), F.when(F.size(f) > 0, -1)))
+        return F.when(none, F.lit("")).otherwise(F.coalesce(last, F.lit("")))
 
     wanted = ("product_name", "brand", "model_sku", "dimensions", "finish_color", "material", "quantity", "price")
-    body = body.withColumns({f"_{c}": cell(c) for c in wanted}).withColumn("_found", known_brand(text))
-    body = body.withColumn("_token", model_of_line(text, F.col("_found"))["value"])
+    body = staged(body, {**{f"_{c}": cell(c) for c in wanted}, "_found": known_brand(text)})
+    body = staged(body, {"_token": model_of_line(text, F.col("_found"))["value"]})
 
     def first(column: str, other: Column) -> Column:
         return F.when(F.col(f"_{column}") != "", F.col(f"_{column}")).otherwise(other)
 
+    names = {
+        "product_name": F.when(none, name_of(text, F.col("_token"))).otherwise(F.col("_product_name")), "model_sku": first("model_sku", F.col("_token")),
+    }
+    body = staged(body, names).filter((F.col("product_name") != "") | (F.col("model_sku") != ""))
     digits = F.regexp_replace("_quantity", r"\D+", "").try_cast("int")
-    out = body.select(
+    return body.select(
         "doc_id", "page", "table_no", "row_no", "kind", "text",
-        F.when(none, name_of(text, F.col("_token"))).otherwise(F.col("_product_name")).alias("product_name"),
+        "product_name",
         first("brand", F.col("_found")).alias("brand"),
-        first("model_sku", F.col("_token")).alias("model_sku"),
+        "model_sku",
         first("dimensions", dimensions_of(text)).alias("dimensions"),
         first("finish_color", labelled(text, FINISH)).alias("finish_color"),
         first("material", labelled(text, MATERIAL)).alias("material"),
@@ -319,7 +329,6 @@ def cells_to_rows(cells: DataFrame) -> DataFrame:
         .alias("quantity"),
         first("price", F.when(none, price_of(text)).otherwise(F.lit(""))).alias("price"),
     )
-    return out.filter((F.col("product_name") != "") | (F.col("model_sku") != ""))
 
 
 def prefer_tables(table_rows: DataFrame, line_rows: DataFrame) -> DataFrame:
