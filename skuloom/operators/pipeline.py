@@ -75,13 +75,8 @@ def enrich_rows(df: DataFrame, cache: DataFrame, source_memory: DataFrame, page_
     reps = written(memory.fill_from_memory(memory.lookup_memory(reps, source_memory)), "representatives")
     findings = page_findings(page_table, open_products(reps))
     reps = written(fill_from_findings(reps, findings), "enriched")
-    merged = enrich.propagate(df, reps)
     # The representative itself keeps its own results.
-    own = reps.select("row_id", *[F.col(c).alias(f"_{c}") for c in ("dimensions", "image_url", "product_url")])
-    out = merged.join(own, "row_id", "left")
-    for c in ("dimensions", "image_url", "product_url"):
-        out = out.withColumn(c, F.coalesce(f"_{c}", c)).drop(f"_{c}")
-    return enrich.status_columns(out)
+    return enrich.status_columns(enrich.propagate(df, reps, own=("dimensions", "image_url", "product_url")))
 
 
 def recover_images(df: DataFrame, page_table: DataFrame) -> DataFrame:
