@@ -255,8 +255,7 @@ def to_inches(df):
 
 @query("intake_wide")
 def export_dims_text(df):
-    reason = dims.sanity_reason(df.dimensions, df.category)
-    return df.select("row_id", dims.export_text(df.dimensions, reason).alias("export_dims"))
+    return df.select("row_id", dims.export_dims(df.dimensions, df.category).alias("export_dims"))
 
 
 @query("intake")
