@@ -636,15 +636,22 @@ ITEM_SCHEMA = (
 
 def array_text(answer: Column) -> Column:
     """The JSON array inside an answer: fences out, typographic marks replaced, first ``[`` to last ``]``."""
-    text = F.regexp_replace(answer, r"```(?:json)?\s*|```", "")
-    text = strip(F.translate(text, "“”‘’［］", "\"\"''[]"))
-    return F.regexp_extract(text, r"(?s)(\[.*\])", 1)
+
+    def plain(text: Column) -> Column:
+        """Most answers have neither fences nor signs beyond ASCII."""
+        ascii_only = F.octet_length(text) == F.length(text)
+        return F.when(ascii_only, text).otherwise(F.translate(text, "“”‘’［］", "\"\"''[]"))
+
+    fenced = F.contains(answer, F.lit("```"))
+    text = let(F.when(fenced, F.regexp_replace(answer, r"```(?:json)?\s*|```", "")).otherwise(answer), plain)
+    return F.regexp_extract(strip(text), r"(?s)(\[.*\])", 1)
 
 
 def items_of(answers: DataFrame, answer: str = "answer") -> DataFrame:
     """One row per item of an answer; unreadable answers yield none."""
-    parsed = F.from_json(array_text(F.col(answer)), ITEM_SCHEMA)
-    return answers.select("doc_id", F.posexplode(parsed).alias("position", "item"))
+    # Spark drops empty lists before it explodes; of a plain column that test would read the answer once more.
+    parsed = staged(answers.select("doc_id", answer), {"_items": F.from_json(array_text(F.col(answer)), ITEM_SCHEMA)})
+    return parsed.select("doc_id", F.posexplode("_items").alias("position", "item"))
 
 
 def item_rows(items: DataFrame, default_room: str = "") -> DataFrame:
