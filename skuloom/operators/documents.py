@@ -697,12 +697,17 @@ def json_text(answer: Column) -> Column:
     """The JSON in an answer: fences out, from the first opening to the last closing bracket."""
     text = strip(F.regexp_replace(strip(F.coalesce(answer, F.lit(""))), r"(?i)^```(?:json)?\s*|\s*```$", ""))
 
-    def cut(t: Column) -> Column:
+    def last_of(c: str, t: Column) -> Column:
+        return F.when(F.contains(t, F.lit(c)), F.length(t) - F.length(F.substring_index(t, c, -1)))
+
+    def ends(t: Column) -> Column:
         first = F.least(*[F.nullif(F.locate(c, t), F.lit(0)) for c in "{["])
-        last = F.greatest(*[F.when(F.locate(c, F.reverse(t)) > 0, F.length(t) - F.locate(c, F.reverse(t)) + 1) for c in "}]"])
-        return F.when(last > first, F.substr(t, first, last - first + 1)).otherwise(t)
+        return F.struct(t.alias("t"), first.alias("first"), F.greatest(*[last_of(c, t) for c in "}]"]).alias("last"))
+
+    def cut(p: Column) -> Column:
+        return F.when(p["last"] > p["first"], F.substr(p["t"], p["first"], p["last"] - p["first"] + 1)).otherwise(p["t"])
 
-    return let(text, cut)
+    return let(let(text, ends), cut)
 
 
 def repaired_json(text: Column) -> Column:
@@ -728,7 +733,9 @@ def result_rows(answers: DataFrame, answer: str = "answer") -> DataFrame:
     parsed = text.withColumn("_strict", F.try_parse_json("_text")).withColumn(
         "_json", F.coalesce("_strict", F.try_parse_json(repaired_json(F.col("_text"))))
     )
-    kind = F.schema_of_variant("_json")
+    # Found once: the three forms below all ask for it.
+    parsed = parsed.withColumn("_kind", F.left(F.schema_of_variant("_json"), F.lit(6)))
+    kind = F.col("_kind")
     listed = F.coalesce(
         F.when(F.startswith(kind, F.lit("OBJECT")), F.try_variant_get("_json", "$.rows", "array<variant>")),
         F.when(F.startswith(kind, F.lit("ARRAY")), F.try_variant_get("_json", "$", "array<variant>")),
@@ -736,8 +743,13 @@ def result_rows(answers: DataFrame, answer: str = "answer") -> DataFrame:
     )
 
     def link(name: str) -> Column:
-        raw = F.nullif(F.regexp_extract("_text", rf'"{name}"\s*:\s*"([^"\\]*(?:\\.[^"\\]*)*)"', 1), F.lit(""))
-        return F.coalesce(F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), raw, F.lit('"'))), "$", "string"), raw)
+        raw = F.regexp_extract("_text", rf'"{name}"\s*:\s*"([^"\\]*(?:\\.[^"\\]*)*)"', 1)
+
+        def read(v: Column) -> Column:
+            as_json = F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), v, F.lit('"'))), "$", "string")
+            return F.when(v != "", F.when(F.contains(v, F.lit("\\")), F.coalesce(as_json, v)).otherwise(v))
+
+        return let(raw, read)
 
     saved = {"safe_to_write": F.lit("false"), "confidence": F.lit("none"), "reason": F.lit(UNREADABLE)}
     saved |= {c: link(c) for c in SAVED_LINKS}
@@ -749,5 +761,5 @@ def result_rows(answers: DataFrame, answer: str = "answer") -> DataFrame:
     none = F.lit(None).cast("string")
     fields = {f"result_{c}": F.when(F.col("_broken"), saved.get(c, none)).otherwise(F.try_variant_get("_row", f"$.{c}", "string")) for c in RESULT_FIELDS}
     return rows.withColumns({**fields, "position": F.coalesce("position", F.lit(0)), "parse_status": status}).drop(
-        "_text", "_strict", "_json", "_broken", "_row"
+        "_text", "_strict", "_json", "_kind", "_broken", "_row"
     )
