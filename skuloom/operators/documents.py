@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -331,10 +333,15 @@ def cells_to_rows(cells: DataFrame) -> DataFrame:
     )
 
 
-def prefer_tables(table_rows: DataFrame, line_rows: DataFrame) -> DataFrame:
-    """Line rows only for pages without table rows, then each (name, model) once per document."""
+def prefer_tables(table_rows: DataFrame, lines: DataFrame, to_rows: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Line rows only for pages without table rows, then each (name, model) once per document.
+
+    ``lines`` are line rows, or lines that ``to_rows`` makes rows of one by one: no other lines' rows can stay.  The table rows are written
+    once, since their pages are asked for as well.
+    """
+    table_rows = stored(table_rows, "table-rows")
     pages = table_rows.select("doc_id", "page").distinct()
-    rest = line_rows.join(pages, ["doc_id", "page"], "left_anti")
+    rest = to_rows(lines.join(pages, ["doc_id", "page"], "left_anti"))
     both = table_rows.unionByName(rest)
     keyed = both.withColumn("_n", F.lower(strip(F.col("product_name")))).withColumn("_m", F.lower(strip(F.col("model_sku"))))
     return first_per(keyed, ["doc_id", "_n", "_m"], [F.asc("page"), F.asc("row_no")]).drop("_n", "_m")

@@ -80,10 +80,11 @@ def header_forward_fill(cells):
 @query("quote_cells", "quote_lines")
 def first_seen_per_doc(cells, lines):
     tables = doc.cells_to_rows(_cells(cells)).select("doc_id", "page", "row_no", "product_name", "model_sku", "price")
-    rest = doc.lines_to_rows(lines).select(
-        "doc_id", F.lit(1).alias("page"), F.col("line_no").alias("row_no"), "product_name", "model_sku", "price"
-    )
-    kept = doc.prefer_tables(tables, rest)
+
+    def line_rows(rest):
+        return doc.lines_to_rows(rest).select("doc_id", "page", F.col("line_no").alias("row_no"), "product_name", "model_sku", "price")
+
+    kept = doc.prefer_tables(tables, lines.withColumn("page", F.lit(1)), line_rows)
     return kept.select("doc_id", "product_name", "model_sku", "row_no")
 
 
