@@ -13,23 +13,26 @@ from skuloom.operators.groups import stored
 from skuloom.operators.keyed import carry_down, first_per, number_within
 
 # ---- Fixed values: words and forms of quote lines ----
+# A pattern is tried at every letter of a text: the first letters are looked at before the word edges and the single words.
 SKIP_WORDS = (
-    r"(?i)\b(?:subtotal|sub[- ]?total|tax|gst|hst|vat|pst|delivery|shipping|freight|total|balance(?:\s+due)?|discount|"
-    r"credit|surcharge|handling|deposit|freight\s*&\s*handling|f&h|service\s+plan|protection\s+plan|warrant(?:y|ies))\b"
+    r"(?i)(?=[bcdfghpstvw])\b(?:s(?:ub[- ]?total|hipping|urcharge|ervice\s+plan)|t(?:ax|otal)|[ghp]st|vat|d(?:elivery|iscount|eposit)|"
+    r"f(?:reight|&h)|balance|credit|handling|protection\s+plan|warrant(?:y|ies))\b"
 )
-QUANTITY = r"(?i)(?:qty|quantity)\s*[:\-]?\s*(\d+)|(?<!\w)x\s*(\d+)(?!\w)|\((\d+)\)"
+QUANTITY = r"(?i)(?=[qx(])(?:(?:qty|quantity)\s*[:\-]?\s*(\d+)|(?<!\w)x\s*(\d+)(?!\w)|\((\d+)\))"
 PRICE = r"\$[\d,]+(?:\.\d{2})?|\b\d{1,6}\.\d{2}\b"
 ROW_NUMBER = r"(?i)^\s*(?:row\s*)?#?\d{1,3}\s*(?:[|.)\-:]\s*)?"
 ONLY_MARKS = r"^[\d\s|.,;:()#-]+$"
+# What is left of such a line is signs only: it has no letters but those of a row label.
+NO_WORDS = r"^[\d\s|.,;:()#$rowROW\u0085\u2028\u2029-]*$"
 HEADER_WORDS = (
-    r"(?i)\b(?:pc\s+richard|quotation|quote|selection|salesperson|sales\s*person|phone|tel(?:ephone)?|fax|email|e-mail|"
-    r"address|date|page\s+\d+|manufacturer|model|description|color|colour|price|amount|extension)\b"
+    r"(?i)(?=[acdefmpqst])\b(?:p(?:c\s+richard|hone|age\s+\d+|rice)|quot(?:ation|e)|s(?:election|ales\s*person)|tel(?:ephone)?|fax|"
+    r"e(?:-?mail|xtension)|a(?:ddress|mount)|d(?:ate|escription)|m(?:anufacturer|odel)|colou?r)\b"
 )
 SKU_LABEL = (
-    r"(?i)(serial\s*(?:number|#|no\.?)?|s/?n|model\s*(?:number|#|no\.?)?|sku|item\s*(?:number|#|no\.?)?|"
+    r"(?i)(?=[imps])(serial\s*(?:number|#|no\.?)?|s/?n|model\s*(?:number|#|no\.?)?|sku|item\s*(?:number|#|no\.?)?|"
     r"product\s*(?:code|#)?|part\s*(?:number|#|no\.?)?|mfr\.?\s*(?:number|#|no\.?)?)\s*[:\-]?\s*(\S+)"
 )
-MODEL_TOKEN = r"\b(?=[A-Z0-9./-]{4,}\b)(?=[A-Z0-9./-]*\d)[A-Z0-9][A-Z0-9./-]{3,}\b"
+MODEL_TOKEN = r"(?=[A-Z0-9])\b(?=[A-Z0-9./-]{4,}\b)(?=[A-Z0-9./-]*\d)[A-Z0-9][A-Z0-9./-]{3,}\b"
 FINISH = r"(?i)\b(?:finish|color|colour)\s*[:\-]\s*([^|;,]+)"
 MATERIAL = r"(?i)\bmaterial\s*[:\-]\s*([^|;,]+)"
 SIZE_TEXT = (
@@ -70,29 +73,44 @@ HEADERS = {
 EDGE_MARKS = " .,;:-"
 
 
+def _brand_pattern() -> str:
+    """Brands in lower case, longer names first, grouped by their first letter."""
+    groups: dict[str, list[str]] = {}
+    for b in sorted(BRANDS, key=len, reverse=True):
+        groups.setdefault(b[0].lower(), []).append(b[1:].lower().replace("-", r"\-"))
+    return rf"(?=[{''.join(groups)}])\b({'|'.join(f'{k}(?:{"|".join(v)})' for k, v in groups.items())})\b"
+
+
 def known_brand(text: Column) -> Column:
     """First listed brand that the text names."""
-    names = "|".join(b.replace("-", r"\-") for b in sorted(BRANDS, key=len, reverse=True))
-    found = F.regexp_extract_all(F.lower(text), F.lit(rf"(?i)\b({names})\b"), F.lit(1))
-    pick = let(found, lambda hits: F.get(F.filter(F.array(*[F.lit(b) for b in BRANDS]), lambda b: F.array_contains(hits, F.lower(b))), F.lit(0)))
-    return F.coalesce(F.replace(pick, F.lit("Fisher & Paykel"), F.lit("Fisher and Paykel")), F.lit(""))
+    found = F.regexp_extract_all(F.lower(text), F.lit(_brand_pattern()), F.lit(1))
+    names = [(b.lower(), b.replace("Fisher & Paykel", "Fisher and Paykel")) for b in BRANDS]
+    return let(found, lambda hits: keep_first([(F.size(hits) <= 0, ""), *[(F.array_contains(hits, F.lit(low)), b) for low, b in names]]))
 
 
 def _is(text: Column, pattern: str) -> Column:
     return F.rlike(text, F.lit(pattern))
 
 
-def line_class(text: Column) -> Column:
-    """empty, header (contact or column line), charge (price only), skip (subtotal, plan), product."""
-    line = strip(text)
-    phone, words = _is(line, rules.PHONE), _is(line, HEADER_WORDS)
-    header = (
-        _is(line, rules.EMAIL)
-        | (phone & words)
-        | (words & (known_brand(line) == "") & (~_is(line, MODEL_TOKEN) | phone))
-    )
+def _is_phone(text: Column) -> Column:
+    """A phone number has ten signs at least."""
+    return (F.length(text) >= 10) & _is(text, rules.PHONE)
+
+
+def _is_email(text: Column) -> Column:
+    return F.contains(text, F.lit("@")) & _is(text, rules.EMAIL)
+
+
+def line_class(text: Column, brand: Column | None = None) -> Column:
+    """empty, header (contact or column line), charge (price only), skip (subtotal, plan), product.
+
+    ``brand`` is the line's known brand, where that has been found before; such a line has no whitespace around it.
+    """
+    line = strip(text) if brand is None else text
+    brand = known_brand(line) if brand is None else brand
+    header = _is_email(line) | (_is(line, HEADER_WORDS) & (((brand == "") & ~_is(line, MODEL_TOKEN)) | _is_phone(line)))
     rest = strip(F.regexp_replace(F.regexp_replace(line, PRICE, " "), ROW_NUMBER, " "))
-    bare_price = _is(line, PRICE) & ((rest == "") | _is(rest, ONLY_MARKS))
+    bare_price = _is(line, NO_WORDS) & _is(line, PRICE) & ((rest == "") | _is(rest, ONLY_MARKS))
     return (
         F.when(line == "", F.lit("empty"))
         .when(header, F.lit("header"))
@@ -103,21 +121,22 @@ def line_class(text: Column) -> Column:
 
 
 def _bad_token(token: Column, line: Column, brand: Column) -> Column:
-    bare = F.btrim(token, F.lit(" .,;:()[]"))
-    return (
-        (bare == "")
-        | F.startswith(bare, F.lit("$"))
-        | _is(bare, rules.PHONE)
-        | _is(bare, rules.EMAIL)
-        | F.upper(bare).isin(*NO_MODEL)
-        | (_is(line, HEADER_WORDS) & (brand == ""))
-    )
+    def judge(bare: Column) -> Column:
+        return (
+            (bare == "")
+            | F.startswith(bare, F.lit("$"))
+            | F.upper(bare).isin(*NO_MODEL)
+            | ((brand == "") & _is(line, HEADER_WORDS))
+            | _is_phone(bare)
+            | _is_email(bare)
+        )
+
+    return let(F.btrim(token, F.lit(" .,;:()[]")), judge)
 
 
 def model_of_line(line: Column, brand: Column) -> Column:
     """Struct(value, label): a labelled number, else the first token that looks like a model."""
     nothing = F.struct(F.lit("").alias("value"), F.lit("").alias("label"))
-    labelled = F.rtrim(F.regexp_extract(line, SKU_LABEL, 2), F.lit(".,;"))
     label = F.rtrim(strip(F.regexp_extract(line, SKU_LABEL, 1)), F.lit(":"))
     tokens = F.filter(
         F.transform(F.regexp_extract_all(line, F.lit(f"({MODEL_TOKEN})"), F.lit(1)), lambda t: F.rtrim(t, F.lit(".,;"))),
@@ -127,10 +146,16 @@ def model_of_line(line: Column, brand: Column) -> Column:
         F.get(tokens, F.lit(0)),
         lambda t: F.when(t.isNull(), nothing).otherwise(F.struct(t.alias("value"), F.lit("model token").alias("label"))),
     )
-    return F.when(
-        _is(line, SKU_LABEL),
-        F.when(_bad_token(labelled, line, brand), nothing).otherwise(F.struct(labelled.alias("value"), label.alias("label"))),
-    ).otherwise(by_token)
+
+    def labelled(number: Column) -> Column:
+        """A label always has a number; no number means no label."""
+        taken = let(
+            F.rtrim(number, F.lit(".,;")),
+            lambda v: F.when(_bad_token(v, line, brand), nothing).otherwise(F.struct(v.alias("value"), label.alias("label"))),
+        )
+        return F.when(number != "", taken).otherwise(by_token)
+
+    return let(F.regexp_extract(line, SKU_LABEL, 2), labelled)
 
 
 def quantity_of(line: Column) -> Column:
@@ -197,8 +222,8 @@ def lines_to_rows(lines: DataFrame) -> DataFrame:
     """Product and charge rows of document lines (doc_id, line_no, text)."""
     long_enough = lines.withColumn("text", strip(F.col("text"))).filter(F.length("text") >= 3)
     text = F.col("text")
-    classed = staged(long_enough, {"kind": line_class(text)}).filter(F.col("kind").isin("product", "charge"))
-    rows = staged(classed, {"brand": known_brand(text)})
+    branded = staged(long_enough, {"brand": known_brand(text)})
+    rows = staged(branded, {"kind": line_class(text, F.col("brand"))}).filter(F.col("kind").isin("product", "charge"))
     rows = staged(rows, {"_model": model_of_line(text, F.col("brand"))})
     rows = staged(rows, {"_name": name_of(text, F.col("_model.value"))})
     rows = rows.filter((F.col("kind") == "charge") | (F.col("_name") != "") | (F.col("_model.value") != ""))
@@ -254,7 +279,7 @@ def with_context(rows: DataFrame, context: DataFrame) -> DataFrame:
 
 def parsed_status(c) -> Column:
     gap = F.lit(False)
-    for x in ("product_name", "brand", "dimensions", "supplier", "room", "category"):
+    for x in ("product_name", "brand", "supplier", "room", "category", "dimensions"):
         gap = gap | (strip(c[x]) == "")
     open_ = (strip(c["model_sku"]) != "") & gap
     return F.when(c["import_type"] == "unresolved_charge", F.lit("Manual Review")).when(open_, F.lit("Needs Enrichment")).otherwise(
