@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -309,30 +310,43 @@ def canonical_header(cell: Column) -> Column:
     return let(F.btrim(F.regexp_replace(F.lower(cell), "[^a-z0-9#]+", " ")), pick)
 
 
+# Columns of which a header row names one at least.
+MAIN_HEADERS = ("product_name", "model_sku", "brand")
+
+
+def _first_words(columns: tuple[str, ...]) -> list[str]:
+    """First words of the headers of some columns, without those that hold another: any spelling of a header has one of them."""
+    every = {re.split("[^a-z0-9]", name)[0] for c in columns for name in HEADERS[c]}
+    return sorted(a for a in every if not any(b != a and b in a for b in every))
+
+
 def cells_to_rows(cells: DataFrame) -> DataFrame:
     """Table rows (doc_id, page, table_no, row_no, cells) to product rows.
 
     Each row is read with the latest header above it; columns the table lacks are read from the joined text.
     """
-    rows = staged(cells, {"cells": F.transform("cells", strip)})
-    rows = staged(rows, {"_head": F.transform("cells", canonical_header)})
-    main = F.array(*[F.lit(x) for x in ("product_name", "model_sku", "brand")])
+    rows = staged(cells.select("doc_id", "page", "table_no", "row_no", "cells"), {"cells": F.transform("cells", strip)})
+    # A header row names the product, its model or its brand: only rows with the first word of such a name are looked at by cell.
+    named = contains_any(F.lower(F.array_join("cells", "|")), _first_words(MAIN_HEADERS))
+    rows = staged(rows, {"_head": F.when(named, F.transform("cells", canonical_header))})
+    main = F.array(*[F.lit(x) for x in MAIN_HEADERS])
     hits = let(F.array_distinct(F.filter("_head", lambda h: h != "")), lambda x: (F.size(x) >= 2) & F.arrays_overlap(x, main))
+    hits = F.when(F.col("cells").isNotNull(), F.coalesce(hits, F.lit(False)))
     rows = staged(rows, {"_is_header": hits}).withColumn("_own", F.when(F.col("_is_header"), F.col("_head"))).drop("_head")
     # The search for the header above reads the rows several times.
     filled = carry_down(stored(rows, "cells"), ["doc_id", "page", "table_no"], "row_no", "_own", "header")
     body = staged(filled.filter(~F.col("_is_header")), {"text": F.array_join(F.filter("cells", lambda c: c != ""), " | ")})
-    body = staged(body, {"kind": line_class(F.col("text"))}).filter(F.col("kind").isin("product", "charge"))
     text, none = F.col("text"), F.col("header").isNull()
+    body = staged(body, {"_found": known_brand(text)})
+    body = staged(body, {"kind": line_class(text, F.col("_found"))}).filter(F.col("kind").isin("product", "charge"))
 
     def cell(column: str) -> Column:
-        pairs = F.arrays_zip(F.col("header").alias("h"), F.col("cells").alias("c"))
-        found = F.filter(pairs, lambda p: p["h"] == column)
-        last = let(found, lambda f: F.element_at(F.transform(f, lambda p: p["c"]), F.when(F.size(f) > 0, -1)))
-        return F.when(none, F.lit("")).otherwise(F.coalesce(last, F.lit("")))
+        """The cell below the last header of that column; a row may have fewer cells than its header."""
+        back = F.array_position(F.reverse("header"), column)
+        return F.when(none | (back == 0), F.lit("")).otherwise(F.coalesce(F.get("cells", F.size("header") - back.cast("int")), F.lit("")))
 
     wanted = ("product_name", "brand", "model_sku", "dimensions", "finish_color", "material", "quantity", "price")
-    body = staged(body, {**{f"_{c}": cell(c) for c in wanted}, "_found": known_brand(text)})
+    body = staged(body, {f"_{c}": cell(c) for c in wanted})
     body = staged(body, {"_token": model_of_line(text, F.col("_found"))["value"]})
 
     def first(column: str, other: Column) -> Column:
