@@ -605,17 +605,20 @@ def merge_rows(parsed: DataFrame, model_rows: DataFrame) -> DataFrame:
     and the final value of four fields, whether the model was used, the parse confidence and the critical fields missing before and after.
     """
     pairs = pair_rows(parsed, model_rows)
+    # Plain columns: of a struct per row, all would be moved and written for the joins, also those that nobody asks for.
     wrap = lambda df, p: df.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias(f"{p}_position"), F.struct(*df.columns).alias(p)
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("position").cast("long").alias(f"{p}_position"), F.lit(True).alias(f"_{p}"),
+        *[F.col(c).alias(f"_{p}_{c}") for c in df.columns],
     )
-    j = pairs.join(wrap(parsed, "p"), ["doc_id", "p_position"], "left").join(wrap(model_rows, "m"), ["doc_id", "m_position"], "left")
-    both, own = F.col("p").isNotNull() & F.col("m").isNotNull(), F.col("p").isNotNull()
+    # The model's rows first: fewer and shorter rows are moved for the second join.
+    j = pairs.join(wrap(model_rows, "m"), ["doc_id", "m_position"], "left").join(wrap(parsed, "p"), ["doc_id", "p_position"], "left")
+    both, own = F.col("_p").isNotNull() & F.col("_m").isNotNull(), F.col("_p").isNotNull()
     left, right = set(parsed.columns), set(model_rows.columns)
     columns = [c for c in [*parsed.columns, *[x for x in model_rows.columns if x not in left]] if c not in ("doc_id", "position")]
 
     def side(p: str, has: set, c: str) -> Column:
         other = (parsed if c in left else model_rows).schema[c].dataType
-        return F.col(f"{p}.{c}") if c in has else F.lit(None).cast(other)
+        return F.col(f"_{p}_{c}") if c in has else F.lit(None).cast(other)
 
     def value(c: str) -> Column:
         a, b = side("p", left, c), side("m", right, c)
@@ -633,7 +636,7 @@ def merge_rows(parsed: DataFrame, model_rows: DataFrame) -> DataFrame:
             chosen = a if c in left else b
         return F.when(both, chosen).when(own, a).otherwise(b).alias(c)
 
-    rows = j.select("doc_id", "p_position", "m_position", "p", "m", *[value(c) for c in columns])
+    rows = j.select("*", *[value(c) for c in columns])
     score = rules.parse_confidence({c: F.coalesce(F.col(c), F.lit(0 if c == "quantity" else "")) for c in CRITICAL})
     out = rows.withColumn("parse_confidence", F.greatest(F.lit(0), score).cast("int"))
     if "status" in columns:
@@ -647,12 +650,12 @@ def merge_rows(parsed: DataFrame, model_rows: DataFrame) -> DataFrame:
         audit[f"final_{c}"] = text(F.col(c))
     before = {c: F.when(own, side("p", left, c)).otherwise(side("m", right, c)) for c in CRITICAL}
     audit |= {
-        "ai_used": F.col("m").isNotNull(),
-        "ai_skipped_reason": F.when(F.col("m").isNull(), F.lit(NO_MATCH)).otherwise(F.lit("")),
+        "ai_used": F.col("_m").isNotNull(),
+        "ai_skipped_reason": F.when(F.col("_m").isNull(), F.lit(NO_MATCH)).otherwise(F.lit("")),
         "missing_critical_fields_before_ai": missing_critical(before),
         "missing_critical_fields_after_ai": missing_critical({c: F.col(c) for c in CRITICAL}),
     }
-    return out.withColumns(audit).drop("p", "m")
+    return out.withColumns(audit).select(*dict.fromkeys(["doc_id", "p_position", "m_position", *columns, "parse_confidence", *audit]))
 
 
 # Critical fields of a parsed row and their labels.
